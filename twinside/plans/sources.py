@@ -86,7 +86,9 @@ PLAYED = f""", played AS (SELECT event_id, season, feed, {_name('HomeTeam')} AS
 def written_feed(spark, root) -> str:
     """The raw feed as one CSV folder per season below the shared folder."""
     path = work_path(spark, "feed")
-    raw_feed(spark, root).drop("season").write.partitionBy("feed").csv(path, header=True)
+    raw_feed(spark, root).drop("season").write.partitionBy("feed").csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return path
 
 
@@ -133,10 +135,7 @@ def normalized(spark, root):
 @query(
     "S_05_json_fixtures",
     """SELECT 1 + event_id % 38 AS match_round, CAST(t AS DATE) AS event_date, strftime(t, '%H:%M') AS kickoff_time, side_a, side_b, event_id AS source_number
-    FROM (SELECT *, (event_date + CAST(kickoff_time || ':00' AS TIME)) + CASE
-        WHEN (event_date + CAST(kickoff_time || ':00' AS TIME)) >= (last_day(make_date(CAST(year(event_date) AS BIGINT), 3, 1)) - CAST(dayofweek(last_day(make_date(CAST(year(event_date) AS BIGINT), 3, 1))) AS INTEGER)) + TIME '01:00:00'
-         AND (event_date + CAST(kickoff_time || ':00' AS TIME)) < (last_day(make_date(CAST(year(event_date) AS BIGINT), 10, 1)) - CAST(dayofweek(last_day(make_date(CAST(year(event_date) AS BIGINT), 10, 1))) AS INTEGER)) + TIME '01:00:00'
-        THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t FROM contests)""",
+    FROM (SELECT *, timezone('Europe/London', timezone('UTC', event_date + CAST(kickoff_time || ':00' AS TIME))) AS t FROM contests)""",
 )
 def json_fixtures(spark, root):
     path = work_path(spark, "fixtures")
