@@ -277,7 +277,7 @@ def official_label(names: DataFrame, impacts: DataFrame, metrics: Sequence[str])
     """Official's short name joined with its impacts; the plain name when there is none."""
     keyed = names.withColumn("_key", person_name(F.col("official")))
     found = impacts.select(F.col("official").alias("_key"), *[f"{m}_impact" for m in metrics])
-    text = F.concat_ws(" · ", F.col("_key"), *[F.concat(F.lit(f"{m} "), F.format_string("%+.1f", f"{m}_impact")) for m in metrics])
+    text = F.concat_ws(" · ", F.col("_key"), *[F.when(F.col(f"{m}_impact").isNotNull(), F.concat(F.lit(f"{m} "), F.format_string("%+.1f", f"{m}_impact"))) for m in metrics])
     return keyed.join(found, "_key", "left").withColumn("label", text).drop("_key", *[f"{m}_impact" for m in metrics])
 
 

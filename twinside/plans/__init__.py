@@ -1,4 +1,4 @@
 """Named queries; importing this package fills the registry."""
 
-from twinside.plans import aggregates, gates, scalars, sources, windows  # noqa: F401
+from twinside.plans import aggregates, gates, patterns, scalars, sources, windows  # noqa: F401
 from twinside.plans.base import registry  # noqa: F401

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from twinside.functions.numbers import null_safe_sum
 from twinside.functions.text import person_name
 from twinside.operators import features as ft, joins as jn, quality as qa
 from twinside.operators.aggregates import latest_standings, standings, tail_rows
+from twinside.operators.ordering import rank_rows
 from twinside.operators.scan import asof, day_states, means, prior_features
 from twinside.operators.sides import side_rows
 from twinside.plans.aggregates import COLS, sides
@@ -123,7 +124,7 @@ side_feats AS (
     count(event_id) AS career_matches_before, {_filtered([*COLS, "points"], "rn <= 5", "career_last5_{}_avg")},
     count(*) FILTER (met) AS h2h_matches_before, {_filtered(COLS, "met", "h2h_{}_avg_before")}, {_filtered(COLS, "met AND rn_met <= 3", "h2h_last3_{}_avg_before")},
     date_diff('day', max(d), event_date) AS days_rest
-  FROM h GROUP BY ALL)
+  FROM h GROUP BY fixture_id, season, event_date, side, opponent, venue, official)
 """
 SIDE_FEATURE_NAMES = (
     ["matches_before"] + [f"season_{c}_avg" for c in COLS] + [f"last{n}_{c}_avg" for n in (3, 5, 10) for c in COLS]
@@ -463,25 +464,8 @@ def coverage(spark, root):
     """, x AS (SELECT event_id, row_number() OVER (PARTITION BY season ORDER BY a_qty DESC NULLS LAST, event_date, kickoff_time, event_id) AS place FROM contests) SELECT * FROM x""",
 )
 def ordered(spark, root):
-    w = Window.partitionBy("season", "_block").orderBy(F.desc_nulls_last("a_qty"), "event_date", "kickoff_time", "event_id")
-    return ranked_in_blocks(contests(spark, root), ["season"], "a_qty", w)
-
-
-def ranked_in_blocks(df, keys, lead, w):
-    """Rank every row of a key without one task per key: rank inside equal lead values, shifted by the rows ahead.
-
-    The lead column is a count with few distinct values, so its histogram gives
-    each block's starting place.
-    """
-    blocks = df.groupBy(*keys, F.col(lead).alias("_block")).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(*keys, "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    rows = df.withColumn("_block", F.col(lead)).withColumn("_rn", F.row_number().over(w))
-    same = [rows[k] == starts[k] for k in keys] + [F.equal_null(rows["_block"], starts["_block"])]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return rows.join(starts, on).select(rows["event_id"], (F.col("_start") + F.col("_rn")).alias("place"))
+    order = ["event_date", "kickoff_time", "event_id"]
+    return rank_rows(contests(spark, root), ["season"], "a_qty", order).select("event_id", "place")
 
 
 @query(
