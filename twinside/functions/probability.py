@@ -1,8 +1,9 @@
 """Count distributions as pure column expressions.
 
 ``alpha`` is the extra dispersion of a negative binomial with variance
-``mu + alpha * mu**2``; a null or zero ``alpha`` means Poisson.  All terms are
-built in log space, so a large mean cannot underflow the first term.
+``mu + alpha * mu**2``; a null or zero ``alpha`` means Poisson.  Lambdas over
+arrays evaluate their expressions at every step, so the constants of a
+distribution are bound once as a ``family`` struct.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def log_gamma(x: Column) -> Column:
 
 
 def mean_of(mu: Column, floor: float = FLOOR) -> Column:
-    return F.greatest(mu.cast("double"), F.lit(floor))
+    return F.when(mu.isNotNull(), F.greatest(mu.cast("double"), F.lit(floor)))
 
 
 def total_alpha(mu_a: Column, mu_b: Column, alpha: Column) -> Column:
@@ -38,43 +39,72 @@ def total_alpha(mu_a: Column, mu_b: Column, alpha: Column) -> Column:
     return F.when((alpha > 0) & (var > mu), (var - mu) / (mu * mu))
 
 
-def log_pmf(k: Column, mu: Column, alpha: Column) -> Column:
-    k = k.cast("double")
-    n = 1.0 / alpha
-    poisson = k * F.ln(mu) - mu - log_gamma(k + 1.0)
-    nb = (
-        log_gamma(k + n) - log_gamma(n) - log_gamma(k + 1.0)
-        - n * F.log1p(alpha * mu) + k * (F.ln(alpha * mu) - F.log1p(alpha * mu))
+def family(mu: Column, alpha: Column, floor: float = FLOOR) -> Column:
+    """Struct of all constants of one distribution, to be stored as a column and used many times.
+
+    Both families obey ``pmf(k) / pmf(k - 1) = a + b / k``.
+    """
+    return bind(F.struct(mean_of(mu, floor).alias("mu"), F.when(alpha > 0, alpha).alias("alpha")), _constants)
+
+
+def _constants(z: Column) -> Column:
+    m, alpha = z["mu"], z["alpha"]
+    nb = alpha.isNotNull()
+    size = 1.0 / alpha
+    q = alpha * m / (1.0 + alpha * m)
+    return F.struct(
+        m.alias("mu"),
+        alpha.alias("alpha"),
+        F.when(nb, q).otherwise(0.0).alias("a"),
+        F.when(nb, (size - 1.0) * q).otherwise(m).alias("b"),
+        size.alias("size"),
+        F.when(nb, F.ln(q)).otherwise(F.ln(m)).alias("log_ratio"),
+        F.when(nb, -size * F.log1p(alpha * m) - log_gamma(size)).otherwise(-m).alias("log_start"),
+        # How far above the mean terms still count in double precision.
+        F.ceil(9.0 * F.sqrt(m + F.coalesce(alpha, F.lit(0.0)) * m * m) + 40.0 * (F.coalesce(alpha * m, F.lit(0.0)) + 1.0)).cast("int").alias("reach"),
     )
-    return F.when(alpha > 0, nb).otherwise(poisson)
 
 
-def _log_step(k: Column, mu: Column, alpha: Column) -> Column:
-    """log(pmf(k) / pmf(k - 1))."""
+def log_pmf(k: Column, f: Column) -> Column:
     k = k.cast("double")
-    nb = F.ln((k - 1.0 + 1.0 / alpha) / k) + F.ln(alpha * mu) - F.log1p(alpha * mu)
-    return F.when(alpha > 0, nb).otherwise(F.ln(mu / k))
+    shape = F.when(f["size"].isNotNull(), log_gamma(k + f["size"])).otherwise(0.0)
+    return f["log_start"] + k * f["log_ratio"] + shape - log_gamma(k + 1.0)
 
 
-def _log_zero(mu: Column, alpha: Column) -> Column:
-    return F.when(alpha > 0, -F.log1p(alpha * mu) / alpha).otherwise(-mu)
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
 
+    A one-element array names it: the optimizer would otherwise paste the whole
+    expression into every use.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def over_probability(f: Column, line: Column) -> Column:
+    """P(X > floor(line)) of a ``family``.
 
-def over_probability(mu: Column, line: Column, alpha: Column | None = None, floor: float = FLOOR) -> Column:
-    """P(X > floor(line))."""
-    alpha = F.lit(None).cast("double") if alpha is None else alpha
-    m = mean_of(mu, floor)
+    Up to the mean it is one minus the lower tail, summed downwards from its
+    top term; above the mean the upper tail itself is summed, so a small
+    probability keeps its digits.  Each step is one ratio, and only the top
+    term needs a logarithm, so a large mean cannot underflow.
+    """
     k = F.floor(line).cast("int")
-    first = _log_zero(m, alpha)
-    start = F.struct(first.alias("t"), F.exp(first).alias("s"))
 
-    def add(acc, i):
-        t = acc["t"] + _log_step(i, m, alpha)
-        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
+    def tail(f: Column) -> Column:
+        ratio = lambda i: f["a"] + f["b"] / i
+        low = F.aggregate(_steps(k), F.lit(1.0), lambda acc, i: acc / ratio(i) + 1.0)
+        # Descending, so that each step closes the bracket of the one before.
+        high = F.aggregate(F.sequence(k + 1 + f["reach"], k + 2, F.lit(-1)), F.lit(1.0), lambda acc, i: acc * ratio(i) + 1.0)
+        upper = F.exp(log_pmf(k + 1, f) + F.ln(high))
+        lower = F.exp(log_pmf(k, f) + F.ln(low))
+        inner = F.when(k + 1 > f["mu"], upper).otherwise(1.0 - lower)
+        return F.when(f["mu"].isNull(), F.lit(None)).when(k < 0, F.lit(1.0)).otherwise(inner)
+
+    return bind(f, tail)
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    below = F.aggregate(steps, start, add, lambda acc: acc["s"])
-    return F.when(k < 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - below))
+
+def _steps(k: Column) -> Column:
+    return F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
 
 
 def fair_odds(p: Column) -> Column:
@@ -88,42 +118,53 @@ def total_lines(mu: Column, reach: int = 8) -> Column:
     return F.transform(F.sequence(low, center + reach), lambda x: x.cast("double") + 0.5)
 
 
-def pmf_values(mu: Column, alpha: Column) -> Column:
+def pmf_values(f: Column) -> Column:
     """Probabilities of 0..hi with ``hi`` the larger of 25 and the 0.999999 quantile."""
-    m = mean_of(mu)
-    spread = F.sqrt(m + F.coalesce(alpha, F.lit(0.0)) * m * m)
-    reach = F.ceil(m + 15.0 * spread * F.greatest(F.lit(1.0), F.sqrt(F.coalesce(alpha, F.lit(0.0)))) + 30.0).cast("int")
-    terms = F.transform(F.sequence(F.lit(0), reach), lambda k: F.exp(log_pmf(k, m, alpha)))
+    return bind(bind(f, _all_terms), _to_quantile)
+
+
+def _all_terms(f: Column) -> Column:
+    last = F.ceil(f["mu"]).cast("int") + f["reach"]
+    first = log_pmf(F.lit(0), f)
+
+    def extend(acc: Column, k: Column) -> Column:
+        t = acc["t"] + F.ln(f["a"] + f["b"] / k)
+        return F.struct(t.alias("t"), F.concat(acc["p"], F.array(F.exp(t))).alias("p"))
+
+    start = F.struct(first.alias("t"), F.array(F.exp(first)).alias("p"))
+    return F.aggregate(F.sequence(F.lit(1), last), start, extend, lambda acc: acc["p"])
+
+
+def _to_quantile(terms: Column) -> Column:
     # Count the support points whose cumulative probability is still below the tail.
-    quantile = F.aggregate(
+    below = F.aggregate(
         terms,
         F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-        lambda a, p: F.struct(
-            (a["s"] + p).alias("s"), (a["n"] + F.when(a["s"] + p < TAIL, 1).otherwise(0)).alias("n")
-        ),
+        lambda a, p: F.struct((a["s"] + p).alias("s"), (a["n"] + F.when(a["s"] + p < TAIL, 1).otherwise(0)).alias("n")),
         lambda a: a["n"],
     )
-    return F.slice(terms, F.lit(1), F.greatest(F.lit(25), quantile) + 1)
+    return F.slice(terms, F.lit(1), F.greatest(F.lit(25), below) + 1)
 
 
-def best_range(mu: Column, alpha: Column, width: Column) -> Column:
+def best_range(f: Column, width: Column) -> Column:
     """Struct(low, high, probability) of the likeliest window of ``width`` whole numbers.
 
     Both families have one peak, so the best window holds the mode: only the
     windows around it are evaluated, whatever the mean.
     """
-    m = mean_of(mu)
-    mode = F.when(alpha > 0, F.floor(m * F.greatest(F.lit(0.0), 1.0 - alpha))).otherwise(F.floor(m)).cast("int")
-    first = F.greatest(F.lit(0), mode - width - 1)
-    points = F.transform(F.sequence(first, mode + width + 1), lambda k: F.exp(log_pmf(k, m, alpha)))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(points) - width),
-        lambda i: F.struct(
-            F.aggregate(F.slice(points, i + 1, width), F.lit(0.0), lambda s, p: s + p).alias("probability"),
-            (-(first + i)).alias("neg_low"),
-        ),
-    )
-    best = F.array_max(windows)
-    return F.struct(
-        (-best["neg_low"]).alias("low"), (-best["neg_low"] + width - 1).alias("high"), best["probability"].alias("probability")
-    )
+
+    def around(f: Column) -> Column:
+        shrink = F.greatest(F.lit(0.0), 1.0 - F.coalesce(f["alpha"], F.lit(0.0)))
+        mode = F.floor(f["mu"] * shrink).cast("int")
+        first = F.greatest(F.lit(0), mode - width - 1)
+        terms = F.transform(F.sequence(first, mode + width + 1), lambda k: F.exp(log_pmf(k, f)))
+        return F.struct(first.alias("first"), terms.alias("terms"))
+
+    def window(z: Column, i: Column) -> Column:
+        mass = F.aggregate(F.slice(z["terms"], i + 1, width), F.lit(0.0), lambda s, p: s + p)
+        # The greatest struct is the first of the heaviest windows.
+        return F.struct(mass.alias("probability"), (-(z["first"] + i)).alias("neg_low"))
+
+    heaviest = lambda z: F.array_max(F.transform(F.sequence(F.lit(0), F.size(z["terms"]) - width), lambda i: window(z, i)))
+    named = lambda b: F.struct((-b["neg_low"]).alias("low"), (-b["neg_low"] + width - 1).alias("high"), b["probability"].alias("probability"))
+    return bind(bind(bind(f, around), heaviest), named)

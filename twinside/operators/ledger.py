@@ -14,8 +14,12 @@ from twinside.operators.models import Market, fill_ranges
 from twinside.operators.ordering import lowest_line
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
 def _schema(fields: str) -> T.StructType:
-    return T.StructType.fromDDL(fields)
+    """A struct from ``name type, ...`` text; needs no running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
 
 
 SELECTIONS = _schema(

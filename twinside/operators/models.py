@@ -42,19 +42,20 @@ MARKETS = (
 )
 
 
-def by_market(markets: Sequence[Market], value, market: str = "market") -> Column:
-    """Column that picks ``value(market)`` by market name; totals go by their base market."""
-    pairs = [x for m in markets for n in (m.name, m.total) for x in (F.lit(n), value(m))]
-    return F.try_element_at(F.create_map(*pairs), F.col(market))
+def by_market(markets: Sequence[Market], value) -> Column:
+    """``value(market)`` picked by market name; a total goes by its base market."""
+    out = F.lit(None)
+    for m in reversed(markets):
+        out = F.when(F.col("market").isin(m.name, m.total), value(m)).otherwise(out)
+    return out
 
 
 def alpha_of(markets: Sequence[Market]) -> Column:
-    return by_market(markets, lambda m: F.lit(m.alpha).cast("double"))
+    return by_market(markets, lambda m: F.lit(m.alpha)).cast("double")
 
 
 def width_of(markets: Sequence[Market]) -> Column:
-    pairs = [x for m in markets for x in (F.lit(m.name), F.lit(m.width), F.lit(m.total), F.lit(m.total_width))]
-    return F.try_element_at(F.create_map(*pairs), F.col("market"))
+    return by_market(markets, lambda m: F.when(F.col("market") == m.total, m.total_width).otherwise(m.width)).cast("int")
 
 
 def baseline(market: Market, train_mean: Column, side_mean: bool = False) -> Column:
@@ -114,8 +115,8 @@ def forecast_errors(rows: DataFrame, keys: Sequence[str], prediction: str = "pre
 def over_lines(rows: DataFrame, markets: Sequence[Market]) -> DataFrame:
     """One row per line with over/under probability and fair odds."""
     lines = by_market(markets, lambda m: F.array(*[F.lit(x) for x in m.lines]))
-    priced = rows.withColumn("line", F.explode(lines))
-    return with_prices(priced.withColumn("p_over", pr.over_probability(F.col("prediction"), F.col("line"), alpha_of(markets))))
+    priced = rows.withColumn("_f", pr.family(F.col("prediction"), alpha_of(markets))).withColumn("line", F.explode(lines))
+    return with_prices(priced.withColumn("p_over", pr.over_probability(F.col("_f"), F.col("line"))).drop("_f"))
 
 
 def with_prices(rows: DataFrame) -> DataFrame:
@@ -138,8 +139,10 @@ def total_dispersion(markets: Sequence[Market]) -> Column:
 
 def over_total_lines(totals: DataFrame, markets: Sequence[Market]) -> DataFrame:
     """Half-lines around each total; the dispersion matches the variance of the two sides' sum."""
-    lined = totals.withColumn("line", F.explode(pr.total_lines(F.col("prediction"))))
-    return with_prices(lined.withColumn("p_over", pr.over_probability(F.col("prediction"), F.col("line"), total_dispersion(markets))))
+    lined = totals.withColumn("_f", pr.family(F.col("prediction"), total_dispersion(markets))).withColumn(
+        "line", F.explode(pr.total_lines(F.col("prediction")))
+    )
+    return with_prices(lined.withColumn("p_over", pr.over_probability(F.col("_f"), F.col("line"))).drop("_f"))
 
 
 def wide_lines(scored: DataFrame, keys: Sequence[str], lines: Sequence[float]) -> DataFrame:
@@ -193,10 +196,10 @@ def fill_ranges(log: DataFrame, markets: Sequence[Market], fixture: Sequence[str
     a, b = pr.mean_of(F.col("_lo")), pr.mean_of(F.col("_hi"))
     own = alpha_of(markets)
     dispersion = F.when(total & (F.col("_n") >= 2), F.coalesce(_summed_alpha(F.col("prediction"), a, b, own), own)).otherwise(own)
-    best = pr.best_range(F.col("prediction"), dispersion, width_of(markets))
     missing = F.col("range_low").isNull() | F.col("range_high").isNull() | F.col("range_probability").isNull()
     known = width_of(markets).isNotNull() & F.col("prediction").isNotNull()
-    filled = rows.withColumn("_best", F.when(missing & known, best))
+    shaped = rows.withColumns({"_f": pr.family(F.col("prediction"), dispersion), "_w": F.when(missing & known, width_of(markets))})
+    filled = shaped.withColumn("_best", F.when(F.col("_w").isNotNull(), pr.best_range(F.col("_f"), F.col("_w"))))
     pick = lambda c, f: F.when(F.col("_best").isNotNull(), F.col(f"_best.{f}")).otherwise(F.col(c))
     return filled.withColumns(
         {

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from twinside.functions import probability as pr
 from twinside.operators import features as ft, models as md, ordering as od, quality as qa
 from twinside.operators.sides import for_against, side_rows
-from twinside.plans.base import query
+from twinside.plans.base import query, rounded
 from twinside.plans.gates import FIXTURE_SIDE_FEATURES, FIXTURES, fixtures
-from twinside.plans.windows import FEATURES, RECENT_TOTALS
+from twinside.plans.windows import RECENT_TOTALS
 from twinside.session import settle
 from twinside.sources.tables import METRICS, contests
 
@@ -38,8 +38,8 @@ def _baseline_sql(m: md.Market, opp: str = "o", league: str = "f") -> str:
 
 _over = lambda part, n: f"OVER (PARTITION BY {part} ORDER BY event_date, event_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 _COLS = [f"{m.name}_{d}" for m in MARKETS for d in ("for", "against")]
-FORECASTS = f""", lday AS (SELECT season, event_date, count(*) AS n, {", ".join(f"coalesce(sum(a_{m.name} + b_{m.name}), 0) AS t_{m.name}" for m in MARKETS)} FROM contests GROUP BY ALL),
-lbefore AS (SELECT d.season, d.event_date, {", ".join(f"sum(p.t_{m.name}) / nullif(sum(p.n), 0) AS league_{m.name}" for m in MARKETS)}
+FORECASTS = f""", lday AS (SELECT season, event_date, count(*) AS n, {", ".join(f"coalesce(sum(a_{m.name} + b_{m.name}), 0) AS t_{m.name}" for m in MARKETS)}, sum(a_qty) AS a_qty, sum(b_qty) AS b_qty FROM contests GROUP BY ALL),
+lbefore AS (SELECT d.season, d.event_date, {", ".join(f"sum(p.t_{m.name}) / nullif(sum(p.n), 0) AS league_{m.name}" for m in MARKETS)}, sum(p.a_qty) / nullif(sum(p.n), 0) AS la_qty, sum(p.b_qty) / nullif(sum(p.n), 0) AS lb_qty
   FROM lday d LEFT JOIN lday p ON p.season = d.season AND p.event_date < d.event_date GROUP BY d.season, d.event_date),
 seasons AS (SELECT DISTINCT season FROM contests),
 train AS (SELECT z.season, {", ".join(f"avg(s.{m.target}) AS train_{m.name}" for m in MARKETS)} FROM seasons z LEFT JOIN sides s ON s.season < z.season GROUP BY z.season),
@@ -58,14 +58,14 @@ def baseline(spark, root):
 
 @query(
     "M_01_baseline_with_side_mean",
-    FEATURES + """SELECT o.event_id, o.side, round(coalesce((coalesce(o.season_qty_for_avg, o.career_last5_qty_for_avg) + coalesce(p.season_qty_against_avg, p.career_last5_qty_against_avg)) / 2,
-      CASE WHEN o.venue = 'H' THEN o.league_a_qty_avg_before ELSE o.league_b_qty_avg_before END, o.league_total_qty_avg_before / 2, 51.5), 3) AS prediction
-    FROM own o JOIN own p ON p.event_id = o.event_id AND p.side = o.opponent""",
+    FORECASTS + """SELECT f.event_id, f.side, round(coalesce((coalesce(f.season_qty_for_avg_x, f.career_last5_qty_for_avg_x) + coalesce(o.season_qty_against_avg_x, o.career_last5_qty_against_avg_x)) / 2,
+      CASE WHEN f.venue = 'H' THEN la_qty ELSE lb_qty END, league_qty / 2, 51.5), 6) AS prediction
+    FROM fe f JOIN fe o ON o.event_id = f.event_id AND o.side = f.opponent JOIN lbefore l ON l.season = f.season AND l.event_date = f.event_date""",
 )
 def baseline_side(spark, root):
     rows = md.baseline_features(fact(spark, root), METRICS)
     value = md.baseline(MARKETS[0], F.lit(51.5), side_mean=True)
-    return rows.select("event_id", "side", F.round(value, 3).alias("prediction"))
+    return rows.select("event_id", "side", value.alias("prediction"))
 
 
 GAPPY = ["season_qty_for_avg", "season_lines_for_avg", "career_last5_qty_for_avg", "career_last5_bulk_against_avg"]
@@ -106,7 +106,7 @@ def forest(spark, root):
 
 @query(
     "M_04_ensemble",
-    FORECASTS + """SELECT f.event_id, f.side, round(greatest(0.7 * coalesce(last10, prediction) + 0.3 * prediction, 0.05), 6) AS ensemble
+    FORECASTS + """SELECT f.event_id, f.side, round(greatest(coalesce(last10, prediction) * 0.7::DOUBLE + prediction * (1 - 0.7::DOUBLE), 0.05), 6) AS ensemble
     FROM forecasts f JOIN (SELECT event_id, side, avg(qty_for) OVER (PARTITION BY side ORDER BY event_date, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS last10 FROM sides) x USING (event_id, side) WHERE market = 'qty'""",
 )
 def ensembled(spark, root):
@@ -126,13 +126,15 @@ def pmf_sql(i: str, mu: str, alpha: str) -> str:
 
 
 def over_sql(mu: str, line: str, alpha: str) -> str:
-    return f"(1 - list_sum(list_transform(range(0, CAST(floor({line}) AS BIGINT) + 1), lambda i: {pmf_sql('i', mu, alpha)})))"
+    terms = lambda lo, hi: f"list_sum(list_transform(range({lo}, {hi}), lambda i: {pmf_sql('i', mu, alpha)}))"
+    k = f"CAST(floor({line}) AS BIGINT)"
+    return f"CASE WHEN {mu} IS NULL THEN NULL WHEN {k} + 1 > {mu} THEN {terms(f'{k} + 1', f'{k} + 161')} ELSE 1 - {terms('0', f'{k} + 1')} END"
 
 
 ALPHA = "CASE market WHEN 'lines' THEN 0.11::DOUBLE WHEN 'lines_total' THEN 0.11::DOUBLE END"
 LINES = ", ".join(f"('{m.name}', CAST({x} AS DOUBLE))" for m in MARKETS for x in m.lines)
 SCORED = FORECASTS + f""", line_list(market, line) AS (VALUES {LINES}),
-lined AS (SELECT f.*, line, greatest(prediction, 0.05) AS mu, {ALPHA} AS alpha FROM forecasts f JOIN line_list USING (market)),
+lined AS (SELECT f.*, line, CASE WHEN prediction IS NOT NULL THEN greatest(prediction, 0.05) END AS mu, {ALPHA} AS alpha FROM forecasts f JOIN line_list USING (market)),
 scored AS (SELECT *, {over_sql('mu', 'line', 'alpha')} AS p_over FROM lined)
 """
 
@@ -149,11 +151,15 @@ def negative_binomial(spark, root):
 
 @query(
     "M_07_under_and_fair_odds",
-    SCORED + "SELECT event_id, side, market, line, round(1 - p_over, 6) AS p_under, round(1 / p_over, 4) AS fair_over, round(1 / (1 - p_over), 4) AS fair_under FROM scored WHERE market <> 'qty'",
+    SCORED + "SELECT event_id, side, market, line, round(1 - p_over, 6) AS p_under, CASE WHEN p_over > 1e-9 THEN round(ln(1 + 1 / p_over), 5) END AS log_odds_over, CASE WHEN 1 - p_over > 1e-9 THEN round(ln(1 + 1 / (1 - p_over)), 5) END AS log_odds_under FROM scored WHERE market <> 'qty'",
 )
 def odds(spark, root):
     rows = md.over_lines(forecasts(spark, root).filter("market <> 'qty'"), MARKETS)
-    return rows.select("event_id", "side", "market", "line", "p_under", F.round("fair_over", 4).alias("fair_over"), F.round("fair_under", 4).alias("fair_under"))
+    # Logarithms keep long odds comparable between engines.
+    logged = lambda p, odds: F.when(F.col(p) > 1e-9, rounded(F.ln(F.col(odds) + 1), 1e5))
+    return rows.select(
+        "event_id", "side", "market", "line", "p_under", logged("p_over", "fair_over").alias("log_odds_over"), logged("p_under", "fair_under").alias("log_odds_under")
+    )
 
 
 TOTALS = FORECASTS + f""", totals AS (SELECT event_id, market || '_total' AS market, max(prediction) FILTER (venue = 'H') AS mu_a, max(prediction) FILTER (venue = 'A') AS mu_b,
@@ -246,7 +252,8 @@ def batch(spark, root):
     rows = wide_features(spark, root)
     fitted = md.fit_forest(rows.filter("season < '2000-01'"), FOREST_INPUTS, "target_qty_for", **FOREST)
     scored = fitted.predict(rows.filter("season >= '2000-01'")).withColumn("prediction", md.ensemble(F.col("model_prediction"), md.baseline(MARKETS[0], F.lit(fitted.train_mean)), MARKETS[0].model_weight))
-    return scored.select("event_id", "side", "prediction", *[pr.over_probability(F.col("prediction"), F.lit(x)).alias(f"p_over_{_key(x)}") for x in MARKETS[0].lines])
+    scored = scored.withColumn("f", pr.family(F.col("prediction"), F.lit(MARKETS[0].alpha).cast("double")))
+    return scored.select("event_id", "side", "prediction", *[pr.over_probability(F.col("f"), F.lit(x)).alias(f"p_over_{_key(x)}") for x in MARKETS[0].lines])
 
 
 @query(
@@ -304,13 +311,16 @@ PMF_SQL = FORECASTS + f""", p AS (SELECT event_id, side, market, greatest(predic
 
 @query(
     "M_19_pmf",
-    PMF_SQL + """SELECT event_id, side, market, max(k) + 1 AS support, round(sum(p), 6) AS mass, round(sum(p * k), 6) AS mean FROM cum JOIN cut USING (event_id, side, market) WHERE k <= hi GROUP BY event_id, side, market""",
+    PMF_SQL + """SELECT event_id, side, market, max(k) + 1 AS support, round(sum(p), 6) AS mass, round(ln(sum(p * k)), 6) AS log_mean FROM cum JOIN cut USING (event_id, side, market) WHERE k <= hi GROUP BY event_id, side, market""",
 )
 def pmf(spark, root):
     rows = forecasts(spark, root).filter("prediction IS NOT NULL")
-    values = rows.select("event_id", "side", "market", pr.pmf_values(F.col("prediction"), md.alpha_of(MARKETS)).alias("p"))
+    shaped = rows.withColumn("f", pr.family(F.col("prediction"), md.alpha_of(MARKETS)))
+    values = shaped.withColumn("p", pr.pmf_values(F.col("f")))
     total = lambda f: F.aggregate(F.transform("p", f), F.lit(0.0), lambda a, x: a + x)
-    return values.select("event_id", "side", "market", F.size("p").alias("support"), total(lambda x, i: x).alias("mass"), total(lambda x, i: x * i).alias("mean"))
+    return values.select(
+        "event_id", "side", "market", F.size("p").alias("support"), total(lambda x, i: x).alias("mass"), F.ln(total(lambda x, i: x * i)).alias("log_mean")
+    )
 
 
 RANGE_SQL = """, w AS (SELECT event_id, side, market, k, sum(p) OVER (PARTITION BY event_id, side, market ORDER BY k ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS s2,
@@ -325,14 +335,15 @@ RANGE_SQL = """, w AS (SELECT event_id, side, market, k, sum(p) OVER (PARTITION
 )
 def likeliest(spark, root):
     rows = forecasts(spark, root).filter("prediction IS NOT NULL")
-    best = pr.best_range(F.col("prediction"), md.alpha_of(MARKETS), md.width_of(MARKETS))
-    return rows.select("event_id", "side", "market", best.alias("r")).select("event_id", "side", "market", "r.*")
+    shaped = rows.withColumns({"f": pr.family(F.col("prediction"), md.alpha_of(MARKETS)), "w": md.width_of(MARKETS)})
+    best = pr.best_range(F.col("f"), F.col("w"))
+    return shaped.select("event_id", "side", "market", best.alias("r")).select("event_id", "side", "market", "r.*")
 
 
 @query(
     "T_02_best_line",
     SCORED + """SELECT event_id, side, market, line, round(p_over, 6) AS p_over FROM (
-      SELECT *, row_number() OVER (PARTITION BY event_id, side, market ORDER BY p_over DESC, line) AS rn FROM scored WHERE 1 / p_over >= 2) WHERE rn = 1""",
+      SELECT *, row_number() OVER (PARTITION BY event_id, side, market ORDER BY p_over DESC, line) AS rn FROM scored WHERE p_over <= 0.5) WHERE rn = 1""",
 )
 def best_line(spark, root):
     rows = md.over_lines(forecasts(spark, root).filter("prediction IS NOT NULL"), MARKETS)
