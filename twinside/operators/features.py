@@ -46,20 +46,14 @@ def league_daily(contests: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
     The divisor counts every earlier contest, also those with a missing metric.
     """
-    per_day = contests.groupBy("season", "event_date").agg(
-        F.count("*").alias("_n"),
-        *[F.coalesce(F.sum(F.col(f"a_{m}") + F.col(f"b_{m}")), F.lit(0)).alias(f"league_total_{m}") for m in metrics],
-        *[F.coalesce(F.sum(f"{s}_{m}"), F.lit(0)).alias(f"league_{s}_{m}") for m in metrics for s in ("a", "b")],
-    )
-    w = Window.partitionBy("season").orderBy("event_date").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    return per_day.select(
-        "season", "event_date", before.alias("league_matches_before"),
-        *[
-            F.try_divide(F.sum(c).over(w), F.nullif(before, F.lit(0))).alias(f"{c}_avg_before")
-            for c in per_day.columns
-            if c.startswith("league_")
-        ],
+    parts = {f"league_total_{m}": f"a_{m} + b_{m}" for m in metrics} | {f"league_{s}_{m}": f"{s}_{m}" for m in metrics for s in ("a", "b")}
+    return contests.sparkSession.sql(
+        f"""SELECT season, event_date, coalesce(sum(_n) OVER w, 0) AS league_matches_before,
+          {", ".join(f"try_divide(sum({n}) OVER w, nullif(sum(_n) OVER w, 0)) AS {n}_avg_before" for n in parts)}
+        FROM (SELECT season, event_date, count(*) AS _n, {", ".join(f"coalesce(sum({e}), 0) AS {n}" for n, e in parts.items())}
+          FROM {{contests}} GROUP BY season, event_date)
+        WINDOW w AS (PARTITION BY season ORDER BY event_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        contests=contests,
     )
 
 
@@ -162,12 +156,10 @@ def mirror(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Both rows are neighbours in one window over the contest: one shuffle, where
     a self join would move the wide frame twice.
     """
-    w = Window.partitionBy("event_id").orderBy("venue")
-    other = F.struct(*columns)
-    return (
-        df.withColumn("_opp", F.coalesce(F.lead(other).over(w), F.lag(other).over(w)))
-        .select(*df.columns, *[F.col(f"_opp.{c}").alias(f"opp_{c}") for c in columns])
-    )
+    other = f"struct({', '.join(columns)})"
+    w = "OVER (PARTITION BY event_id ORDER BY venue)"
+    paired = df.selectExpr("*", f"coalesce(lead({other}) {w}, lag({other}) {w}) AS _opp")
+    return paired.selectExpr("*", *[f"_opp.{c} AS opp_{c}" for c in columns]).drop("_opp")
 
 
 def training_features(contests: DataFrame, metrics: Sequence[str], recent: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -191,8 +183,8 @@ def training_features(contests: DataFrame, metrics: Sequence[str], recent: Seque
     )
     measured = {*for_against(metrics), "points", "result", "kickoff_time"}
     own = [c for c in wide.columns if c not in IDENTIFIERS and c not in measured]
-    return mirror(wide, own).select(
-        *IDENTIFIERS, *own, *[f"opp_{c}" for c in own], *[F.col(c).alias(f"target_{c}") for c in for_against(metrics)]
+    return mirror(wide, own).selectExpr(
+        *IDENTIFIERS, *own, *[f"opp_{c}" for c in own], *[f"{c} AS target_{c}" for c in for_against(metrics)]
     )
 
 
@@ -209,7 +201,7 @@ def contest_context(features: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+    return df.withColumnsRenamed(names)
 
 
 def fixture_features(contests: DataFrame, fixtures: DataFrame, metrics: Sequence[str], recent: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from twinside.functions.numbers import sample_class, valid_count
 from twinside.functions.text import is_blank
 from twinside.operators.quality import pair_verdicts
 from twinside.operators.scan import asof
+from twinside.session import settle
 
 KEY = ["pattern_type", "entity", "venue", "weekday", "daypart", "metric"]
 PRIOR_STRENGTH = 5.0
@@ -188,6 +189,7 @@ def analyze(contests: DataFrame, sides: DataFrame, metrics: Sequence[str]) -> di
     """All pattern tables of one history."""
     entity, official = prepare(contests, sides, metrics)
     seasonal = season_patterns(moments(entity, "side", metrics).unionByName(moments(official, "official", metrics)), metrics)
+    seasonal = settle(seasonal, "season-patterns")
     validation = walk_forward(seasonal)
     return {
         "seasonal": seasonal, "stability": stability(seasonal), "quality": preparation_quality(contests, sides, metrics),
@@ -261,11 +263,15 @@ def match_patterns(contests: DataFrame, sides: DataFrame, fixtures: DataFrame, m
     for frame, kind in ((entity, "side"), (official, "official")):
         wanted = subjects.filter(F.col("kind") == kind)
         parts.append(_history_moments(frame, contests, wanted, kind, metrics))
-    mom = parts[0].unionByName(parts[1])
+    # Moments and season patterns feed several summaries: written once, read many times.
+    mom = settle(parts[0].unionByName(parts[1]), "fixture-moments")
     fid = ["fixture_id"]
     context = fixtures.select("fixture_id", F.col("season").alias("_season"), F.col("weekday").alias("_weekday"), F.col("daypart").alias("_daypart"))
-    relevant = season_patterns(mom, metrics, fid).join(context, "fixture_id").filter(
-        F.expr("(weekday <> '' AND weekday = _weekday) OR (daypart <> '' AND daypart = _daypart)")
+    relevant = settle(
+        season_patterns(mom, metrics, fid).join(context, "fixture_id").filter(
+            F.expr("(weekday <> '' AND weekday = _weekday) OR (daypart <> '' AND daypart = _daypart)")
+        ),
+        "fixture-patterns",
     )
     seasonal = relevant.drop("_season", "_weekday", "_daypart")
     validation = walk_forward(seasonal, fid)

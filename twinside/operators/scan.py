@@ -51,16 +51,18 @@ def hot_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], hot_rows: int = H
     return [settle(h.drop("count"), "hot-keys") if i in found else None for i, h in enumerate(heavy)]
 
 
-def _plain(specs: Sequence[Prior], w) -> list[Column]:
-    def one(s: Prior) -> Column:
+def _plain(specs: Sequence[Prior], keys: Sequence[str], day: str, tie: str) -> list[str]:
+    """SQL text of row-prior windows over whole keys; texts keep plan building quick for wide lists."""
+    part = f"PARTITION BY {', '.join(keys)} ORDER BY {day}, {tie}"
+
+    def one(s: Prior) -> str:
         if s.kind == "count":
-            return F.row_number().over(w).cast("bigint") - 1
-        if s.kind == "sum":
-            return F.coalesce(F.sum(s.column).over(w.rowsBetween(*BEFORE)), F.lit(0))
-        frame = BEFORE if s.rows is None else (-s.rows, -1)
-        return F.avg(s.column).over(w.rowsBetween(*frame))
+            return f"CAST(row_number() OVER ({part}) AS BIGINT) - 1 AS {s.name}"
+        reach = "UNBOUNDED" if s.rows is None else s.rows
+        over = f"OVER ({part} ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING)"
+        return f"coalesce(sum({s.column}) {over}, 0) AS {s.name}" if s.kind == "sum" else f"avg({s.column}) {over} AS {s.name}"
 
-    return [one(s).alias(s.name) for s in specs]
+    return [one(s) for s in specs]
 
 
 def prior_features(
@@ -78,10 +80,10 @@ def prior_features(
     """
     if isinstance(hot, str):
         hot = hot_keys(df, [keys], hot_rows)[0]
-    plain = lambda rows: rows.select(*df.columns, *_plain(specs, Window.partitionBy(*keys).orderBy(day, tie)))
+    plain = lambda rows: rows.selectExpr("*", *_plain(specs, keys, day, tie))
     if hot is None:
         return plain(df)
-    cold = plain(df.join(hot, list(keys), "left_anti"))
+    cold = plain(df.join(hot, list(keys), "left_anti")).select(*df.columns, *[s.name for s in specs])
     return cold.unionByName(_chunked(df.join(hot, list(keys), "left_semi"), keys, specs, day, tie, hot_rows))
 
 
@@ -175,31 +177,29 @@ def day_states(
     the last few rows of each day, which a limited ranking picks before the
     shuffle.
     """
-    per_day = df.groupBy(*keys, day).agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in means_of], *[F.count(c).alias(f"_n_{c}") for c in means_of]
-    )
-    run = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    states = per_day.select(
-        *keys,
-        day,
-        *([F.sum("_n").over(run).alias(count)] if count else []),
-        *[F.try_divide(F.sum(f"_s_{c}").over(run), F.sum(f"_n_{c}").over(run)).alias(f"all_{c}") for c in means_of],
+    by, n = ", ".join(keys), "ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
+    sums = "".join(f", sum({c}) AS _s_{c}, count({c}) AS _n_{c}" for c in means_of)
+    running = [f"sum(_n) OVER run AS {count}"] if count else []
+    running += [f"try_divide(sum(_s_{c}) OVER run, sum(_n_{c}) OVER run) AS all_{c}" for c in means_of]
+    states = df.sparkSession.sql(
+        f"""SELECT {", ".join([by, day, *running])} FROM (SELECT {by}, {day}, count(*) AS _n{sums} FROM {{df}} GROUP BY {by}, {day}) WINDOW run AS (PARTITION BY {by} ORDER BY {day} {n.format("UNBOUNDED")})""",
+        df=df,
     )
     if not last:
         return states
-    depth = max(n for n, _ in last)
-    newest = Window.partitionBy(*keys, day).orderBy(F.desc(tie))
-    w = Window.partitionBy(*keys).orderBy(day, tie)
-    rolling = (
-        df.select(*keys, day, tie, *sorted({c for _, c in last} - {tie}))
-        .withColumn("_back", F.row_number().over(newest))
-        .filter(F.col("_back") <= depth)
-        .select(
-            *keys, day, "_back", *[F.avg(c).over(w.rowsBetween(-(n - 1), 0)).alias(f"last{n}_{c}") for n, c in last]
-        )
-        .filter("_back = 1")
-        .drop("_back")
+    depth = max(k for k, _ in last)
+    read = ", ".join(dict.fromkeys([*keys, day, tie, *[c for _, c in last]]))
+    frames = ", ".join(f"w{k} AS (PARTITION BY {by} ORDER BY {day}, {tie} {n.format(k - 1)})" for k in sorted({k for k, _ in last}))
+    rolled = ", ".join(f"avg({c}) OVER w{k} AS last{k}_{c}" for k, c in last)
+    rolling = df.sparkSession.sql(
+        f"""SELECT * EXCEPT (_back) FROM (
+          SELECT {by}, {day}, _back, {rolled} FROM (
+            SELECT * FROM (SELECT {read}, row_number() OVER (PARTITION BY {by}, {day} ORDER BY {tie} DESC) AS _back FROM {{df}}) WHERE _back <= {depth})
+          WINDOW {frames}) WHERE _back = 1""",
+        df=df,
     )
+    if not running:
+        return rolling
     return states.join(rolling, [*keys, day])
 
 
@@ -212,14 +212,16 @@ def asof(probe: DataFrame, states: DataFrame, keys: Sequence[str], probe_day: st
     those rows get null states.
     """
     values = [c for c in states.columns if c not in (*keys, day)]
-    asked = probe.select(*keys, F.col(probe_day).alias(day)).dropna().distinct()
-    packed = states.select(*keys, day, F.struct(*values).alias("_state"))
-    w = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1)
-    # A hidden null marks asked days; states of the same day are out of the frame.
-    found = (
-        packed.unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-        .select(*keys, day, "_asked", F.last("_state", ignorenulls=True).over(w).alias("_found"))
-        .filter("_asked")
-        .select(*keys, F.col(day).alias(probe_day), *[F.col(f"_found.{v}").alias(v) for v in values])
+    by, known = ", ".join(keys), " AND ".join(f"{k} IS NOT NULL" for k in (*keys, probe_day))
+    # Asked days carry no state, and states of the same day are outside the frame.
+    found = probe.sparkSession.sql(
+        f"""SELECT {by}, _day AS {probe_day}, {", ".join(f"_found.{v} AS {v}" for v in values)} FROM (
+          SELECT {by}, _day, _asked, last_value(_state) IGNORE NULLS OVER (
+            PARTITION BY {by} ORDER BY unix_date(_day) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _found FROM (
+              SELECT {by}, {day} AS _day, struct({", ".join(values)}) AS _state, false AS _asked FROM {{states}}
+              UNION ALL SELECT DISTINCT {by}, {probe_day}, NULL, true FROM {{probe}} WHERE {known}))
+        WHERE _asked""",
+        states=states,
+        probe=probe,
     )
     return probe.join(found, [*keys, probe_day], "left")

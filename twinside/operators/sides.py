@@ -18,21 +18,15 @@ def for_against(metrics: Sequence[str]) -> list[str]:
 def side_rows(contests: DataFrame, metrics: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Two reciprocal rows per contest from one scan, with result and points."""
 
-    def view(own: str, other: str, venue: str):
-        score = F.col(f"{own}_score"), F.col(f"{other}_score")
-        return F.struct(
-            F.col(f"side_{own}").alias("side"),
-            F.col(f"side_{other}").alias("opponent"),
-            F.lit(venue).alias("venue"),
-            *[F.col(f"{s}_{m}").alias(f"{m}_{d}") for m in metrics for s, d in ((own, "for"), (other, "against"))],
-            outcome(*score).alias("result"),
-            outcome_points(*score).alias("points"),
-        )
+    def view(own: str, other: str, venue: str) -> str:
+        fields = [f"side_{own} AS side", f"side_{other} AS opponent", f"'{venue}' AS venue"]
+        fields += [f"{s}_{m} AS {m}_{d}" for m in metrics for s, d in ((own, "for"), (other, "against"))]
+        return f"struct({', '.join(fields)})"
 
     fixed = ["event_id", "season", "event_date", "kickoff_time", "official", *keep]
-    return contests.select(*fixed, F.explode(F.array(view("a", "b", "H"), view("b", "a", "A"))).alias("v")).select(
-        *fixed, "v.*"
-    )
+    rows = contests.selectExpr(*fixed, f"explode(array({view('a', 'b', 'H')}, {view('b', 'a', 'A')})) AS v").select(*fixed, "v.*")
+    own, other = F.col("score_for"), F.col("score_against")
+    return rows.select("*", outcome(own, other).alias("result"), outcome_points(own, other).alias("points"))
 
 
 def official_rows(contests: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from twinside.plans.aggregates import COLS, sides
 from twinside.plans.base import avgs, query
 from twinside.plans.sources import NAMES, ZONE
 from twinside.plans.windows import FEATURES, RECENT_TOTALS, SEASON, sql_of
-from twinside.sources.tables import METRICS, contests, table
+from twinside.sources.tables import METRICS, contests, fact, table
 
 SCHEDULE = """, schedule AS (SELECT season, CAST(1 + (event_date - make_date(CAST(substr(season, 1, 4) AS BIGINT), 7, 1)) // 10 AS BIGINT) AS match_round,
   event_id, event_date, kickoff_time, side_a, side_b FROM contests),
@@ -76,7 +76,7 @@ STITCHED = ["season_qty_for_avg", "official_total_qty_avg_before", "league_total
 
 @query("J_04_feature_stitching", FEATURES + f"SELECT event_id, side, {', '.join(STITCHED)} FROM own")
 def stitched(spark, root):
-    return ft.training_features(contests(spark, root), METRICS, RECENT_TOTALS).select("event_id", "side", *STITCHED)
+    return ft.training_features(fact(spark, root), METRICS, RECENT_TOTALS).select("event_id", "side", *STITCHED)
 
 
 FIXTURE_DAY = "2001-01-01"
@@ -87,7 +87,11 @@ fixture_sides AS (SELECT fixture_id, season, event_date, official, side_a AS sid
 
 
 def fixtures(spark, root):
-    return contests(spark, root).filter(F.col("event_date") >= FIXTURE_DAY).select(
+    return fixtures_of(contests(spark, root))
+
+
+def fixtures_of(c):
+    return c.filter(F.col("event_date") >= FIXTURE_DAY).select(
         F.col("event_id").alias("fixture_id"), "season", "event_date", "official", "side_a", "side_b"
     )
 
@@ -141,7 +145,8 @@ SIDE_KEYS = ["fixture_id", "season", "event_date", "side", "opponent", "venue",
     FROM side_feats f JOIN side_feats o ON o.fixture_id = f.fixture_id AND o.side = f.opponent""",
 )
 def fixture_features(spark, root):
-    rows = ft.fixture_features(contests(spark, root), fixtures(spark, root), METRICS, RECENT_TOTALS)
+    c = fact(spark, root)
+    rows = ft.fixture_features(c, fixtures_of(c), METRICS, RECENT_TOTALS)
     return rows.select(*SIDE_KEYS, *SIDE_FEATURE_NAMES, *[f"opp_{c}" for c in SIDE_FEATURE_NAMES])
 
 
@@ -168,7 +173,8 @@ OFFICIAL_FIXTURE = [f"{p}_{m}" for m in METRICS for p in ("a", "b", "total")]
     FROM fixtures f LEFT JOIN off USING (fixture_id) LEFT JOIN lg USING (fixture_id) LEFT JOIN rec USING (fixture_id)""",
 )
 def fixture_shared(spark, root):
-    got = ft.fixture_shared(contests(spark, root), fixtures(spark, root).drop("side_a", "side_b"), METRICS, RECENT_TOTALS)
+    c = fact(spark, root)
+    got = ft.fixture_shared(c, fixtures_of(c).drop("side_a", "side_b"), METRICS, RECENT_TOTALS)
     return got.drop("season", "event_date", "official")
 
 

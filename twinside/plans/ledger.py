@@ -14,10 +14,10 @@ from twinside.operators.joins import completed_fixtures
 from twinside.operators.sides import side_rows
 from twinside.plans.base import query
 from twinside.plans.gates import SCHEDULE, schedule
-from twinside.plans.models import ALPHA, FORECASTS, LINES, MARKETS, fact, over_sql, pmf_sql
+from twinside.plans.models import ALPHA, FORECASTS, LINES, MARKETS, over_sql, pmf_sql
 from twinside.plans.views import FIRSTS
 from twinside.session import settle
-from twinside.sources.tables import METRICS, contests
+from twinside.sources.tables import METRICS, fact
 
 NOW, OLD = "2002-01-01 12:00:00", "2001-12-01 12:00:00"
 HALF = "1998-99"

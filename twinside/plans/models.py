@@ -11,17 +11,12 @@ from twinside.plans.base import query, rounded
 from twinside.plans.gates import FIXTURE_SIDE_FEATURES, FIXTURES, fixtures
 from twinside.plans.windows import RECENT_TOTALS
 from twinside.session import settle
-from twinside.sources.tables import METRICS, contests
+from twinside.sources.tables import METRICS, contests, fact
 
 MARKETS = md.MARKETS
 BASE_KEYS = ["event_id", "season", "event_date", "side", "opponent", "venue", "official"]
 
 
-def fact(spark, root):
-    """Contests written once for plans that read them several times."""
-    return settle(contests(spark, root), "contests")
-
-
 def forecasts(spark, root):
     """Walk-forward baseline of every side row and market."""
     c = fact(spark, root)

@@ -9,7 +9,7 @@ from twinside.operators import patterns as pt
 from twinside.operators.sides import side_rows
 from twinside.plans.base import query
 from twinside.plans.gates import FIXTURE_DAY
-from twinside.sources.tables import METRICS, contests
+from twinside.sources.tables import METRICS, contests, fact
 
 PM = ("qty", "lines", "bulk")
 KEY = ", ".join(pt.KEY)
@@ -68,7 +68,7 @@ def summaries(keys: str = "") -> str:
 
 
 def tables(spark, root):
-    c = contests(spark, root)
+    c = fact(spark, root)
     return pt.analyze(c, side_rows(c, METRICS), PM)
 
 
@@ -156,7 +156,10 @@ def composition(spark, root):
 
 
 def future(spark, root):
-    c = contests(spark, root)
+    return future_of(contests(spark, root))
+
+
+def future_of(c):
     return c.filter(F.col("event_date") >= FIXTURE_DAY).select(
         F.col("event_id").alias("fixture_id"), "season", "event_date", "side_a", "side_b", "official",
         weekday(F.col("event_date")).alias("weekday"), daypart(F.col("kickoff_time")).alias("daypart"),
@@ -164,8 +167,8 @@ def future(spark, root):
 
 
 def matched(spark, root):
-    c = contests(spark, root)
-    return pt.match_patterns(c, side_rows(c, METRICS), future(spark, root), PM)
+    c = fact(spark, root)
+    return pt.match_patterns(c, side_rows(c, METRICS), future_of(c), PM)
 
 
 MATCH = TALL + f""", fx AS (SELECT event_id AS fixture_id, season AS f_season, event_date AS f_date, side_a AS fa, side_b AS fb, official, dayname(event_date) AS f_weekday, {PART} AS f_daypart

@@ -10,7 +10,7 @@ from twinside.operators.scan import prior_features
 from twinside.operators.sides import for_against
 from twinside.plans.aggregates import COLS, FORM_COLS, LEAGUE_ORACLE, PARTS, officials, sides
 from twinside.plans.base import query
-from twinside.sources.tables import METRICS, contests
+from twinside.sources.tables import METRICS, contests, fact
 
 RECENT_TOTALS = ("qty", "bulk")
 SPECS = ft.side_prior_specs(METRICS)
@@ -188,7 +188,7 @@ def head_to_head(spark, root):
     f"SELECT event_id, side, venue, {', '.join(f'{c} AS target_{c}' for c in COLS)} FROM sides",
 )
 def targets(spark, root):
-    rows = ft.training_features(contests(spark, root), METRICS, RECENT_TOTALS)
+    rows = ft.training_features(fact(spark, root), METRICS, RECENT_TOTALS)
     return rows.select("event_id", "side", "venue", *[f"target_{c}" for c in COLS])
 
 
@@ -221,7 +221,7 @@ FEATURES = (
     FROM own h JOIN own a ON a.event_id = h.event_id AND a.venue = 'A' WHERE h.venue = 'H'""",
 )
 def context(spark, root):
-    return ft.contest_context(ft.training_features(contests(spark, root), METRICS, RECENT_TOTALS), METRICS)
+    return ft.contest_context(ft.training_features(fact(spark, root), METRICS, RECENT_TOTALS), METRICS)
 
 
 BASIC = {
@@ -255,4 +255,4 @@ def basic(spark, root):
     JOIN sides s ON s.event_id = own.event_id AND s.side = own.side""",
 )
 def feature_table(spark, root):
-    return ft.training_features(contests(spark, root), METRICS, RECENT_TOTALS)
+    return ft.training_features(fact(spark, root), METRICS, RECENT_TOTALS)

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from twinside.functions.calendar import season_label_of
+from twinside.session import settle
 
 METRICS = ("score", "qty", "lines", "bulk")
 
 
+# Stated schemas spare one footer job per table and query.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
 def contests(spark: SparkSession, root: str) -> DataFrame:
@@ -21,42 +35,34 @@ def contests(spark: SparkSession, root: str) -> DataFrame:
     joins: the optimizer broadcasts a side only when its size is below the
     configured threshold, and adaptive execution splits skewed partitions.
     """
-    li = table(spark, root, "lineitem")
-    done, still = F.col("l_linestatus") == "F", F.col("l_linestatus") == "O"
-    per_order = li.groupBy("l_orderkey").agg(
-        F.count_if(F.col("l_returnflag") == "A").alias("a_score"),
-        F.count_if(F.col("l_returnflag") == "R").alias("b_score"),
-        F.sum(F.when(done, F.col("l_quantity"))).alias("a_qty"),
-        F.sum(F.when(still, F.col("l_quantity"))).alias("b_qty"),
-        F.count_if(done).alias("a_lines"),
-        F.count_if(still).alias("b_lines"),
-        F.count_if(done & (F.col("l_quantity") > 25)).alias("a_bulk"),
-        F.count_if(still & (F.col("l_quantity") > 25)).alias("b_bulk"),
-        F.min("l_suppkey").alias("s_suppkey"),
-        F.min("l_partkey").alias("p_partkey"),
-    )
-    nation = table(spark, root, "nation")
-    a_nation = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("side_a"))
-    b_nation = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("side_b"))
-    minutes = (F.col("o_orderkey") * 37) % 1440
-    event_date = F.col("o_orderdate").cast("date")
-    return (
-        table(spark, root, "orders")
-        .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(table(spark, root, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-        .join(a_nation, "c_nationkey")
-        .join(table(spark, root, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-        .join(b_nation, "s_nationkey")
-        .join(table(spark, root, "part").select("p_partkey", "p_brand"), "p_partkey", "left")
-        .filter("side_a <> side_b")
-        .select(
-            F.col("o_orderkey").alias("event_id"),
-            season_label_of(event_date).alias("season"),
-            event_date.alias("event_date"),
-            F.format_string("%02d:%02d", (minutes / 60).cast("int"), (minutes % 60).cast("int")).alias("kickoff_time"),
-            "side_a",
-            "side_b",
-            F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("p_brand")).alias("official"),
-            *[f"{s}_{m}" for m in METRICS for s in ("a", "b")],
-        )
-    )
+    names = ("orders", "lineitem", "customer", "supplier", "nation", "part")
+    return spark.sql(CONTESTS, **{n: table(spark, root, n) for n in names})
+
+
+def fact(spark: SparkSession, root: str) -> DataFrame:
+    """Contests written once to the shared folder, for plans that read them several times."""
+    return settle(contests(spark, root), "contests")
+
+
+CONTESTS = """
+SELECT o_orderkey AS event_id, format_string('%d-%02d', start_year, (start_year + 1) % 100) AS season, event_date,
+  format_string('%02d:%02d', minutes div 60, minutes % 60) AS kickoff_time, a.n_name AS side_a, b.n_name AS side_b,
+  IF(o_orderpriority <> '4-NOT SPECIFIED', p_brand, NULL) AS official,
+  a_score, b_score, a_qty, b_qty, a_lines, b_lines, a_bulk, b_bulk
+FROM (
+  SELECT *, CAST(o_orderdate AS DATE) AS event_date, (o_orderkey * 37) % 1440 AS minutes,
+    IF(month(o_orderdate) >= 7, year(o_orderdate), year(o_orderdate) - 1) AS start_year
+  FROM {orders})
+JOIN (
+  SELECT l_orderkey,
+    count_if(l_returnflag = 'A') AS a_score, count_if(l_returnflag = 'R') AS b_score,
+    sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS a_qty, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS b_qty,
+    count_if(l_linestatus = 'F') AS a_lines, count_if(l_linestatus = 'O') AS b_lines,
+    count_if(l_linestatus = 'F' AND l_quantity > 25) AS a_bulk, count_if(l_linestatus = 'O' AND l_quantity > 25) AS b_bulk,
+    min(l_suppkey) AS supplier_key, min(l_partkey) AS part_key
+  FROM {lineitem} GROUP BY l_orderkey) ON o_orderkey = l_orderkey
+JOIN {customer} ON c_custkey = o_custkey JOIN {nation} AS a ON a.n_nationkey = c_nationkey
+JOIN {supplier} ON s_suppkey = supplier_key JOIN {nation} AS b ON b.n_nationkey = s_nationkey
+LEFT JOIN {part} ON p_partkey = part_key
+WHERE a.n_name <> b.n_name
+"""
