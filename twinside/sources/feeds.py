@@ -33,10 +33,19 @@ def text_encoding(spark: SparkSession, path: str, fallback: str = "windows-1252"
     return "UTF-8" if valid is None or valid else fallback
 
 
+# The reader knows ISO-8859-1; Windows text differs from it in these control positions only.
+_WINDOWS = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_WINDOWS = {k: v for k, v in _WINDOWS.items() if v}
+
+
 def read_feed(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Header CSV files as text columns with cleaned names, plus where each row came from."""
-    df = spark.read.csv(path, header=True, encoding=encoding, inferSchema=False)
+    windows = encoding == "windows-1252"
+    df = spark.read.csv(path, header=True, encoding="ISO-8859-1" if windows else encoding, inferSchema=False)
     located = df.select("*", F.col("_metadata.file_path").alias("_path"))
+    if windows:
+        plain, real = "".join(_WINDOWS), "".join(_WINDOWS.values())
+        located = located.select(*[F.translate(F.col(f"`{c}`"), plain, real).alias(c) for c in located.columns])
     return located.toDF(*[clean_header(c) for c in located.columns])
 
 
