@@ -267,13 +267,8 @@ def match_patterns(contests: DataFrame, sides: DataFrame, fixtures: DataFrame, m
     mom = settle(parts[0].unionByName(parts[1]), "fixture-moments")
     fid = ["fixture_id"]
     context = fixtures.select("fixture_id", F.col("season").alias("_season"), F.col("weekday").alias("_weekday"), F.col("daypart").alias("_daypart"))
-    relevant = settle(
-        season_patterns(mom, metrics, fid).join(context, "fixture_id").filter(
-            F.expr("(weekday <> '' AND weekday = _weekday) OR (daypart <> '' AND daypart = _daypart)")
-        ),
-        "fixture-patterns",
-    )
-    seasonal = relevant.drop("_season", "_weekday", "_daypart")
+    relevant = settle(_relevant_patterns(mom.join(context, "fixture_id"), metrics), "fixture-patterns")
+    seasonal = relevant.drop("_season")
     validation = walk_forward(seasonal, fid)
     keys = [*fid, *KEY]
     year, target = season_start(F.col("season")), season_start(F.col("_season"))
@@ -314,6 +309,29 @@ def match_patterns(contests: DataFrame, sides: DataFrame, fixtures: DataFrame, m
     return ranked(out, fid)
 
 
+def _relevant_patterns(mom: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Season patterns of each fixture's own weekday and daypart only.
+
+    Group and complement are conditional sums over the fixture's cells, so the
+    cells are reduced before factors and metrics multiply them.
+    """
+    factors = ("weekday", "daypart")
+    sums = [F.expr(f"sum(IF({f} = _{f}, rows, 0)) AS _seen_{f}") for f in factors]
+    for f in factors:
+        for m in metrics:
+            for c in "nsq":
+                sums.append(F.expr(f"sum(IF({f} = _{f}, {c}_{m}, 0)) AS g_{f}_{c}_{m}"))
+                sums.append(F.expr(f"sum(IF({f} <> _{f}, {c}_{m}, 0)) AS b_{f}_{c}_{m}"))
+    wide = mom.groupBy("fixture_id", "_season", "_weekday", "_daypart", "kind", "season", "entity", "venue").agg(F.sum("rows").alias("_rows"), *sums)
+    cell = lambda f, m: "struct({})".format(
+        ", ".join([f"'{f}' AS factor", f"_{f} AS category", f"'{m}' AS metric", f"_seen_{f} AS seen"] + [f"{p}_{f}_{c}_{m} AS {c}{p}" for p in "gb" for c in "nsq"])
+    )
+    cells = wide.selectExpr(
+        "fixture_id", "_season", "kind", "season", "entity", "venue", "_rows", f"explode(array({', '.join(cell(f, m) for f in factors for m in metrics)})) AS c"
+    ).select("fixture_id", "_season", "kind", "season", "entity", "venue", "_rows", "c.*")
+    return _effects(cells.filter("seen > 0"), ["fixture_id", "_season"])
+
+
 def _subjects(fixtures: DataFrame) -> DataFrame:
     """(fixture, entity, venue, kind): the A side at home, the B side away, the official anywhere."""
     subject = lambda e, v, k: F.struct(F.col(e).alias("entity"), F.lit(v).alias("venue"), F.lit(k).alias("kind"))
@@ -334,8 +352,9 @@ def _history_moments(frame: DataFrame, contests: DataFrame, subjects: DataFrame,
     states = daily.select(*cell, "event_date", *[F.sum(c).over(run).alias(c) for c in measures])
     cells = daily.select(*cell).distinct()
     # Every subject asks for each of its entity's categories: a fixed number of cells per season.
-    asked = subjects.join(cells, ["entity", "venue"]).filter(season_start(F.col("season")) <= season_start(F.col("f_season")))
-    found = asof(asked, states, cell, "f_date").filter("rows IS NOT NULL")
+    asked = subjects.select("entity", "venue", "f_date").distinct().join(cells, ["entity", "venue"])
+    known = asof(asked, states, cell, "f_date").filter("rows IS NOT NULL")
+    found = subjects.join(known, ["entity", "venue", "f_date"]).filter(season_start(F.col("season")) <= season_start(F.col("f_season")))
     own = _own_identity(named, contests, subjects, kind, metrics, measures, cell)
     left = found.join(own, ["fixture_id", "kind", *cell], "left")
     reduced = left.select(
