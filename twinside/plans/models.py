@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from twinside.functions import probability as pr
 from twinside.operators import features as ft, models as md, ordering as od, quality as qa
-from twinside.operators.sides import for_against, side_rows
+from twinside.operators.sides import side_rows
 from twinside.plans.base import query, rounded
-from twinside.plans.gates import FIXTURE_SIDE_FEATURES, FIXTURES, fixtures
+from twinside.plans.gates import FIXTURE_SIDE_FEATURES
 from twinside.plans.windows import RECENT_TOTALS
 from twinside.session import settle
 from twinside.sources.tables import METRICS, contests, fact

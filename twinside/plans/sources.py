@@ -177,7 +177,7 @@ def played_union(spark, root):
         F.col("a_score").alias("home_score"),
     )
     now = F.lit(NOW).cast("timestamp_ntz")
-    got = feeds.played_union(rows, CODES, now, ["prem", "premier league", "epl"], ["load_order"], ZONE)
+    got = feeds.played_union(rows, CODES, now, ["prem", "main league"], ["load_order"], ZONE)
     return got.select("match_id", "HomeTeam", "AwayTeam", "home_score", "load_order")
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from twinside.operators import features as ft
 from twinside.operators.aggregates import table_before
 from twinside.operators.scan import prior_features
-from twinside.operators.sides import for_against
-from twinside.plans.aggregates import COLS, FORM_COLS, LEAGUE_ORACLE, PARTS, officials, sides
+from twinside.plans.aggregates import COLS, LEAGUE_ORACLE, PARTS, officials, sides
 from twinside.plans.base import query
 from twinside.sources.tables import METRICS, contests, fact
 
