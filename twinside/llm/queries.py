@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from twinside.llm import bpe, chat, quality, secrets, token_files, urls
+from twinside.llm import bpe, chat, html_text, pii, quality, secrets, token_files, urls
 from twinside.llm.common import SCHEMAS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,16 @@ def op5(spark, root):
     return bpe.round_trip(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op6_html_text")
+def op6(spark, root):
+    return html_text.extract_pages(table(spark, root, "pages"))
+
+
+@query("op7_personal_data")
+def op7(spark, root):
+    return pii.find_pii(table(spark, root, "documents"))
+
+
 @query("op8_quality_rules")
 def op8(spark, root):
     return quality.quality_verdicts(table(spark, root, "documents"))
