@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from twinside.llm import bpe, chat, html_text, pii, quality, secrets, token_files, urls
+from twinside.llm import bpe, chat, decontaminate, html_text, pii, quality, secrets, simhash, token_files, urls
 from twinside.llm.common import SCHEMAS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op3(spark, root):
     return secrets.scan_secrets(table(spark, root, "documents"))
 
 
+@query("op4_benchmark_leaks")
+def op4(spark, root):
+    return decontaminate.leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 @query("op5_byte_bpe")
 def op5(spark, root):
     return bpe.round_trip(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -104,3 +109,9 @@ def op9(spark, root):
     planted = spark.createDataFrame([Row(conv_id=-1, turn=k, role=r, text=PLANTED_TEXT) for k, r in enumerate(("user", "assistant"))], SCHEMAS["conversations"])
     turns = table(spark, root, "conversations").unionByName(planted)
     return chat.read_digests(chat.write_formatted(turns))
+
+
+@query("op10_simhash_components")
+def op10(spark, root):
+    found = simhash.near_components(table(spark, root, "documents"))
+    return found.select("doc_id", simhash.hex_digits("f0").alias("fingerprint"), "component_id")
