@@ -17,7 +17,7 @@ from itertools import chain
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from twinside.llm.common import blank_words, map_rows, shipped
+from twinside.llm.common import even_lines, map_rows, shipped
 
 NONE = 1 << 62
 #: Pre-tokens, and words with their blank, whose ids a Python worker keeps; only speed depends on it.
@@ -96,12 +96,26 @@ def coder(ranks: dict[bytes, int], pattern: str) -> tuple[Callable[[str], list[i
     def ids_of(piece: str) -> tuple[int, ...]:
         return encode_piece(piece.encode(), ranks)
 
+    def word(text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(ids_of, find(text))))
+
+    head = lru_cache(HELD_WORDS // 8)(word)
+
     @lru_cache(HELD_WORDS)
-    def ids_of_word(word: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(ids_of, find(word))))
+    def tail(text: str) -> tuple[int, ...]:
+        return word(" " + text)
 
     def encode(text: str) -> list[int]:
-        return list(chain.from_iterable(map(ids_of_word, blank_words(text))))
+        lines = even_lines(text)
+        if lines is None:
+            return list(chain.from_iterable(map(ids_of, find(text))))
+        out = []
+        for k, words in enumerate(lines):
+            if k:
+                out += head("\n")
+            out += head(words[0])
+            out += chain.from_iterable(map(tail, words[1:]))
+        return out
 
     def decode(ids: list[int]) -> bytes:
         return b"".join(map(token.__getitem__, ids))
@@ -143,7 +157,12 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str = "") ->
     return map_rows(encoded.select("doc_id", "ids"), start, "doc_id bigint, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``round_trip`` and the ids themselves."""
+    return round_trip(docs, ranks_path, pattern, doc_id, text, ids=True)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """Number and digest of the ids of every whole text, and digest of the bytes decoded from them.
 
     One row per input row, without a shuffle; a task holds one text at a time.
@@ -157,11 +176,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
         encode, decode, shown = task_coder(name, pattern)
 
         def row(key, body):
-            ids = encode(body or "")
-            listed = ",".join(map(shown.__getitem__, ids))
-            return key, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decode(ids)).hexdigest()
+            found = encode(body or "")
+            listed = ",".join(map(shown.__getitem__, found))
+            out = key, len(found), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decode(found)).hexdigest()
+            return (*out, found) if ids else out
 
         return row
 
     rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    return map_rows(rows, start, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_rows(rows, start, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
