@@ -45,12 +45,18 @@ def append_only(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(new.join(stored.select(key), key, "left_anti").select(*stored.columns))
 
 
+def with_leg(df: DataFrame) -> DataFrame:
+    """The frame with ``leg``, which tells meetings of one pairing and season apart; 1 where a pairing meets once."""
+    return df if "leg" in df.columns else df.withColumn("leg", F.lit(1).cast("bigint"))
+
+
 def completed_fixtures(sides: DataFrame) -> DataFrame:
-    """One row per (season, side_a, side_b) that is settled without doubt.
+    """One row per (season, side_a, side_b, leg) that is settled without doubt.
 
     Exactly one H row for the identity, and its event has exactly two rows of
     one season that mirror each other.  Dates play no part: they can move.
     """
+    sides = with_leg(sides)
     cols = [c for c in sides.columns if c not in ("event_id", "venue")]
     row = lambda v: F.max(F.when(F.col("venue") == v, F.struct(*cols)))
     pairs = sides.groupBy("event_id").agg(
@@ -58,13 +64,13 @@ def completed_fixtures(sides: DataFrame) -> DataFrame:
         row("H").alias("h"), row("A").alias("a"),
     )
     good = pairs.filter(
-        "_n = 2 AND _h = 1 AND _a = 1 AND h.season = a.season AND h.side = a.opponent AND a.side = h.opponent "
+        "_n = 2 AND _h = 1 AND _a = 1 AND h.season = a.season AND h.leg = a.leg AND h.side = a.opponent AND a.side = h.opponent "
         "AND h.side <> a.side AND h.event_date IS NOT NULL"
     )
-    single = sides.filter("venue = 'H'").groupBy("season", "side", "opponent").count().filter("count = 1")
-    identity = good.select("event_id", "h", "a", F.col("h.season").alias("season"), F.col("h.side").alias("side_a"), F.col("h.opponent").alias("side_b"))
+    single = sides.filter("venue = 'H'").groupBy("season", "side", "opponent", "leg").count().filter("count = 1")
+    identity = good.select("event_id", "h", "a", F.col("h.season").alias("season"), F.col("h.side").alias("side_a"), F.col("h.opponent").alias("side_b"), F.col("h.leg").alias("leg"))
     return identity.join(
-        single.select("season", F.col("side").alias("side_a"), F.col("opponent").alias("side_b")), ["season", "side_a", "side_b"], "left_semi"
+        single.select("season", F.col("side").alias("side_a"), F.col("opponent").alias("side_b"), "leg"), ["season", "side_a", "side_b", "leg"], "left_semi"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from twinside.functions.numbers import half_line_below, near_equal, same_field, to_number
 from twinside.functions.text import is_blank, is_person, text_id
-from twinside.operators.joins import append_only
+from twinside.operators.joins import append_only, with_leg
 from twinside.operators.models import Market, fill_ranges
 from twinside.operators.ordering import lowest_line
 
@@ -23,18 +23,18 @@ def _schema(fields: str) -> T.StructType:
 
 
 SELECTIONS = _schema(
-    "prediction_id string, created_at timestamp_ntz, season string, match_round bigint, event_date date, side_a string, side_b string, "
+    "prediction_id string, created_at timestamp_ntz, season string, match_round bigint, event_date date, side_a string, side_b string, leg bigint, "
     "official string, side string, venue string, market string, line double, prediction double, p_over double, fair_over double, "
     "odds double, stake double, model_version string, source string, status string, actual double, result string, profit double, "
     "settled_at timestamp_ntz"
 )
 AUDITS = _schema(
-    "prediction_id string, created_at timestamp_ntz, season string, match_round bigint, event_date date, side_a string, side_b string, "
+    "prediction_id string, created_at timestamp_ntz, season string, match_round bigint, event_date date, side_a string, side_b string, leg bigint, "
     "official string, side string, venue string, market string, prediction double, test_line double, range_low bigint, range_high bigint, "
     "range_probability double, range_result string, status string, actual double, result string, error double, abs_error double, "
     "bias string, model_version string, settled_at timestamp_ntz"
 )
-FIXTURE = ["season", "side_a", "side_b"]
+FIXTURE = ["season", "side_a", "side_b", "leg"]
 RANGE = ["range_low", "range_high", "range_probability", "range_result"]
 SETTLED_POINT = ["status", "actual", "result", *RANGE, "error", "abs_error", "bias", "settled_at", "event_date", "match_round"]
 SETTLEMENT = ["status", "actual", "result", "error", "abs_error", "bias", "range_result", "settled_at", "event_date"]
@@ -46,18 +46,19 @@ REVISION = [
 
 def _stamped(df: DataFrame, schema: T.StructType, **values: Column) -> DataFrame:
     """Contract columns in order: given values first, then the frame's own, else null."""
+    df = with_leg(df)
     pick = lambda n: values[n] if n in values else (F.col(n) if n in df.columns else F.lit(None))
     return df.select(*[pick(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def selection_id() -> Column:
     """Id of a chosen line; the date is part of it."""
-    return text_id([F.col(c) for c in ("season", "event_date", "side_a", "side_b", "side", "market", "line")])
+    return text_id([F.col(c) for c in ("season", "event_date", "side_a", "side_b", "leg", "side", "market", "line")])
 
 
 def audit_id() -> Column:
     """Id of a point forecast; dates can move, so they are not part of it."""
-    return text_id([F.col(c) for c in ("season", "side_a", "side_b", "side", "market")])
+    return text_id([F.col(c) for c in (*FIXTURE, "side", "market")])
 
 
 def archive_selections(ledger: DataFrame, chosen: DataFrame, match_round: Column, now: Column, version: str, source: str) -> DataFrame:
@@ -71,7 +72,7 @@ def archive_selections(ledger: DataFrame, chosen: DataFrame, match_round: Column
 
 def archive_points(log: DataFrame, scored: DataFrame, match_round: Column, now: Column, version: str, markets: Sequence[Market]) -> DataFrame:
     """Append one pending row per fixture, side and market, then fill likeliest ranges."""
-    points = lowest_line(scored, [*FIXTURE, "side", "market"])
+    points = lowest_line(with_leg(scored), [*FIXTURE, "side", "market"])
     new = _stamped(
         points, AUDITS, prediction_id=audit_id(), created_at=now, match_round=match_round, test_line=half_line_below(F.col("prediction")),
         status=F.lit("pending"), model_version=F.lit(version),
@@ -179,7 +180,7 @@ def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda x, y: x | y, conditions, F.lit(False))
 
 
-IDENTITY = ["season", "side_a", "side_b", "side", "venue", "market"]
+IDENTITY = ["season", "side_a", "side_b", "leg", "side", "venue", "market"]
 TIP_NUMBERS = ["line", "odds", "stake"]
 TIP_SETTLEMENT = ["status", "actual", "result", "profit", "settled_at", "event_date"]
 
@@ -283,7 +284,7 @@ def revision_violations(base: DataFrame, revisions: DataFrame, fixtures: int = 1
         }
     )
     # Coverage by counts: every fixture must hold each expected side and market once.
-    by_fixture = row.groupBy("season", "match_round", "side_a", "side_b").agg(
+    by_fixture = row.groupBy("season", "match_round", "side_a", "side_b", "leg").agg(
         F.count("*").alias("n"), F.countDistinct("side", "market").alias("keys"), F.countDistinct("official").alias("officials"),
         F.count_if(
             (F.col("market").endswith("_total") & F.col("side").isin("TOTAL")) | (~F.col("market").endswith("_total") & ((F.col("side") == F.col("side_a")) | (F.col("side") == F.col("side_b"))))

@@ -16,13 +16,14 @@ from twinside.operators.quality import pair_verdicts
 PERSPECTIVES = ("for", "against", "total")
 
 
-def match_statistics(contests: DataFrame, sides: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def match_statistics(contests: DataFrame, sides: DataFrame, metrics: Sequence[str], identity: Sequence[str] = ("season", "side_a", "side_b")) -> DataFrame:
     """One row per contest that is beyond doubt, with totals that need both sides.
 
-    Identical copies count once; repeated ids or pairings are dropped whole.
+    Identical copies count once; repeated ids or identities are dropped whole.
+    Pairings that meet more than once in a season name their leg in ``identity``.
     """
     unique = without_repeated(contests.distinct(), ["event_id"])
-    unique = without_repeated(unique, ["season", "side_a", "side_b"])
+    unique = without_repeated(unique, list(identity))
     rows = sides.distinct()
     good = pair_verdicts(rows).filter("reason IS NULL").select("event_id")
     counted = lambda v, m: F.max(F.when(F.col("venue") == v, valid_count(F.col(f"{m}_for"))))

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from twinside.session import settle
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 CONTESTS = """
@@ -82,6 +84,17 @@ class Registry:
         return register
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, root: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of an application read: built and written once for each root."""
+    key = (spark.sparkContext.applicationId, root, label)
+    if key not in _SHARED:
+        _SHARED[key] = settle(build(), label)
+    return _SHARED[key]
+
+
 registry = Registry()
 query = registry.query
 

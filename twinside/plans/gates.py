@@ -294,14 +294,9 @@ def distinct_rows(spark, root):
     return sides(spark, root).select("season", "side", "opponent", "result").distinct()
 
 
-@query(
-    "U_05_season_completeness",
-    COMPLETE.replace("FROM contests", "FROM firsts").replace(", entrants", ", firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season, side_a, side_b ORDER BY event_id) AS rn FROM contests) WHERE rn = 1), entrants", 1),
-)
+@query("U_05_season_completeness", COMPLETE)
 def completeness(spark, root):
-    c = contests(spark, root)
-    firsts = c.groupBy("season", "side_a", "side_b").agg(F.min("event_id").alias("event_id"))
-    return jn.season_completeness(firsts)
+    return jn.season_completeness(contests(spark, root))
 
 
 @query(

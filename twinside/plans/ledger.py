@@ -1,7 +1,7 @@
 """Queries L-*, A-18 and A-19: archives, settlement, merges and revisions.
 
-Forecasts of every pairing's first contest of a season form the ledgers;
-pairings that meet once in a season can be settled, the others stay pending.
+Forecasts of every contest form the ledgers; a contest's own number is the leg
+of its pairing.  Contests of every eighth number count as not yet played.
 """
 
 from __future__ import annotations
@@ -12,24 +12,23 @@ from twinside.functions import probability as pr
 from twinside.operators import ledger as lg, models as md, ordering as od
 from twinside.operators.joins import completed_fixtures
 from twinside.operators.sides import side_rows
-from twinside.plans.base import query
+from twinside.plans.base import query, shared
 from twinside.plans.gates import SCHEDULE, schedule
 from twinside.plans.models import ALPHA, FORECASTS, LINES, MARKETS, over_sql, pmf_sql
-from twinside.plans.views import FIRSTS
 from twinside.session import settle
-from twinside.sources.tables import METRICS, fact
+from twinside.sources.tables import METRICS, contests
 
 NOW, OLD = "2002-01-01 12:00:00", "2001-12-01 12:00:00"
 HALF = "1998-99"
 
-BASE = FORECASTS + FIRSTS + SCHEDULE + f""", line_list(market, line) AS (VALUES {LINES}),
-lf AS (SELECT f.*, z.side_a, z.side_b, z.match_round FROM forecasts f JOIN firsts x USING (event_id) JOIN schedule z USING (event_id) WHERE prediction IS NOT NULL),
+BASE = FORECASTS + SCHEDULE + f""", line_list(market, line) AS (VALUES {LINES}),
+lf AS (SELECT f.*, z.side_a, z.side_b, z.match_round FROM forecasts f JOIN schedule z USING (event_id) WHERE prediction IS NOT NULL),
 ls AS (SELECT *, {over_sql('greatest(prediction, 0.05)', 'line', 'alpha')} AS p_over FROM (SELECT lf.*, line, {ALPHA} AS alpha FROM lf JOIN line_list USING (market))),
-sel AS (SELECT * EXCLUDE (rn), substr(sha1(season || '|' || event_date || '|' || side_a || '|' || side_b || '|' || side || '|' || market || '|' || line), 1, 20) AS prediction_id,
-    CASE event_id % 4 WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS stake, CASE WHEN event_id % 6 = 0 THEN 0.9 ELSE 1.05 / p_over END AS odds FROM (
-  SELECT *, row_number() OVER (PARTITION BY event_id, side, market ORDER BY p_over DESC, line) AS rn FROM ls WHERE p_over <= 0.5) WHERE rn = 1 AND p_over >= 0.001),
-comp AS (SELECT season, side_a, side_b, max(event_date) AS real_date, {", ".join(f"max(a_{m.name}) AS ra_{m.name}, max(b_{m.name}) AS rb_{m.name}" for m in MARKETS)} FROM contests GROUP BY season, side_a, side_b HAVING count(*) = 1),
-selset AS (SELECT s.*, real_date, CASE market {" ".join(f"WHEN '{m.name}' THEN CASE WHEN s.side = s.side_a THEN ra_{m.name} ELSE rb_{m.name} END" for m in MARKETS)} END::DOUBLE AS actual FROM sel s LEFT JOIN comp USING (season, side_a, side_b)),
+sel AS (SELECT * EXCLUDE (rn), substr(sha1(season || '|' || event_date || '|' || side_a || '|' || side_b || '|' || event_id || '|' || side || '|' || market || '|' || line), 1, 20) AS prediction_id,
+    CASE event_id % 4 WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS stake, CASE WHEN event_id % 6 = 0 THEN 0.9 ELSE least(1000, 1.05 / p_over) END AS odds FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id, side, market ORDER BY p_over DESC, line) AS rn FROM ls WHERE p_over <= 0.5) WHERE rn = 1),
+comp AS (SELECT event_id, event_date AS real_date, {", ".join(f"a_{m.name} AS ra_{m.name}, b_{m.name} AS rb_{m.name}" for m in MARKETS)} FROM contests WHERE event_id % 8 <> 0),
+selset AS (SELECT s.*, real_date, CASE market {" ".join(f"WHEN '{m.name}' THEN CASE WHEN s.side = s.side_a THEN ra_{m.name} ELSE rb_{m.name} END" for m in MARKETS)} END::DOUBLE AS actual FROM sel s LEFT JOIN comp USING (event_id)),
 settled AS (SELECT *, CASE WHEN actual IS NULL THEN 'pending' ELSE 'settled' END AS status, CASE WHEN actual > line THEN 'WIN' WHEN actual <= line THEN 'LOSS' END AS result,
   CASE WHEN actual <= line THEN -(CASE WHEN stake > 0 THEN stake ELSE 1 END) WHEN actual > line AND odds > 1 THEN (CASE WHEN stake > 0 THEN stake ELSE 1 END) * (odds - 1) END AS profit FROM selset)
 """
@@ -40,14 +39,22 @@ def at(moment: str):
 
 
 def scored(spark, root):
-    """Priced lines of every pairing's first contest of a season."""
-    c = fact(spark, root)
+    """(contests, forecasts of every contest with their round and leg)"""
+    c = shared(spark, root, "contests", lambda: contests(spark, root))
+    return c, shared(spark, root, "scored", lambda: forecast_rounds(c))
+
+
+def forecast_rounds(c):
     train = md.season_train_means(side_rows(c, METRICS), [m.target for m in MARKETS])
     rows = md.baseline_forecasts(md.baseline_features(c, METRICS), train, MARKETS).filter("prediction IS NOT NULL")
-    first = c.groupBy("season", "side_a", "side_b").agg(F.min("event_id").alias("event_id"))
     start = F.make_date(F.substring("season", 1, 4).cast("int"), F.lit(7), F.lit(1))
-    rounds = rows.join(first, ["season", "event_id"]).withColumn("match_round", F.floor(F.datediff("event_date", start) / 10 + 1))
-    return c, settle(rounds, "scored")
+    rows = rows.join(c.select("event_id", "side_a", "side_b"), "event_id")
+    return rows.withColumns({"match_round": F.floor(F.datediff("event_date", start) / 10 + 1), "leg": F.col("event_id")})
+
+
+def completed(c):
+    """Fixtures of the contests that count as played."""
+    return completed_fixtures(side_rows(c.filter("event_id % 8 <> 0").withColumn("leg", F.col("event_id")), METRICS, keep=("leg",)))
 
 
 def lines(rows):
@@ -55,12 +62,12 @@ def lines(rows):
 
 
 def chosen(rows):
-    """The best line of each forecast, unless even that is a very long shot."""
-    best = od.best_line(lines(rows), ["event_id", "side", "market"]).filter("p_over >= 0.001")
+    """The best line of each forecast."""
+    best = od.best_line(lines(rows), ["event_id", "side", "market"])
     return best.withColumns(
         {
             "stake": F.expr("CASE event_id % 4 WHEN 0 THEN -1.0D WHEN 1 THEN 2.5D ELSE 1.0D END"),
-            "odds": F.expr("CASE WHEN event_id % 6 = 0 THEN 0.9D ELSE 1.05D / p_over END"),
+            "odds": F.expr("CASE WHEN event_id % 6 = 0 THEN 0.9D ELSE least(1000D, 1.05D / p_over) END"),
         }
     )
 
@@ -72,12 +79,13 @@ def empty(spark, schema):
 def selections(spark, root):
     """(contests, pending selection ledger)"""
     c, rows = scored(spark, root)
-    return c, lg.archive_selections(empty(spark, lg.SELECTIONS), chosen(rows), F.col("match_round"), at(OLD), "v1", "manual")
+    new = lambda: lg.archive_selections(empty(spark, lg.SELECTIONS), chosen(rows), F.col("match_round"), at(OLD), "v1", "manual")
+    return c, shared(spark, root, "selections", new)
 
 
 def settled_selections(spark, root):
     c, ledger = selections(spark, root)
-    return lg.settle_selections(ledger, completed_fixtures(side_rows(c, METRICS)), MARKETS, at(NOW))
+    return lg.settle_selections(ledger, completed(c), MARKETS, at(NOW))
 
 
 @query(
@@ -92,10 +100,10 @@ def archive(spark, root):
     return got.select("prediction_id", "match_round", "side", "market", "line", "p_over", "stake", "status", "model_version")
 
 
-RANGES = f""", pts AS (SELECT season, side_a, side_b, event_date, match_round, side, venue, market, prediction, {ALPHA} AS alpha FROM lf
-    UNION ALL SELECT season, side_a, side_b, max(event_date), max(match_round), 'TOTAL', 'T', market || '_total', max(prediction) FILTER (venue = 'H') + max(prediction) FILTER (venue = 'A'),
-      CASE WHEN market = 'lines' THEN (sum(greatest(prediction, 0.05)) + 0.11 * sum(greatest(prediction, 0.05) * greatest(prediction, 0.05)) - greatest(sum(prediction), 0.05)) / pow(greatest(sum(prediction), 0.05), 2) END FROM lf GROUP BY season, side_a, side_b, market),
-  audit AS (SELECT *, substr(sha1(season || '|' || side_a || '|' || side_b || '|' || side || '|' || market), 1, 20) AS prediction_id, greatest(0.5::DOUBLE, ceil(prediction) - 0.5) AS test_line,
+RANGES = f""", pts AS (SELECT event_id, season, side_a, side_b, event_date, match_round, side, venue, market, prediction, {ALPHA} AS alpha FROM lf
+    UNION ALL SELECT event_id, season, side_a, side_b, max(event_date), max(match_round), 'TOTAL', 'T', market || '_total', max(prediction) FILTER (venue = 'H') + max(prediction) FILTER (venue = 'A'),
+      CASE WHEN market = 'lines' THEN (sum(greatest(prediction, 0.05)) + 0.11 * sum(greatest(prediction, 0.05) * greatest(prediction, 0.05)) - greatest(sum(prediction), 0.05)) / pow(greatest(sum(prediction), 0.05), 2) END FROM lf GROUP BY event_id, season, side_a, side_b, market),
+  audit AS (SELECT *, substr(sha1(season || '|' || side_a || '|' || side_b || '|' || event_id || '|' || side || '|' || market), 1, 20) AS prediction_id, greatest(0.5::DOUBLE, ceil(prediction) - 0.5) AS test_line,
     CASE market WHEN 'qty' THEN 3 WHEN 'qty_total' THEN 4 WHEN 'lines_total' THEN 3 ELSE 2 END AS w, greatest(prediction, 0.05) AS mu FROM pts),
   cand AS (SELECT prediction_id, w, unnest(range(greatest(0, CAST(floor(mu) AS BIGINT) - w - 4), CAST(floor(mu) AS BIGINT) + 4)) AS k, mu, alpha FROM audit),
   sums AS (SELECT prediction_id, k, w, list_sum(list_transform(range(0, w), lambda j: {pmf_sql('(k + j)', 'mu', 'alpha')})) AS s FROM cand),
@@ -108,14 +116,13 @@ RANGES = f""", pts AS (SELECT season, side_a, side_b, event_date, match_round, s
 def points(spark, root):
     """(contests, pending audit log with likeliest ranges)"""
     c, rows = scored(spark, root)
-    keys = ["season", "match_round", "event_date", "side_a", "side_b"]
-    sides = c.select("event_id", "side_a", "side_b")
-    base = rows.drop("side_a", "side_b").join(sides, "event_id")
-    totals = md.total_forecasts(base, keys).withColumns({"side": F.lit("TOTAL"), "venue": F.lit("T")})
+    keys = ["season", "match_round", "event_date", "side_a", "side_b", "leg"]
+    totals = md.total_forecasts(rows, keys).withColumns({"side": F.lit("TOTAL"), "venue": F.lit("T")})
     keep = [*keys, "side", "venue", "market", "prediction", "official"]
-    both = base.select(*keep).unionByName(totals.withColumn("official", F.lit(None).cast("string")).select(*keep))
+    both = rows.select(*keep).unionByName(totals.withColumn("official", F.lit(None).cast("string")).select(*keep))
     priced = both.withColumn("line", F.lit(0.5))
-    return c, lg.archive_points(empty(spark, lg.AUDITS), priced, F.col("match_round"), at(OLD), "v1", MARKETS)
+    new = lambda: lg.archive_points(empty(spark, lg.AUDITS), priced, F.col("match_round"), at(OLD), "v1", MARKETS)
+    return c, shared(spark, root, "points", new)
 
 
 @query("L_02_archive_points", BASE + RANGES + "SELECT prediction_id, side, market, test_line, range_low, range_high, round(range_probability, 6) AS range_probability FROM alog")
@@ -142,7 +149,7 @@ def settle_sel(spark, root):
 
 
 AUDITED = RANGES + f""", au AS (SELECT l.*, real_date, CASE market {" ".join(f"WHEN '{m.name}' THEN CASE WHEN l.side = l.side_a THEN ra_{m.name} ELSE rb_{m.name} END WHEN '{m.total}' THEN ra_{m.name} + rb_{m.name}" for m in MARKETS)} END::DOUBLE AS actual
-    FROM alog l LEFT JOIN comp USING (season, side_a, side_b)),
+    FROM alog l LEFT JOIN comp USING (event_id)),
   judged AS (SELECT *, CASE WHEN actual IS NULL THEN 'pending' ELSE 'settled' END AS status, CASE WHEN actual > test_line THEN 'HIT' WHEN actual <= test_line THEN 'MISS' END AS result,
     CASE WHEN actual BETWEEN range_low AND range_high THEN 'HIT' WHEN actual IS NOT NULL THEN 'MISS' END AS range_result, actual - prediction AS error,
     CASE WHEN actual > prediction THEN 'under' WHEN actual < prediction THEN 'over' WHEN actual = prediction THEN 'exact' END AS bias FROM au)
@@ -151,7 +158,7 @@ AUDITED = RANGES + f""", au AS (SELECT l.*, real_date, CASE market {" ".join(f"W
 
 def settled_points(spark, root):
     c, log = points(spark, root)
-    return lg.settle_points(log, completed_fixtures(side_rows(c, METRICS)), MARKETS, at(NOW))
+    return lg.settle_points(log, completed(c), MARKETS, at(NOW))
 
 
 @query("L_04_settle_points", BASE + AUDITED + "SELECT prediction_id, status, actual, result, range_result, round(error, 6) AS error, round(abs(error), 6) AS abs_error, bias FROM judged")
@@ -162,11 +169,12 @@ def settle_pts(spark, root):
 @query(
     "A_18_selection_summary",
     BASE + """, s AS (SELECT *, coalesce(stake, 1) AS st FROM settled WHERE status = 'settled')
-    SELECT count(*) AS n, count(*) FILTER (result = 'WIN') AS wins, count(*) FILTER (result = 'LOSS') AS losses, round(count(*) FILTER (result = 'WIN') / count(*), 6) AS hit_rate, round(avg(1 / p_over), 6) AS avg_fair,
+    SELECT count(*) AS n, count(*) FILTER (result = 'WIN') AS wins, count(*) FILTER (result = 'LOSS') AS losses, round(count(*) FILTER (result = 'WIN') / count(*), 6) AS hit_rate, round(ln(avg(1 / p_over)), 6) AS avg_fair,
       round(avg(odds), 6) AS avg_odds, round(sum(coalesce(profit, 0)), 6) AS profit, round(sum(st), 6) AS staked, round(sum(coalesce(profit, 0)) / sum(st), 6) AS roi FROM s""",
 )
 def sel_summary(spark, root):
-    return lg.selection_summary(settled_selections(spark, root))
+    # Fair odds of very long shots are huge: their mean is compared by its logarithm.
+    return lg.selection_summary(settled_selections(spark, root)).withColumn("avg_fair", F.ln("avg_fair"))
 
 
 @query(
@@ -185,13 +193,13 @@ def pts_summary(spark, root):
 )
 def dedupe(spark, root):
     c, log = points(spark, root)
-    log = settle(log, "log").withColumn("seq", F.lit(0))
+    log = log.withColumn("seq", F.lit(0))
     later = F.lit("2001-12-05 12:00:00").cast("timestamp_ntz")
     # A later copy with another forecast and a newer range, and a settled copy.
     copy = log.filter("match_round % 2 = 0").withColumns(
         {"created_at": later, "prediction": F.col("prediction") + 1, "range_low": F.col("range_low") + 1, "seq": F.lit(1)}
     )
-    done = lg.settle_points(log.drop("seq"), completed_fixtures(side_rows(c, METRICS)), MARKETS, at(NOW)).filter("status = 'settled'").withColumn("seq", F.lit(2))
+    done = lg.settle_points(log.drop("seq"), completed(c), MARKETS, at(NOW)).filter("status = 'settled'").withColumn("seq", F.lit(2))
     got = lg.dedupe_log(copy.unionByName(done.select(*log.columns)).unionByName(log), "seq")
     return got.select("prediction_id", "prediction", "status", "actual", "range_low")
 
@@ -202,8 +210,7 @@ MERGE_CASE = """, base AS (SELECT *, row_number() OVER (ORDER BY prediction_id)
 def merge_inputs(spark, root):
     """Remote ledger (a fifth already settled) and a settled candidate with planted faults."""
     c, ledger = selections(spark, root)
-    ledger = settle(ledger, "ledger")
-    done = settle(lg.settle_selections(ledger, completed_fixtures(side_rows(c, METRICS)), MARKETS, at(NOW)), "done")
+    done = settle(lg.settle_selections(ledger, completed(c), MARKETS, at(NOW)), "done")
     h = F.conv(F.substring("prediction_id", 1, 6), 16, 10).cast("bigint")
     early = done.filter(h % 5 == 0)
     remote = ledger.join(early.select("prediction_id"), "prediction_id", "left_anti").unionByName(early.select(*ledger.columns)).select(*ledger.columns)
@@ -236,7 +243,7 @@ def merge(spark, root):
 )
 def ids(spark, root):
     _, ledger = selections(spark, root)
-    rows = settle(ledger, "ledger")
+    rows = ledger
     h = F.conv(F.substring("prediction_id", 1, 6), 16, 10).cast("bigint")
     kept = rows.filter(h % 13 != 0)
     return lg.id_violations(kept.unionByName(kept.filter(h % 11 == 0)), rows)
@@ -260,7 +267,7 @@ SHA = "a" * 64
 def revision_of(spark, root):
     """(base log, revision of one third of its rounds) with a changed forecast."""
     c, log = points(spark, root)
-    base = settle(log, "log")
+    base = log
     official = F.lit("R Official")
     rescored = base.filter("match_round % 3 = 0").withColumns(
         {"prediction": F.col("prediction") + 0.25, "official": official, "created_at": F.lit("2001-12-02 12:00:00").cast("timestamp_ntz")}
@@ -282,7 +289,7 @@ def active(spark, root):
 
 @query(
     "L_09_revision_rules",
-    BASE + RANGES + """, g AS (SELECT season, match_round, side_a, side_b, count(*) AS n FROM alog WHERE match_round % 3 = 0 GROUP BY ALL),
+    BASE + RANGES + """, g AS (SELECT season, match_round, side_a, side_b, event_id, count(*) AS n FROM alog WHERE match_round % 3 = 0 GROUP BY ALL),
     r AS (SELECT season, match_round, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS fixtures, count(*) FILTER (n <> 9) AS uncovered FROM g GROUP BY season, match_round)
     SELECT season, match_round, row_count, array_to_string(list_filter([CASE WHEN row_count <> 90 THEN 'wrong size or revision' END, CASE WHEN match_round % 6 <> 0 THEN 'bad provenance hash' END,
       CASE WHEN uncovered > 0 OR fixtures <> 10 THEN 'incomplete coverage' END], lambda z: z IS NOT NULL), ',') AS violations FROM r""",
@@ -300,7 +307,7 @@ def revision_rules(spark, root):
 def split(spark, root):
     c, base, revisions = revision_of(spark, root)
     revisions = settle(revisions, "revisions")
-    done = lg.settle_points(lg.active(base, revisions), completed_fixtures(side_rows(c, METRICS)), MARKETS, at(NOW))
+    done = lg.settle_points(lg.active(base, revisions), completed(c), MARKETS, at(NOW))
     restored, merged = lg.split_save(base, revisions, settle(done, "active"), base.columns)
     first = restored.select("prediction_id", F.lit("base").alias("ledger"), "status", F.lit(None).cast("string").alias("conflict"))
     return first.unionByName(merged.select("prediction_id", F.lit("revisions").alias("ledger"), "status", "conflict"))
@@ -317,7 +324,7 @@ def build(spark, root):
 )
 def delete(spark, root):
     _, ledger = selections(spark, root)
-    rows = settle(ledger, "ledger")
+    rows = ledger
     size = rows.filter("season = '1997-98' AND match_round = 4").count()
     kept = lg.delete_batch(lg.delete_batch(rows, "1997-98", 4, size), "1998-99", 4, -1)
     return kept.groupBy("season", "match_round").agg(F.count("*").alias("row_count"))
@@ -331,7 +338,7 @@ def annotations(spark, root):
     from twinside.session import work_path
 
     _, ledger = selections(spark, root)
-    rows = settle(ledger, "ledger")
+    rows = ledger
     path = work_path(spark, "audits")
     notes = rows.filter("season = '1997-98'").select(F.concat(F.lit("round "), "match_round").alias("note"), F.array("prediction_id").alias("prediction_ids"))
     notes.write.json(path)
@@ -342,14 +349,14 @@ def annotations(spark, root):
 @query("L_14_copy_counts", BASE + "SELECT count(*) AS left_rows, count(*) FILTER (season <> '1997-98') AS right_rows, count(*) = count(*) FILTER (season <> '1997-98') AS equal FROM sel")
 def copies(spark, root):
     _, ledger = selections(spark, root)
-    rows = settle(ledger, "ledger")
+    rows = ledger
     return lg.count_copies(rows, rows.filter("season <> '1997-98'"))
 
 
 @query("L_15_field_equality", BASE + "SELECT prediction_id, match_round % 5 <> 0 AS same FROM sel")
 def field_equality(spark, root):
     _, ledger = selections(spark, root)
-    rows = settle(ledger, "ledger")
+    rows = ledger
     # Empty text for null and one representable step are equal; a rounded value is not.
     other = rows.withColumns(
         {
@@ -371,6 +378,6 @@ def second_copy(spark, root):
 @query("L_17_unchanged_save", BASE + RANGES + "SELECT count(*) FILTER (match_round = 7) AS changed_rows, count(*) FILTER (match_round = 7) = 0 AS unchanged FROM alog")
 def unchanged(spark, root):
     _, log = points(spark, root)
-    rows = settle(log, "log")
+    rows = log
     touched = rows.withColumn("status", F.when(F.col("match_round") == 7, "settled").otherwise(F.col("status")))
     return lg.unchanged(rows, touched, lg.AUDITS.names)

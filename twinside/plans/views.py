@@ -10,41 +10,29 @@ from twinside.operators.sides import official_rows, side_rows
 from twinside.plans.aggregates import COLS, PARTS
 from twinside.plans.base import avgs, query
 from twinside.plans.gates import SCHEDULE, appointments, schedule
-from twinside.sources.tables import METRICS, contests
+from twinside.sources.tables import METRICS, contests, fact
 
 VM = ("qty", "lines", "bulk")
 
-# Real event tables repeat few pairings; here most do, so a "fixture season"
-# keeps the pairing's first contest of a season beside the blemished copies.
-FIRSTS = """, firsts AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY season, side_a, side_b ORDER BY event_id) AS rn FROM contests) WHERE rn = 1),
-first_sides AS (SELECT s.* FROM sides s JOIN firsts f USING (event_id))
-"""
-MATCHES = FIRSTS + f""", copies AS (SELECT * FROM firsts UNION ALL SELECT * FROM firsts WHERE event_id % 7 = 0
-    UNION ALL SELECT * REPLACE (a_score + 1 AS a_score) FROM firsts WHERE event_id % 11 = 0),
+# Pairings meet many times in a season here: a contest's own number is its leg.
+MATCHES = f""", copies AS (SELECT * FROM contests UNION ALL SELECT * FROM contests WHERE event_id % 7 = 0
+    UNION ALL SELECT * REPLACE (a_score + 1 AS a_score) FROM contests WHERE event_id % 11 = 0),
   matches AS (SELECT event_id, season, event_date, kickoff_time AS kickoff, CAST(substr(kickoff_time, 1, 2) AS BIGINT) * 60 + CAST(substr(kickoff_time, 4, 2) AS BIGINT) AS kickoff_minutes,
     a_score || ':' || b_score AS score, side_a, side_b, coalesce(official, '') AS official, {", ".join(f"CAST(a_{m} + b_{m} AS DOUBLE) AS total_{m}" for m in VM)}
-    FROM firsts WHERE event_id % 11 <> 0),
+    FROM contests WHERE event_id % 11 <> 0),
   obs AS (SELECT s.event_id, s.season, s.event_date, s.side, s.opponent, s.venue, s.score_for || ':' || s.score_against AS score, m.kickoff_minutes,
     {", ".join(f"CAST({m}_for AS DOUBLE) AS {m}_for, CAST({m}_against AS DOUBLE) AS {m}_against, CAST({m}_for + {m}_against AS DOUBLE) AS {m}_total" for m in VM)}
     FROM sides s JOIN matches m USING (event_id))
 """
 
 
-def firsts(spark, root):
-    """The first contest of each pairing and season."""
-    c = contests(spark, root)
-    rest = [x for x in c.columns if x not in ("season", "side_a", "side_b")]
-    kept = c.groupBy("season", "side_a", "side_b").agg(F.min_by(F.struct(*rest), "event_id").alias("r"))
-    return kept.select("season", "side_a", "side_b", "r.*").select(*c.columns)
-
-
 def matches_and_sides(spark, root):
     """Validated contests out of input with identical and conflicting copies."""
-    c = firsts(spark, root)
+    c = fact(spark, root).withColumn("leg", F.col("event_id"))
     conflicting = c.filter("event_id % 11 = 0").withColumn("a_score", F.col("a_score") + 1)
     copies = c.unionByName(c.filter("event_id % 7 = 0")).unionByName(conflicting)
-    rows = side_rows(c, METRICS)
-    return vw.match_statistics(copies, rows, VM), rows
+    rows = side_rows(c.drop("leg"), METRICS)
+    return vw.match_statistics(copies, rows, VM, ("season", "side_a", "side_b", "leg")), rows
 
 
 def observations(spark, root):
