@@ -85,6 +85,39 @@ def test_encoding_is_chosen_from_the_whole_source(spark):
     assert feeds.read_feed(spark, path, "windows-1252").first()["Name"] == "Réferee"
 
 
+def test_files_keep_their_own_header_and_encoding(spark):
+    path = work_path(spark, "mixed")
+    spark.createDataFrame([("A", "B", "2", "1", "3.5")], "HomeTeam string, AwayTeam string, FTHG string, FTAG string, B365H string").coalesce(1).write.csv(f"{path}/a", header=True)
+    later = spark.createDataFrame([("C", "D", "Réf", "0", "4")], "HomeTeam string, AwayTeam string, Referee string, FTHG string, FTAG string").coalesce(1)
+    later.write.csv(f"{path}/b", header=True)
+    later.select(*reversed(later.columns)).write.csv(f"{path}/c", header=True, encoding="ISO-8859-1")
+    rows = feeds.read_feed(spark, f"{path}/*").select("HomeTeam", "AwayTeam", "Referee", "FTHG", "FTAG", "B365H").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("A", "B", None, "2", "1", "3.5"), ("C", "D", "Réf", "0", "4", None), ("C", "D", "Réf", "0", "4", None)]))
+
+
+def test_enrichment_never_adds_rows(spark):
+    fresh = spark.createDataFrame([(1, None), (2, "R Two")], "event_id int, official string")
+    old = spark.createDataFrame([(1, "R A", 5), (1, "R B", 6), (2, "R C", 7)], "event_id int, official string, extra int")
+    named = spark.createDataFrame([(1, "R Z"), (1, "R Y")], "event_id int, official string")
+    got = feeds.enrich(fresh, old, ["event_id"], "official", named).collect()
+    assert sorted(map(tuple, got)) == [(1, "R B", 6), (2, "R Two", 7)]
+
+
+def test_appointments_of_another_season_do_not_count(spark):
+    fixtures = spark.createDataFrame([(s, 1, "X", "Y") for s in ("2000-01", "2001-02")], "season string, match_round int, side_a string, side_b string")
+    cache = spark.createDataFrame([("2000-01", 1, "X", "Y", "A Ref", 1), ("2000-01", 1, "X", "Y", "B Ref", 2)], "season string, match_round int, side_a string, side_b string, official string, seq int")
+    assert {r["season"]: r["official"] for r in jn.appointment_lookup(fixtures, cache, "seq").collect()} == {"2000-01": "B Ref", "2001-02": None}
+    live = cache.filter("seq = 1")
+    clash = cache.filter("seq = 2").unionByName(live.withColumns({"season": F.lit("2001-02"), "official": F.lit("A Ref")}))
+    got = {r["season"]: (r["conflict"], r["kept"]) for r in qa.merge_appointments(live, clash, live.limit(0)).collect()}
+    assert got == {"2000-01": (True, False), "2001-02": (False, True)}
+
+
+def test_medians_leave_out_what_is_no_number(spark):
+    rows = [(float(x), None) for x in range(1, 8)] + [(float("nan"), float("nan")), (float("inf"), None)]
+    assert md.exact_medians(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], collected=4) == {"a": 4.0, "b": None}
+
+
 def test_missing_ledger_is_empty_with_its_schema(spark):
     schema = spark.createDataFrame([], "a bigint, b string").schema
     assert store.read_or_empty(spark, work_path(spark, "none"), schema).schema == schema

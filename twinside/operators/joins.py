@@ -96,8 +96,8 @@ def season_completeness(contests: DataFrame) -> DataFrame:
 
 
 def appointment_lookup(fixtures: DataFrame, cache: DataFrame, order: str) -> DataFrame:
-    """Each fixture's official from the row cached last for its pair and round."""
-    keys = ["match_round", "side_a", "side_b"]
+    """Each fixture's official from the row cached last for its season, pair and round."""
+    keys = ["season", "match_round", "side_a", "side_b"]
     newest = cache.groupBy(*keys).agg(F.max_by("official", order).alias("official"))
     return fixtures.join(newest, keys, "left")
 
@@ -109,11 +109,11 @@ def prematch_context(schedule: DataFrame, appointments: DataFrame, now: Column,
         F.count("*").alias("_n"), F.min("kickoff_time").alias("kickoff_time"), F.min("match_round").alias("match_round")
     ).filter((F.col("_n") == 1) & ~is_blank(F.col("kickoff_time")))
     local = F.concat(F.col("event_date").cast("string"), F.lit(" "), F.col("kickoff_time")).try_cast("timestamp_ntz")
-    named = appointments.groupBy("match_round", "side_a", "side_b").agg(F.count("*").alias("_k"), F.min("official").alias("_o"))
+    named = appointments.groupBy("season", "match_round", "side_a", "side_b").agg(F.count("*").alias("_k"), F.min("official").alias("_o"))
     usable = F.when((F.col("_k") == 1) & ~is_blank(F.col("_o")), F.trim("_o"))
     return (
         once.filter(local_to_utc(local, zone) > now)
-        .join(named, ["match_round", "side_a", "side_b"], "left")
+        .join(named, ["season", "match_round", "side_a", "side_b"], "left")
         .select(*keys, "kickoff_time", "match_round", usable.alias("official"))
     )
 

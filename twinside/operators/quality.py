@@ -164,7 +164,7 @@ def valid_appointments(rows: DataFrame, fixtures: DataFrame, names: Mapping[str,
     clean = rows.withColumns(
         {"side_a": canonical_name(F.col("side_a"), names), "side_b": canonical_name(F.col("side_b"), names), "official": person_name(F.col("official"))}
     )
-    keys = ["match_round", "side_a", "side_b"]
+    keys = ["season", "match_round", "side_a", "side_b"]
     single = without_repeated(clean, keys)
     return single.filter(is_appointable(F.col("official"))).join(fixtures.select(*keys), keys, "left_semi")
 
@@ -172,17 +172,17 @@ def valid_appointments(rows: DataFrame, fixtures: DataFrame, names: Mapping[str,
 def merge_appointments(live: DataFrame, verified: DataFrame, cache: DataFrame) -> DataFrame:
     """Precedence merge by fixture: the cache stays, live fills, verified fills last; conflicts are flagged.
 
-    A round with any conflict keeps its cache unchanged (``kept``).
+    A season's round with any conflict keeps its cache unchanged (``kept``).
     """
-    keys = ["match_round", "side_a", "side_b"]
+    keys = ["season", "match_round", "side_a", "side_b"]
     pick = lambda df, name: df.select(*keys, F.col("official").alias(name))
     merged = pick(live, "live").join(pick(verified, "verified"), keys, "full").join(pick(cache, "cached"), keys, "full")
     incoming = F.coalesce("live", "verified")
     clash = F.coalesce(F.col("live") != F.col("verified"), F.lit(False)) | F.coalesce(incoming != F.col("cached"), F.lit(False))
     judged = merged.withColumns({"conflict": clash, "official": F.coalesce(F.col("cached"), incoming)})
-    bad_rounds = judged.groupBy("match_round").agg(F.bool_or("conflict").alias("_frozen"))
+    bad_rounds = judged.groupBy("season", "match_round").agg(F.bool_or("conflict").alias("_frozen"))
     kept = ~F.col("_frozen") | F.col("cached").isNotNull()
-    return judged.join(bad_rounds, "match_round").select(*keys, "official", "conflict", kept.alias("kept"))
+    return judged.join(bad_rounds, ["season", "match_round"]).select(*keys, "official", "conflict", kept.alias("kept"))
 
 
 def coverage(fixtures: DataFrame, found: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
@@ -222,18 +222,21 @@ def rollback_guard(local: DataFrame, remote: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(contests: DataFrame, sides: DataFrame, target: str) -> DataFrame:
-    """Seven named checks with OK or WARN."""
+def quality_report(contests: DataFrame, sides: DataFrame, features: DataFrame, target: str) -> DataFrame:
+    """Seven named checks with OK or WARN; copies, targets and row numbers are those of the feature table."""
     one = contests.agg(
         F.count("*").alias("contests"), (F.count("event_id") - F.countDistinct("event_id")).alias("repeated_event_ids")
     )
     side = sides.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("official").isNull()).alias("no_official"),
+    )
+    made = features.agg(
+        F.count("*").alias("made"),
         F.count_if(F.col(target).isNull()).alias("no_target"),
         (F.count("*") - F.countDistinct("event_id", "side")).alias("copies"),
     )
-    facts = one.withColumn("_s", side.select(F.struct("*")).scalar()).select("*", "_s.*")
+    facts = one.withColumns({"_s": side.select(F.struct("*")).scalar(), "_f": made.select(F.struct("*")).scalar()}).select("*", "_s.*", "_f.*")
     zero = lambda c: F.col(c) == 0
     checks = [
         ("contests", F.col("contests"), F.col("contests") > 0),
@@ -242,7 +245,7 @@ def quality_report(contests: DataFrame, sides: DataFrame, target: str) -> DataFr
         ("repeated_side_rows", F.col("copies"), zero("copies")),
         ("missing_officials", F.col("no_official"), zero("no_official")),
         ("missing_targets", F.col("no_target"), zero("no_target")),
-        ("feature_rows", F.col("n"), F.col("n") == 2 * F.col("contests")),
+        ("feature_rows", F.col("made"), F.col("made") == 2 * F.col("contests")),
     ]
     rows = F.array(
         *[

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -84,15 +85,20 @@ class Registry:
         return register
 
 
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str], Any] = {}
+
+
+def kept(spark: SparkSession, root: str, label: str, build: Callable[[], Any]) -> Any:
+    """What several queries of an application use: built once for each root."""
+    key = (spark.sparkContext.applicationId, root, label)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
 
 
 def shared(spark: SparkSession, root: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries of an application read: built and written once for each root."""
-    key = (spark.sparkContext.applicationId, root, label)
-    if key not in _SHARED:
-        _SHARED[key] = settle(build(), label)
-    return _SHARED[key]
+    return kept(spark, root, label, lambda: settle(build(), label))
 
 
 registry = Registry()

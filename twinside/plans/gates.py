@@ -247,8 +247,8 @@ def to_date(spark, root):
 
 @query(
     "J_13_appointment_lookup",
-    SCHEDULE + """, newest AS (SELECT match_round, side_a, side_b, arg_max(official, event_id) AS official FROM appointments GROUP BY ALL)
-    SELECT s.event_id, n.official FROM schedule s LEFT JOIN newest n USING (match_round, side_a, side_b)""",
+    SCHEDULE + """, newest AS (SELECT season, match_round, side_a, side_b, arg_max(official, event_id) AS official FROM appointments GROUP BY ALL)
+    SELECT s.event_id, n.official FROM schedule s LEFT JOIN newest n USING (season, match_round, side_a, side_b)""",
 )
 def appointed(spark, root):
     got = jn.appointment_lookup(schedule(spark, root).drop("official"), appointments(spark, root), "event_id")
@@ -258,9 +258,9 @@ def appointed(spark, root):
 @query(
     "J_14_prematch_context",
     SCHEDULE + """, once AS (SELECT season, event_date, side_a, side_b, min(kickoff_time) AS kickoff_time, min(match_round) AS match_round FROM schedule GROUP BY season, event_date, side_a, side_b HAVING count(*) = 1),
-    named AS (SELECT match_round, side_a, side_b, count(*) AS k, min(official) AS o FROM appointments GROUP BY ALL)
+    named AS (SELECT season, match_round, side_a, side_b, count(*) AS k, min(official) AS o FROM appointments GROUP BY ALL)
     SELECT season, event_date, once.side_a, once.side_b, kickoff_time, once.match_round, CASE WHEN k = 1 THEN o END AS official
-    FROM once LEFT JOIN named USING (match_round, side_a, side_b)
+    FROM once LEFT JOIN named USING (season, match_round, side_a, side_b)
     WHERE timezone('UTC', timezone('Europe/London', event_date + CAST(kickoff_time || ':00' AS TIME))) > TIMESTAMP '2000-08-01 12:00:00'""",
 )
 def prematch(spark, root):
@@ -371,9 +371,9 @@ def gate(spark, root):
     return qa.snapshot_gate(played, archive, appointments(spark, root), now, ZONE, expected=40)
 
 
-APPOINT = SCHEDULE + """, cand AS (SELECT match_round, side_a, side_b, event_id, CASE WHEN event_id % 13 = 0 THEN 'TBC' ELSE official END AS official FROM appointments),
-    uniq AS (SELECT match_round, side_a, side_b, max(event_id) AS event_id, max(official) AS official FROM cand GROUP BY match_round, side_a, side_b HAVING count(*) = 1),
-    ok AS (SELECT match_round, side_a, side_b, event_id, 'R ' || substr(official, 5) AS official FROM uniq WHERE official <> 'TBC')
+APPOINT = SCHEDULE + """, cand AS (SELECT season, match_round, side_a, side_b, event_id, CASE WHEN event_id % 13 = 0 THEN 'TBC' ELSE official END AS official FROM appointments),
+    uniq AS (SELECT season, match_round, side_a, side_b, max(event_id) AS event_id, max(official) AS official FROM cand GROUP BY season, match_round, side_a, side_b HAVING count(*) = 1),
+    ok AS (SELECT season, match_round, side_a, side_b, event_id, 'R ' || substr(official, 5) AS official FROM uniq WHERE official <> 'TBC')
 """
 
 
@@ -389,12 +389,12 @@ def appointment_rules(spark, root):
 
 @query(
     "U_11_appointment_merge",
-    APPOINT + """, live AS (SELECT match_round, side_a, side_b, official FROM ok WHERE event_id % 2 = 0), ver AS (SELECT match_round, side_a, side_b, official FROM ok WHERE event_id % 3 = 0),
-    cache AS (SELECT match_round, side_a, side_b, CASE WHEN event_id % 500 = 0 THEN 'R Z' ELSE official END AS official FROM ok WHERE event_id % 5 = 0),
-    m AS (SELECT match_round, side_a, side_b, live.official AS l, ver.official AS v, cache.official AS c FROM live FULL JOIN ver USING (match_round, side_a, side_b) FULL JOIN cache USING (match_round, side_a, side_b)),
+    APPOINT + """, live AS (SELECT season, match_round, side_a, side_b, official FROM ok WHERE event_id % 2 = 0), ver AS (SELECT season, match_round, side_a, side_b, official FROM ok WHERE event_id % 3 = 0),
+    cache AS (SELECT season, match_round, side_a, side_b, CASE WHEN event_id % 500 = 0 THEN 'R Z' ELSE official END AS official FROM ok WHERE event_id % 5 = 0),
+    m AS (SELECT season, match_round, side_a, side_b, live.official AS l, ver.official AS v, cache.official AS c FROM live FULL JOIN ver USING (season, match_round, side_a, side_b) FULL JOIN cache USING (season, match_round, side_a, side_b)),
     j AS (SELECT *, coalesce(coalesce(l, v) <> c, false) OR coalesce(l <> v, false) AS conflict FROM m),
-    fz AS (SELECT match_round, bool_or(conflict) AS frozen FROM j GROUP BY match_round)
-    SELECT match_round, side_a, side_b, coalesce(c, l, v) AS official, conflict, NOT frozen OR c IS NOT NULL AS kept FROM j JOIN fz USING (match_round)""",
+    fz AS (SELECT season, match_round, bool_or(conflict) AS frozen FROM j GROUP BY season, match_round)
+    SELECT season, match_round, side_a, side_b, coalesce(c, l, v) AS official, conflict, NOT frozen OR c IS NOT NULL AS kept FROM j JOIN fz USING (season, match_round)""",
 )
 def appointment_merge(spark, root):
     ok = clean_appointments(spark, root)
@@ -439,15 +439,19 @@ def flags(spark, root):
 
 @query(
     "A_17_quality_report",
-    """, x AS (SELECT (SELECT count(*) FROM contests) AS n, (SELECT count(*) FROM sides) AS s, (SELECT count(*) FROM sides WHERE official IS NULL) AS o, (SELECT count(*) FROM sides WHERE qty_for IS NULL) AS t)
+    """, made AS (SELECT event_id, side, CASE WHEN event_id % 17 <> 0 THEN qty_for END AS target_qty FROM sides WHERE event_id % 19 <> 0), broken AS (SELECT * FROM made UNION ALL SELECT * FROM made WHERE event_id % 23 = 0),
+    x AS (SELECT (SELECT count(*) FROM contests) AS n, (SELECT count(*) FROM sides) AS s, (SELECT count(*) FROM sides WHERE official IS NULL) AS o, (SELECT count(*) FROM broken WHERE target_qty IS NULL) AS t, (SELECT count(*) FROM broken) AS f, (SELECT count(*) - count(DISTINCT (event_id, side)) FROM broken) AS r)
     SELECT 'contests' AS check_name, n::DOUBLE AS value, CASE WHEN n > 0 THEN 'OK' ELSE 'WARN' END AS status FROM x
-    UNION ALL SELECT 'side_rows', s, CASE WHEN s = 2 * n THEN 'OK' ELSE 'WARN' END FROM x UNION ALL SELECT 'repeated_event_ids', 0, 'OK' FROM x UNION ALL SELECT 'repeated_side_rows', 0, 'OK' FROM x
+    UNION ALL SELECT 'side_rows', s, CASE WHEN s = 2 * n THEN 'OK' ELSE 'WARN' END FROM x UNION ALL SELECT 'repeated_event_ids', 0, 'OK' FROM x UNION ALL SELECT 'repeated_side_rows', r, CASE WHEN r = 0 THEN 'OK' ELSE 'WARN' END FROM x
     UNION ALL SELECT 'missing_officials', o, CASE WHEN o = 0 THEN 'OK' ELSE 'WARN' END FROM x UNION ALL SELECT 'missing_targets', t, CASE WHEN t = 0 THEN 'OK' ELSE 'WARN' END FROM x
-    UNION ALL SELECT 'feature_rows', s, CASE WHEN s = 2 * n THEN 'OK' ELSE 'WARN' END FROM x""",
+    UNION ALL SELECT 'feature_rows', f, CASE WHEN f = 2 * n THEN 'OK' ELSE 'WARN' END FROM x""",
 )
 def report(spark, root):
     c = contests(spark, root)
-    return qa.quality_report(c, side_rows(c, METRICS), "qty_for")
+    rows = side_rows(c, METRICS)
+    # A feature table with lost rows, copies and lost targets.
+    made = rows.filter("event_id % 19 <> 0").select("event_id", "side", F.when(F.col("event_id") % 17 != 0, F.col("qty_for")).alias("target_qty"))
+    return qa.quality_report(c, rows, made.unionByName(made.filter("event_id % 23 = 0")), "target_qty")
 
 
 @query(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from twinside.functions.calendar import daypart, weekday
 from twinside.operators import patterns as pt
 from twinside.operators.sides import side_rows
-from twinside.plans.base import query
+from twinside.plans.base import kept, query, shared
 from twinside.plans.gates import FIXTURE_DAY
-from twinside.sources.tables import METRICS, contests, fact
+from twinside.sources.tables import METRICS, contests
 
 PM = ("qty", "lines", "bulk")
 KEY = ", ".join(pt.KEY)
@@ -68,8 +68,8 @@ def summaries(keys: str = "") -> str:
 
 
 def tables(spark, root):
-    c = fact(spark, root)
-    return pt.analyze(c, side_rows(c, METRICS), PM)
+    c = shared(spark, root, "contests", lambda: contests(spark, root))
+    return kept(spark, root, "analysis", lambda: pt.analyze(c, side_rows(c, METRICS), PM))
 
 
 @query(
@@ -167,8 +167,11 @@ def future_of(c):
 
 
 def matched(spark, root):
-    c = fact(spark, root)
-    return pt.match_patterns(c, side_rows(c, METRICS), future_of(c), PM)
+    def build():
+        c = shared(spark, root, "contests", lambda: contests(spark, root))
+        return pt.match_patterns(c, side_rows(c, METRICS), future_of(c), PM)
+
+    return shared(spark, root, "matched", build)
 
 
 MATCH = TALL + f""", fx AS (SELECT event_id AS fixture_id, season AS f_season, event_date AS f_date, side_a AS fa, side_b AS fb, official, dayname(event_date) AS f_weekday, {PART} AS f_daypart

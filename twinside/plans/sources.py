@@ -37,7 +37,7 @@ def raw_feed(spark, root) -> DataFrame:
         "event_id",
         "season",
         F.substring("season", 3, 5).alias("feed"),
-        F.when(every(61), "E1").otherwise("E0").alias("Div"),
+        F.when(every(61), "D2").otherwise("D1").alias("Div"),
         F.when(every(59), "soon").when(every(2), F.date_format("event_date", "dd/MM/yyyy")).otherwise(F.date_format("event_date", "dd/MM/yy")).alias("Date"),
         F.col("kickoff_time").alias("Time"),
         padded("side_a").alias("HomeTeam"),
@@ -65,7 +65,7 @@ def _whole(col):
 
 
 RAW = f""", raw AS (SELECT event_id, season, substr(season, 3, 5) AS feed,
-  CASE WHEN event_id % 61 = 0 THEN 'E1' ELSE 'E0' END AS Div,
+  CASE WHEN event_id % 61 = 0 THEN 'D2' ELSE 'D1' END AS Div,
   CASE WHEN event_id % 59 = 0 THEN 'soon' WHEN event_id % 2 = 0 THEN strftime(event_date, '%d/%m/%Y') ELSE strftime(event_date, '%d/%m/%y') END AS "Date",
   kickoff_time AS "Time", {_padded('side_a')} AS HomeTeam, CASE WHEN event_id % 67 = 0 THEN '' ELSE {_padded('side_b')} END AS AwayTeam,
   coalesce('  ' || official || ' ', '') AS Referee,
@@ -84,10 +84,19 @@ PLAYED = f""", played AS (SELECT event_id, season, feed, {_name('HomeTeam')} AS
 
 
 def written_feed(spark, root) -> str:
-    """The raw feed as one CSV folder per season below the shared folder."""
+    """The raw feed as one CSV folder per season below the shared folder.
+
+    Seasons that begin in an odd year have another order of columns, lack the
+    second price, and are not UTF-8.
+    """
     path = work_path(spark, "feed")
-    raw_feed(spark, root).drop("season").write.partitionBy("feed").csv(
-        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    rows = raw_feed(spark, root).withColumn("Town", F.concat(F.lit("Málaga "), "event_id"))
+    odd = F.substring("season", 4, 1).cast("int") % 2 == 1
+    text = dict(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.filter(~odd).drop("season").write.partitionBy("feed").csv(path, **text)
+    other = rows.filter(odd).drop("season", "B365A")
+    other.select("Town", *reversed([c for c in other.columns if c not in ("Town", "feed")]), "feed").write.partitionBy("feed").mode("append").csv(
+        path, encoding="ISO-8859-1", **text
     )
     return path
 
@@ -95,13 +104,13 @@ def written_feed(spark, root) -> str:
 @query(
     "S_01_csv_scan",
     RAW + """SELECT event_id, HomeTeam, CASE WHEN AwayTeam <> '' THEN AwayTeam END AS AwayTeam, "Date", Div,
-    CASE WHEN FTHG <> '' THEN FTHG END AS FTHG, B365H FROM raw""",
+    CASE WHEN FTHG <> '' THEN FTHG END AS FTHG, B365H, CASE WHEN CAST(substr(season, 4, 1) AS BIGINT) % 2 = 0 THEN B365A END AS B365A, 'Málaga ' || event_id AS Town FROM raw""",
 )
 def csv_scan(spark, root):
     path = written_feed(spark, root)
-    got = feeds.read_feed(spark, path, feeds.text_encoding(spark, path))
+    got = feeds.read_feed(spark, path)
     text = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-    return got.select(F.col("event_id").cast("bigint"), "HomeTeam", text("AwayTeam"), "Date", "Div", text("FTHG"), "B365H")
+    return got.select(F.col("event_id").cast("bigint"), "HomeTeam", text("AwayTeam"), "Date", "Div", text("FTHG"), "B365H", "B365A", "Town")
 
 
 @query("S_02_header_cleaning", "SELECT event_id, side_a AS HomeTeam, side_b AS AwayTeam FROM contests")
@@ -157,11 +166,11 @@ NOW = "2000-12-31 23:59:59"
     "S_06_played_union",
     """, copies AS (
       SELECT event_id % 9000 AS match_id, event_id AS load_order, event_id % 7 <> 0 AS finished,
-        CASE WHEN event_id % 5 = 0 THEN 'Cup' ELSE ' Prem ' END AS tournament, event_date + CAST(kickoff_time || ':00' AS TIME) AS utc,
+        CASE WHEN event_id % 5 = 0 THEN 'Cup' ELSE ' League ' END AS tournament, event_date + CAST(kickoff_time || ':00' AS TIME) AS utc,
         side_a, side_b, a_score FROM contests),
     newest AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY load_order DESC) AS rn FROM copies WHERE finished)
     SELECT match_id, side_a AS HomeTeam, side_b AS AwayTeam, a_score AS home_score, load_order FROM newest
-    WHERE rn = 1 AND lower(trim(tournament)) = 'prem' AND utc <= TIMESTAMP '2000-12-31 23:59:59'""",
+    WHERE rn = 1 AND lower(trim(tournament)) = 'league' AND utc <= TIMESTAMP '2000-12-31 23:59:59'""",
 )
 def played_union(spark, root):
     c = contests(spark, root)
@@ -170,14 +179,14 @@ def played_union(spark, root):
         (F.col("event_id") % 9000).alias("match_id"),
         F.col("event_id").alias("load_order"),
         F.when(F.col("event_id") % 7 != 0, "True").otherwise("0").alias("finished"),
-        F.when(F.col("event_id") % 5 == 0, "Cup").otherwise(" Prem ").alias("tournament"),
+        F.when(F.col("event_id") % 5 == 0, "Cup").otherwise(" League ").alias("tournament"),
         F.concat(F.col("event_date").cast("string"), F.lit(" "), F.col("kickoff_time"), F.lit(":00")).alias("kickoff_time"),
         code("side_a").alias("home_team"),
         code("side_b").alias("away_team"),
         F.col("a_score").alias("home_score"),
     )
     now = F.lit(NOW).cast("timestamp_ntz")
-    got = feeds.played_union(rows, CODES, now, ["prem", "main league"], ["load_order"], ZONE)
+    got = feeds.played_union(rows, CODES, now, ["league", "main league"], ["load_order"], ZONE)
     return got.select("match_id", "HomeTeam", "AwayTeam", "home_score", "load_order")
 
 
@@ -368,10 +377,10 @@ def status_json(spark, root):
       UNION ALL SELECT event_id, 'half-filled result' FROM n WHERE (x IS NULL) <> (y IS NULL)
       UNION ALL SELECT event_id, 'missing statistic' FROM n WHERE x IS NOT NULL AND y IS NOT NULL AND (HF IN ('', 'n/a') OR AF = '')
       UNION ALL SELECT event_id, 'invalid date' FROM n WHERE x IS NOT NULL AND y IS NOT NULL AND "Date" = 'soon'
-      UNION ALL SELECT event_id, 'wrong division' FROM n WHERE Div <> 'E0')
+      UNION ALL SELECT event_id, 'wrong division' FROM n WHERE Div <> 'D1')
     SELECT event_id, string_agg(r, ',' ORDER BY r) AS violations FROM rules WHERE r IS NOT NULL GROUP BY event_id""")
 def violations(spark, root):
-    got = feeds.input_violations(raw_feed(spark, root), NAMES, "E0")
+    got = feeds.input_violations(raw_feed(spark, root), NAMES, "D1")
     return got.select("event_id", F.array_join(F.array_sort("violations"), ",").alias("violations"))
 
 

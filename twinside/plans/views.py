@@ -55,9 +55,9 @@ def side_observations(spark, root):
     SCHEDULE + """, played AS (SELECT DISTINCT season, side_a, side_b FROM contests WHERE event_date < DATE '2001-06-01'),
     open AS (SELECT s.season, s.match_round, count(*) FILTER (p.side_a IS NULL) AS n FROM schedule s LEFT JOIN played p USING (season, side_a, side_b) GROUP BY ALL),
     cur AS (SELECT season, coalesce(min(match_round) FILTER (n > 0), max(match_round)) AS match_round FROM open GROUP BY season),
-    newest AS (SELECT match_round, side_a, side_b, arg_max(official, event_id) AS official FROM appointments GROUP BY ALL)
+    newest AS (SELECT season, match_round, side_a, side_b, arg_max(official, event_id) AS official FROM appointments GROUP BY ALL)
     SELECT s.season, s.match_round, s.event_id, s.event_date, s.kickoff_time, s.side_a, s.side_b, coalesce(n.official, 'not appointed') AS official
-    FROM schedule s JOIN cur USING (season, match_round) LEFT JOIN newest n USING (match_round, side_a, side_b)""",
+    FROM schedule s JOIN cur USING (season, match_round) LEFT JOIN newest n USING (season, match_round, side_a, side_b)""",
 )
 def overview(spark, root):
     s = schedule(spark, root).drop("official")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -38,8 +39,39 @@ _WINDOWS = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0
 _WINDOWS = {k: v for k, v in _WINDOWS.items() if v}
 
 
-def read_feed(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV files as text columns with cleaned names, plus where each row came from."""
+def feed_layouts(spark: SparkSession, path: str, fallback: str = "windows-1252") -> DataFrame:
+    """(header, encoding, paths): the files of a source by their header line and by whether all their lines are UTF-8.
+
+    One pass over the lines; of each file its first line and one boolean
+    remain. Lines keep their order within a split, so the smallest running
+    number of a file's first split is its header.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first"), F.monotonically_increasing_id().alias("at")
+    )
+    files = lines.groupBy("path").agg(
+        F.min_by("value", F.when(F.col("first"), F.col("at"))).alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    )
+    encoding = F.when(F.col("utf8"), "UTF-8").otherwise(fallback)
+    return files.groupBy("header", encoding.alias("encoding")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+
+def read_feed(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Header CSV files as text columns with cleaned names, plus where each row came from.
+
+    Files are read by their own header and, unless ``encoding`` is given, in
+    their own encoding; columns that a file lacks are null. The driver sees one
+    row for each layout.
+    """
+    layouts = feed_layouts(spark, path).sort("header", "encoding").collect()
+    if not layouts:
+        return read_layout(spark, path, encoding or "UTF-8")
+    frames = [read_layout(spark, r["paths"], encoding or r["encoding"]) for r in layouts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_layout(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """Files of one header and one encoding."""
     windows = encoding == "windows-1252"
     df = spark.read.csv(path, header=True, encoding="ISO-8859-1" if windows else encoding, inferSchema=False)
     located = df.select("*", F.col("_metadata.file_path").alias("_path"))
@@ -140,13 +172,14 @@ def foreign_to_core(df: DataFrame, mapping: Mapping[str, str], wanted: Sequence[
 def enrich(fresh: DataFrame, old: DataFrame, keys: Sequence[str], official: str, appointments: DataFrame | None = None) -> DataFrame:
     """Fresh rows stay authoritative; the old copy fills a blank official and columns the fresh source lacks.
 
-    Never adds rows: ``old`` holds one row per key.
+    Never adds rows: of a key that ``old`` or ``appointments`` repeats, the largest row counts.
     """
     extra = [c for c in old.columns if c not in fresh.columns]
-    joined = fresh.join(old.select(*keys, F.col(official).alias("_old_official"), *extra), list(keys), "left")
+    one = lambda df: keep_last(df, keys, [c for c in df.columns if c not in keys])
+    joined = fresh.join(one(old.select(*keys, F.col(official).alias("_old_official"), *extra)), list(keys), "left")
     filled = F.coalesce(blank_to_null(F.col(official)), F.col("_old_official"))
     if appointments is not None:
-        joined = joined.join(appointments.select(*keys, F.col(official).alias("_appointed")), list(keys), "left")
+        joined = joined.join(one(appointments.select(*keys, F.col(official).alias("_appointed"))), list(keys), "left")
         filled = F.coalesce(blank_to_null(filled), F.col("_appointed"))
     return joined.withColumn(official, filled).select(*fresh.columns, *extra)
 
