@@ -216,7 +216,7 @@ def _summed_alpha(mu: Column, a: Column, b: Column, alpha: Column) -> Column:
     return F.when((alpha > 0) & (var > m), (var - m) / (m * m))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], buckets: int = 256, collected: int = 65_536) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: Sequence[str], buckets: int = 256, small: int = 4096, collected: int = 65_536) -> dict[str, float | None]:
     """Exact medians of many columns by narrowing value ranges.
 
     Every pass is one aggregate that returns at most ``buckets`` counts per
@@ -225,8 +225,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str], buckets: int = 256, col
     to the driver is bounded by ``collected`` rows for all columns together.
     NaN and infinite values count as missing.
     """
-    small = max(1, collected // max(1, len(columns)))
-    buckets = max(2, min(buckets, small))
+    share = max(1, collected // max(1, len(columns)))
+    small, buckets = min(small, share), max(2, min(buckets, share))
     real = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))
     df = df.select(*[real(c).alias(c) for c in columns])
     first = df.agg(*[f(c).alias(f"{c}|{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
