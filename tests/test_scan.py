@@ -65,6 +65,22 @@ def test_one_day_is_sliced_when_it_is_hot_itself(spark):
     assert values(prior_features(frame(spark, data), ["k"], SPECS, hot_rows=7)) == rounded(expected(data))
 
 
+def test_clustered_ids_on_one_key_are_cut_by_counts(spark):
+    """All rows on one key and day, nearly all ids close together and one far away."""
+    data = [(i, "hot", DAY, i % 7 if i % 5 else None) for i in range(120)] + [(10**9, "hot", DAY, 3)]
+    got = prior_features(frame(spark, data), ["k"], SPECS, hot_rows=10)
+    assert values(got) == rounded(expected(data))
+
+
+def test_ranks_of_a_shared_value_are_spread_over_days(spark):
+    from twinside.operators.ordering import rank_rows
+
+    data = [(i, "hot", DAY + dt.timedelta(days=i % 4), None if i % 3 else 5) for i in range(60)]
+    got = rank_rows(frame(spark, data), ["k"], "x", ["event_date", "event_id"]).collect()
+    want = sorted(data, key=lambda d: (d[3] is None, -(d[3] or 0), d[2], d[0]))
+    assert {r["event_id"]: r["place"] for r in got} == {d[0]: k + 1 for k, d in enumerate(want)}
+
+
 def test_later_rows_never_change_earlier_features(spark):
     data = rows(seed=4)
     cut = DAY + dt.timedelta(days=3)

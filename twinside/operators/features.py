@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinside.functions.numbers import null_safe_sum
 from twinside.operators.aggregates import table_before
-from twinside.operators.scan import HOT_ROWS, Prior, asof, day_states, hot_keys, means, prior_features
+from twinside.operators.scan import Prior, asof, day_states, hot_keys, means, prior_features
 from twinside.operators.sides import for_against, side_rows
 
 RECENT = (3, 5, 10)
 LEAGUE_ROWS = 20
 
 
-def official_priors(contests: DataFrame, metrics: Sequence[str], recent: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def official_priors(contests: DataFrame, metrics: Sequence[str], recent: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Contests plus the official's record before each contest, in the season and over all seasons.
 
     Contests without an official form no history: they skip the windows
@@ -125,7 +125,7 @@ HISTORIES = {
 }
 
 
-def side_priors(sides: DataFrame, metrics: Sequence[str], histories: Sequence[str] = tuple(HISTORIES), hot_rows: int = HOT_ROWS) -> DataFrame:
+def side_priors(sides: DataFrame, metrics: Sequence[str], histories: Sequence[str] = tuple(HISTORIES), hot_rows: int | None = None) -> DataFrame:
     """Side rows plus the row-prior features of the chosen histories."""
     specs = side_prior_specs(metrics)
     hot = hot_keys(sides, [HISTORIES[h] for h in histories], hot_rows)
@@ -162,7 +162,7 @@ def mirror(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return paired.selectExpr("*", *[f"_opp.{c} AS opp_{c}" for c in columns]).drop("_opp")
 
 
-def training_features(contests: DataFrame, metrics: Sequence[str], recent: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def training_features(contests: DataFrame, metrics: Sequence[str], recent: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """The wide feature table: identifiers, own and ``opp_`` features, targets."""
     raw = side_rows(contests, metrics)
     per_contest = (

@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def rank_rows(df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[str], place: str = "place") -> DataFrame:
     """Place of every row within its key by ``lead`` descending (nulls last), then ``order``.
 
-    ``lead`` is a count with few distinct values: its histogram gives the place
-    where each block of equal values starts, and only a block is ranked in one
-    window.
+    ``lead`` is a count with few distinct values, and the first of ``order`` a
+    day: the histogram of both gives the place where each block of equal values
+    starts, and only a block is ranked in one window.  A value that most rows
+    share, or null, is thus spread over its days.
     """
-    blocks = df.groupBy(*keys, F.col(lead).alias("_block")).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    first, *rest = order
+    blocks = df.groupBy(*keys, F.col(lead).alias("_block"), F.col(first).alias("_first")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("_block"), "_first").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start")
+        *[F.col(k).alias(f"_{k}") for k in keys], "_block", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start")
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, lead).orderBy(*order))
-    on = F.equal_null(F.col(lead), F.col("_block"))
+    inside = F.row_number().over(Window.partitionBy(*keys, lead, first).orderBy(*(rest or [first])))
+    on = F.equal_null(F.col(lead), F.col("_block")) & F.equal_null(F.col(first), F.col("_first"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     return df.withColumn("_in", inside).join(starts, on).withColumn(place, F.col("_start") + F.col("_in")).select(*df.columns, place)

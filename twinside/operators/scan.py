@@ -4,8 +4,9 @@ Row-prior: rows before the current one in (day, tie) order.
 Day-prior: everything before the current calendar day.
 
 A plain window puts all rows of a key into one task.  ``prior_features`` does
-so only while no key exceeds ``hot_rows``; larger keys are cut into chunks of
-(day, slice of the tie), each scanned alone.  What a chunk needs from earlier
+so only while no key exceeds ``hot_rows`` (by default so many rows as hold
+``HOT_CELLS`` values); larger keys are cut into chunks of (day, slice of the
+tie), each scanned alone.  What a chunk needs from earlier
 chunks is small: running totals, and the last few rows.
 Day-prior states hold at most one row per key and day, so a key's size is
 bounded by the calendar, not by its events.
@@ -15,13 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinside.session import settle
 
-HOT_ROWS = 2_000_000
+HOT_CELLS = 32_000_000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -39,16 +39,25 @@ def means(prefix: str, columns: Sequence[str], rows: int | None = None, suffix:
     return [Prior(f"{prefix}_{c}_{suffix}", "mean", c, rows) for c in columns]
 
 
-def hot_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], hot_rows: int = HOT_ROWS) -> list[DataFrame | None]:
+def row_limit(df: DataFrame) -> int:
+    """Rows of this width that one task may hold."""
+    return max(1, HOT_CELLS // len(df.columns))
+
+
+def hot_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], hot_rows: int | None = None) -> list[DataFrame | None]:
     """Per key set the keys above ``hot_rows``, or None when there is none.
 
-    One job for all key sets.  At most ``rows / hot_rows`` keys can be hot, so
-    the list stays small; it is settled to give the optimizer its real size.
+    One scan for all key sets, by grouping sets.  At most ``rows / hot_rows``
+    keys of a set can be hot, so the list stays small; it is written to give
+    the optimizer its real size.
     """
-    heavy = [df.groupBy(*k).count().filter(F.col("count") > hot_rows) for k in key_sets]
-    sizes = [h.agg(F.lit(i).alias("i"), F.count("*").alias("n")) for i, h in enumerate(heavy)]
-    found = {r["i"] for r in reduce(DataFrame.unionByName, sizes).collect() if r["n"]}
-    return [settle(h.drop("count"), "hot-keys") if i in found else None for i, h in enumerate(heavy)]
+    hot_rows = hot_rows or row_limit(df)
+    names = sorted({c for k in key_sets for c in k})
+    number = [sum(1 << (len(names) - 1 - j) for j, c in enumerate(names) if c not in k) for k in key_sets]
+    counted = df.select(*names).groupingSets([list(k) for k in key_sets], *names).agg(F.count("*").alias("_rows"), F.grouping_id().alias("_set"))
+    heavy = settle(counted.filter(F.col("_rows") > hot_rows), "hot-keys")
+    found = {r["_set"] for r in heavy.select("_set").distinct().collect()}
+    return [heavy.filter(F.col("_set") == i).select(*k) if i in found else None for i, k in zip(number, key_sets)]
 
 
 def _plain(specs: Sequence[Prior], keys: Sequence[str], day: str, tie: str) -> list[str]:
@@ -71,13 +80,14 @@ def prior_features(
     specs: Sequence[Prior],
     day: str = "event_date",
     tie: str = "event_id",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     hot: DataFrame | None | str = "measure",
 ) -> DataFrame:
     """``df`` plus one column per spec.  Keys must not be null and ``tie`` must be a whole number.
 
     ``hot`` takes a frame of hot keys, None for "no key is hot", or measures.
     """
+    hot_rows = hot_rows or row_limit(df)
     if isinstance(hot, str):
         hot = hot_keys(df, [keys], hot_rows)[0]
     plain = lambda rows: rows.selectExpr("*", *_plain(specs, keys, day, tie))
@@ -90,15 +100,13 @@ def prior_features(
 def _chunked(df: DataFrame, keys, specs: Sequence[Prior], day: str, tie: str, hot_rows: int) -> DataFrame:
     columns = sorted({s.column for s in specs if s.column})
     depth = max([s.rows or 0 for s in specs], default=0)
-    # Exact bounds, so a recomputed task always cuts the same slices.
-    cut = settle(
-        df.groupBy(*keys, day).agg(
-            F.ceil(F.count("*") / hot_rows).alias("_slices"), F.min(tie).alias("_lo"), F.max(tie).alias("_hi")
-        ),
-        "slices",
-    )
-    position = F.floor((F.col(tie) - F.col("_lo")) * F.col("_slices") / (F.col("_hi") - F.col("_lo") + 1))
-    rows = df.join(cut, [*keys, day]).withColumn("_slice", position.cast("bigint")).drop("_slices", "_lo", "_hi")
+    # Cut by counts, so ids that lie close together are spread too; written, so a recomputed task cuts the same slices.
+    sizes = settle(df.groupBy(*keys, day).count(), "day-sizes")
+    slices = min(10_000, -(-(sizes.agg(F.max("count")).first()[0] or 1) // hot_rows))
+    bounds = F.percentile_approx(tie, [k / slices for k in range(1, slices)], 10 * slices) if slices > 1 else F.array().cast("array<bigint>")
+    cut = settle(df.groupBy(*keys, day).agg(bounds.alias("_bounds")), "slices")
+    position = F.size(F.filter("_bounds", lambda b: b < F.col(tie)))
+    rows = df.join(cut, [*keys, day]).withColumn("_slice", position.cast("bigint")).drop("_bounds")
     chunk = [*keys, day, "_slice"]
 
     totals = rows.groupBy(*chunk).agg(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from twinside.operators import features as ft
 from twinside.operators.aggregates import table_before
-from twinside.operators.scan import prior_features
-from twinside.plans.aggregates import COLS, LEAGUE_ORACLE, PARTS, officials, sides
-from twinside.plans.base import query
+from twinside.operators.scan import hot_keys, prior_features
+from twinside.operators.sides import side_rows
+from twinside.plans.aggregates import COLS, LEAGUE_ORACLE, PARTS, officials
+from twinside.plans.base import query, shared
 from twinside.sources.tables import METRICS, contests, fact
 
 RECENT_TOTALS = ("qty", "bulk")
@@ -39,6 +40,11 @@ def sql_of(specs, frame: str) -> str:
 KEY = "event_id, side"
 
 
+def sides(spark, root):
+    """Side rows of the written contests: key sizes are measured without repeating the joins."""
+    return side_rows(shared(spark, root, "contests", lambda: contests(spark, root)), METRICS)
+
+
 def priors(spark, root, history, specs):
     return prior_features(sides(spark, root), ft.HISTORIES[history], specs).select(
         "event_id", "side", *[s.name for s in specs]
@@ -47,8 +53,8 @@ def priors(spark, root, history, specs):
 
 def counts_query(spark, root):
     rows = sides(spark, root)
-    for h in ft.HISTORIES:
-        rows = prior_features(rows, ft.HISTORIES[h], SPECS[h][:1])
+    for (h, keys), hot in zip(ft.HISTORIES.items(), hot_keys(rows, list(ft.HISTORIES.values()))):
+        rows = prior_features(rows, keys, SPECS[h][:1], hot=hot)
     return rows.select("event_id", "side", *[SPECS[h][0].name for h in ft.HISTORIES])
 
 
