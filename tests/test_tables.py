@@ -118,6 +118,17 @@ def test_medians_leave_out_what_is_no_number(spark):
     assert md.exact_medians(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], collected=4) == {"a": 4.0, "b": None}
 
 
+def test_schedule_is_validated_on_every_read(spark):
+    schema = "season string, match_round int, side_a string, side_b string"
+    rows = [("s", 1, "a", "b"), ("s", 2, "b", "a")]
+    good, bad = work_path(spark, "good"), work_path(spark, "bad")
+    spark.createDataFrame(rows, schema).write.parquet(good)
+    spark.createDataFrame(rows[:1] * 2, schema).write.parquet(bad)
+    assert store.read_schedule(spark, good, schema, rounds=2, per_round=1, sides=2).count() == 2
+    with pytest.raises(ValueError, match="repeated pair"):
+        store.read_schedule(spark, bad, schema, rounds=2, per_round=1, sides=2)
+
+
 def test_missing_ledger_is_empty_with_its_schema(spark):
     schema = spark.createDataFrame([], "a bigint, b string").schema
     assert store.read_or_empty(spark, work_path(spark, "none"), schema).schema == schema

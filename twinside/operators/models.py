@@ -133,6 +133,11 @@ def total_forecasts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def forecast_overview(scored: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One prediction per fixture, side and market of priced rows: the first by ``order``."""
+    return scored.groupBy(*keys, "side", "market").agg(F.min_by("prediction", F.struct(*order)).alias("prediction"))
+
+
 def total_dispersion(markets: Sequence[Market]) -> Column:
     return pr.total_alpha(F.col("mu_a"), F.col("mu_b"), alpha_of(markets))
 

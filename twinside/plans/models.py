@@ -146,14 +146,14 @@ def negative_binomial(spark, root):
 
 @query(
     "M_07_under_and_fair_odds",
-    SCORED + "SELECT event_id, side, market, line, round(1 - p_over, 6) AS p_under, CASE WHEN p_over > 1e-9 THEN round(ln(1 + 1 / p_over), 5) END AS log_odds_over, CASE WHEN 1 - p_over > 1e-9 THEN round(ln(1 + 1 / (1 - p_over)), 5) END AS log_odds_under FROM scored WHERE market <> 'qty'",
+    SCORED + "SELECT event_id, side, market, line, round(1 - p_over, 6) AS p_under, CASE WHEN p_over > 0 THEN round(ln(1 + 1 / p_over), 5) END AS log_odds_over, CASE WHEN 1 - p_over > 1e-9 THEN round(ln(1 + 1 / (1 - p_over)), 5) END AS log_odds_under FROM scored",
 )
 def odds(spark, root):
-    rows = md.over_lines(forecasts(spark, root).filter("market <> 'qty'"), MARKETS)
-    # Logarithms keep long odds comparable between engines.
-    logged = lambda p, odds: F.when(F.col(p) > 1e-9, rounded(F.ln(F.col(odds) + 1), 1e5))
+    rows = md.over_lines(forecasts(spark, root), MARKETS)
+    # Logarithms keep long odds comparable; of 1 - p below 1e-9 too few digits are left to compare.
+    logged = lambda p, odds, least: F.when(F.col(p) > least, rounded(F.ln(F.col(odds) + 1), 1e5))
     return rows.select(
-        "event_id", "side", "market", "line", "p_under", logged("p_over", "fair_over").alias("log_odds_over"), logged("p_under", "fair_under").alias("log_odds_under")
+        "event_id", "side", "market", "line", "p_under", logged("p_over", "fair_over", 0.0).alias("log_odds_over"), logged("p_under", "fair_under", 1e-9).alias("log_odds_under")
     )
 
 

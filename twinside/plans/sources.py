@@ -165,7 +165,7 @@ NOW = "2000-12-31 23:59:59"
 @query(
     "S_06_played_union",
     """, copies AS (
-      SELECT event_id % 9000 AS match_id, event_id AS load_order, event_id % 7 <> 0 AS finished,
+      SELECT event_id // 3 AS match_id, event_id AS load_order, event_id % 7 <> 0 AS finished,
         CASE WHEN event_id % 5 = 0 THEN 'Cup' ELSE ' League ' END AS tournament, event_date + CAST(kickoff_time || ':00' AS TIME) AS utc,
         side_a, side_b, a_score FROM contests),
     newest AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY load_order DESC) AS rn FROM copies WHERE finished)
@@ -176,7 +176,7 @@ def played_union(spark, root):
     c = contests(spark, root)
     code = lambda s: F.regexp_extract(s, r"(\d+)$", 1)
     rows = c.select(
-        (F.col("event_id") % 9000).alias("match_id"),
+        F.expr("event_id div 3").alias("match_id"),
         F.col("event_id").alias("load_order"),
         F.when(F.col("event_id") % 7 != 0, "True").otherwise("0").alias("finished"),
         F.when(F.col("event_id") % 5 == 0, "Cup").otherwise(" League ").alias("tournament"),
@@ -267,15 +267,15 @@ def replace_schema(spark, root):
 
 @query(
     "S_14_upsert",
-    """, u AS (SELECT event_id % 5000 AS id, event_id AS loaded, side_a, 0 AS fresh FROM contests WHERE event_id % 2 = 0
-      UNION ALL SELECT event_id % 5000, event_id, side_b, 1 FROM contests WHERE event_id % 2 = 1 AND event_id % 5000 < 2500)
+    """, u AS (SELECT event_id // 4 AS id, event_id AS loaded, side_a, 0 AS fresh FROM contests WHERE event_id % 2 = 0
+      UNION ALL SELECT event_id // 4, event_id, side_b, 1 FROM contests WHERE event_id % 2 = 1)
     SELECT id, loaded, side FROM (SELECT id, loaded, side_a AS side, row_number() OVER (PARTITION BY id ORDER BY fresh DESC, loaded DESC) AS rn FROM u) WHERE rn = 1""",
 )
 def upsert(spark, root):
-    rows = contests(spark, root).withColumn("id", F.col("event_id") % 5000)
+    rows = contests(spark, root).withColumn("id", F.expr("event_id div 4"))
     pick = lambda df, side: df.select("id", F.col("event_id").alias("loaded"), F.col(side).alias("side"))
     stored = pick(rows.filter("event_id % 2 = 0"), "side_a")
-    return store.upsert(stored, pick(rows.filter("event_id % 2 = 1 AND id < 2500"), "side_b"), ["id"], "loaded")
+    return store.upsert(stored, pick(rows.filter("event_id % 2 = 1"), "side_b"), ["id"], "loaded")
 
 
 @query(
@@ -344,6 +344,29 @@ def ledger_contract(spark, root):
     return store.read_or_empty(spark, path, CONTRACT).unionByName(empty)
 
 
+# Double round robins of 20 sides: every 20 suppliers are a league of their own.
+ROUND_ROBIN = """
+WITH sides AS (SELECT concat('L', s_suppkey - s_suppkey % 20) AS season, s_suppkey % 20 AS slot, s_name FROM {supplier}),
+full_leagues AS (SELECT season FROM sides GROUP BY season HAVING count(*) = 20),
+legs AS (SELECT r, k, CASE WHEN k = 0 THEN 19 ELSE (r + k) % 19 END AS x, CASE WHEN k = 0 THEN r ELSE (r + 19 - k) % 19 END AS y FROM {rounds}),
+pairs AS (SELECT r + 1 AS match_round, x AS a, y AS b FROM legs UNION ALL SELECT r + 20, y, x FROM legs)
+SELECT h.season, CAST(match_round AS BIGINT) AS match_round, h.s_name AS side_a, w.s_name AS side_b
+FROM pairs JOIN sides h ON h.slot = a JOIN sides w ON w.slot = b AND w.season = h.season WHERE h.season IN (SELECT season FROM full_leagues)
+"""
+
+
+@query(
+    "S_21_schedule_read",
+    ROUND_ROBIN.format(supplier="supplier", rounds="(SELECT i // 10 AS r, i % 10 AS k FROM range(190) t(i))"),
+    raw=True,
+)
+def schedule_read(spark, root):
+    path = work_path(spark, "schedule")
+    rounds = spark.range(190).selectExpr("id div 10 AS r", "id % 10 AS k")
+    spark.sql(ROUND_ROBIN, supplier=table(spark, root, "supplier"), rounds=rounds).write.parquet(path)
+    return store.read_schedule(spark, path, "season string, match_round bigint, side_a string, side_b string")
+
+
 @query(
     "S_20_match_status_json",
     """SELECT CAST(event_id AS VARCHAR) AS key, 1 + event_id % 38 AS match_round, kickoff_time AS kickoff, 'PreMatch' AS period, 'BST' AS zone, side_a, side_b,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinside.operators import views as vw
+from twinside.operators import models as md, views as vw
 from twinside.operators.aggregates import latest_standings, standings
 from twinside.operators.sides import official_rows, side_rows
 from twinside.plans.aggregates import COLS, PARTS
 from twinside.plans.base import avgs, query
 from twinside.plans.gates import SCHEDULE, appointments, schedule
+from twinside.plans.models import FORECASTS, MARKETS, forecasts
 from twinside.sources.tables import METRICS, contests, fact
 
 VM = ("qty", "lines", "bulk")
@@ -92,12 +93,17 @@ def newest_round(spark, root):
     return vw.current_round(schedule(spark, root).filter(F.col("season") == newest), done)
 
 
-@query("A_32_forecast_overview", "SELECT season, side, round(max(qty_for), 6) AS best, min(event_id) FILTER (qty_for IS NOT NULL) AS first_event FROM sides GROUP BY season, side")
+@query(
+    "A_32_forecast_overview",
+    FORECASTS + """SELECT event_id, side, market, round(prediction, 6) AS prediction FROM forecasts WHERE prediction IS NOT NULL
+    UNION ALL SELECT event_id, 'TOTAL', market || '_total', round(sum(prediction), 6) FROM forecasts WHERE prediction IS NOT NULL GROUP BY event_id, market HAVING count(*) = 2""",
+)
 def compact(spark, root):
-    rows = side_rows(contests(spark, root), METRICS)
-    return rows.groupBy("season", "side").agg(
-        F.max("qty_for").alias("best"), F.min_by("event_id", F.when(F.col("qty_for").isNotNull(), F.col("event_id"))).alias("first_event")
-    )
+    rows = forecasts(spark, root).filter("prediction IS NOT NULL")
+    totals = md.total_forecasts(rows, ["event_id"]).filter("prediction IS NOT NULL").withColumn("side", F.lit("TOTAL"))
+    keep = ["event_id", "side", "market", "prediction"]
+    priced = md.over_lines(rows, MARKETS).select(*keep, "line").unionByName(totals.select(*keep, F.lit(0.5).alias("line")))
+    return md.forecast_overview(priced, ["event_id"], ["line"])
 
 
 @query("A_33_official_choices", "SELECT DISTINCT official, 1::BIGINT AS place FROM contests WHERE official IS NOT NULL UNION ALL SELECT 'A Newcomer', 0::BIGINT")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from twinside.operators.quality import assert_empty, schedule_violations
 from twinside.sources.feeds import keep_last
 
 
@@ -16,6 +17,13 @@ def export_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parque
         df.write.mode("overwrite").option("header", True).format(fmt).save(f"{path}/{name}")
 
 
+def read_schedule(spark: SparkSession, path: str, schema: T.StructType | str, rounds: int = 38, per_round: int = 10, sides: int = 20) -> DataFrame:
+    """A stored schedule, validated anew on every read: any season that breaks a rule raises."""
+    rows = spark.read.schema(schema).parquet(path)
+    assert_empty(schedule_violations(rows, rounds, per_round, sides).filter(F.size("violations") > 0), "schedule")
+    return rows
+
+
 def replace_seasons(df: DataFrame, path: str) -> None:
     """Replace only the seasons present in ``df``; repeating the call changes nothing."""
     df.write.mode("overwrite").partitionBy("season").option("partitionOverwriteMode", "dynamic").parquet(path)
