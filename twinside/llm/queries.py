@@ -79,7 +79,32 @@ def op7(spark, root):
     return pii.find_pii(table(spark, root, "documents"))
 
 
-@query("op8_quality_rules")
+QUALITY_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM (
+  SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM words))),
+repeated AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM windows, range(5) t(k) WHERE n > 1 GROUP BY rid),
+lines AS (SELECT rid, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (
+  SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs)),
+full_lines AS (SELECT *, len(w) AS n, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars,
+  row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 AS again FROM lines WHERE len(w) > 0),
+judged AS (SELECT *, again OR len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.4::DOUBLE * n
+  OR (n >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '[!?]{2,}$'))) > 0.6::DOUBLE * n)
+  OR len(list_filter(w, lambda x: regexp_full_match(x, '[|>»•·]+'))) >= 3
+  OR (n >= 4 AND len(list_filter(range(1, n), lambda i: w[i] = w[i + 1])) > 0.4::DOUBLE * n)
+  OR regexp_matches(lower(line), 'all rights reserved|cookie policy|enable javascript|lorem ipsum|privacy policy|terms of use') AS fails FROM full_lines),
+by_doc AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars, count(*) FILTER (again) AS n_dup_lines,
+  CAST(coalesce(sum(chars) FILTER (fails), 0) AS BIGINT) AS lost_chars FROM judged GROUP BY rid),
+facts AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars
+  FROM docs LEFT JOIN by_doc USING (rid) LEFT JOIN repeated USING (rid))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_chars <= 50 * word_chars AS kept FROM facts
+"""
+
+
+@query("op8_quality_rules", QUALITY_SQL)
 def op8(spark, root):
     return quality.quality_verdicts(table(spark, root, "documents"))
 
