@@ -14,13 +14,14 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from twinside.llm.common import blank_words, map_partition, shipped
+from twinside.llm.common import BEFORE_BLANK, even_lines, map_partition, shipped
 from twinside.session import settle, work_path
 
 END_ID = 0
@@ -29,10 +30,35 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 16_384, 65_536
 #: A block is closed after so many payload bytes.
 BLOCK_BYTES = 1_000_000
 #: Words whose ids a Python worker keeps (twice as many at most); only speed depends on it.
-HELD_WORDS = 250_000
+HELD_WORDS = 400_000
 BLOCKS = "part bigint, block bigint, first_doc bigint, last_doc bigint, dict_sha256 string, id_bytes bigint, start_in_part bigint, n_tokens bigint, doc_ids array<bigint>, offsets array<bigint>, counts array<bigint>, payload binary"
 
 
+MARKS = ".,;:!?"
+#: Byte-level vocabularies show bytes that are no visible characters by those from U+0100 on; a blank is one of them.
+HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+SHOWN = {b: 256 + k for k, b in enumerate(HIDDEN)}
+BLANK = chr(SHOWN[32])
+
+
+class Kept:
+    """A map of two generations: when the new one is full it becomes the old one, and what is asked for moves over."""
+
+    def __init__(self, held: int):
+        self.held, self.new, self.old = held, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.held:
+            self.old, self.new = self.new, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that neither generation has; the others are in ``new`` afterwards."""
+        lack = keys.difference(self.new)
+        again = {k for k in lack if k in self.old}
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return lack - again
+
+
 class WordIds:
     """Serialised ids of texts by the tokenizers library, which sees each word once while it is kept."""
 
@@ -44,49 +70,62 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.id_bytes}"
-        self.held, self.new, self.old = held, {}, {}
+        self.heads, self.words = Kept(held // 8), Kept(held)
         self.end = np.array([END_ID], self.kind).tobytes()
+        self.line_break, *self.marks = self.encoded(["\n", *MARKS])
+        self.marks = dict(zip(MARKS, self.marks))
+        self.model = self.tokenizer.model
+        self.direct = self.merges_alone()
 
-    @staticmethod
-    def stems(word: str) -> list[str]:
-        """Pieces that the vocabulary's pattern never joins: lines, line breaks, and a mark after a letter."""
-        out = []
-        for k, line in enumerate(word.split("\n")):
-            if k:
-                out.append("\n")
-            if len(line) > 1 and line[-1] in ".,;:!?" and line[-2].isalpha():
-                out += [line[:-1], line[-1]]
-            elif line:
-                out.append(line)
-        return out
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded_letters(self, words: list[str], before: str = BLANK) -> list[bytes]:
+        """Words of letters only, each with a blank before it or none: one match of the pattern, so the merges alone are asked for."""
+        merge, kind = self.model.tokenize, "H" if self.id_bytes == 2 else "I"
+        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(SHOWN) for w in words)
+        return [array(kind, [t.id for t in merge(before + w)]).tobytes() for w in shown]
+
+    def merges_alone(self) -> bool:
+        """Whether the vocabulary treats a blank and letters as the byte-level ones do."""
+        probe = ["the", "na\u00efve", "\u00df", "\u043c\u0438\u0440", "\u6f22"]
+        return self.encoded_letters(probe) == self.encoded([" " + w for w in probe]) and self.encoded_letters(probe, "") == self.encoded(probe)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.new) > self.held:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        cut = {}
-        for w in words - new.keys():
-            if w in old:
-                new[w] = old[w]
-            else:
-                cut[w] = self.stems(w) if "\n\n" not in w and w.strip("\n") == w else [w]
-        ask = []
-        for s in {s for pieces in cut.values() for s in pieces} - new.keys():
-            if s in old:
-                new[s] = old[s]
+        """Have the ids of words that follow a blank; a mark after a letter is a token of its own pattern match."""
+        new, cut, stems = self.words.new, [], set()
+        for w in words:
+            if w[-1] in MARKS and w[-2:-1].isalpha():
+                cut.append(w)
+                stems.add(w[:-1])
             else:
-                ask.append(s)
-        for s, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            new[s] = np.array(e.ids, self.kind).tobytes()
-        for w, pieces in cut.items():
-            new[w] = b"".join([new[s] for s in pieces])
+                stems.add(w)
+        lack = self.words.missing(stems)
+        letters = [w for w in lack if w.isalpha()] if self.direct else []
+        new.update(zip(letters, self.encoded_letters(letters)))
+        rest = list(lack.difference(letters))
+        new.update(zip(rest, self.encoded([" " + w for w in rest])))
+        for w in cut:
+            new[w] = new[w[:-1]] + self.marks[w[-1]]
 
     def serialised(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text with the end id."""
-        split = [blank_words(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        new = self.new
-        return [b"".join(map(new.__getitem__, words)) + self.end for words in split]
+        self.heads.turn()
+        self.words.turn()
+        split = [even_lines(t) for t in texts]
+        even = [ws for lines in split if lines for ws in lines]
+        heads = list(self.heads.missing({ws[0] for ws in even}))
+        self.heads.new.update(zip(heads, self.encoded(heads)))
+        if lack := self.words.missing(set().union(*even)):
+            self.learn(lack)
+        head, word = self.heads.new.__getitem__, self.words.new.__getitem__
+        out = []
+        for text, lines in zip(texts, split):
+            if lines:
+                out.append(self.line_break.join([head(ws[0]) + b"".join(map(word, ws[1:])) for ws in lines]) + self.end)
+            else:
+                out.append(b"".join(self.encoded(BEFORE_BLANK.split(text))) + self.end if text else self.end)
+        return out
 
 
 _WORKERS: dict[str, WordIds] = {}
@@ -111,9 +150,10 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 def fit_dictionary(docs: DataFrame, tokenizer_path: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> bytes:
     """The dictionary of a table; the driver sees only the bounded sample."""
-    short = docs.filter(F.length("text").between(1, sample_chars))
-    rows = short.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs).collect()
-    return train_dictionary(WordIds(tokenizer_path, held=10**9).serialised([r["text"] for r in rows]))
+    short = docs.filter(F.length("text").between(1, sample_chars)).withColumn("h", F.xxhash64("doc_id", "text"))
+    last = short.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = short.filter(F.col("h") <= last).limit(sample_docs).collect() if last is not None else []
+    return train_dictionary(WordIds(tokenizer_path).serialised(sorted(r["text"] for r in rows)))
 
 
 def zstd_dictionary(raw: bytes):
