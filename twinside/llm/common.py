@@ -91,17 +91,20 @@ def shipped(spark: SparkSession, path: str) -> str:
     return path.rpartition("/")[2]
 
 
-#: White space that is not a single blank between words.
-UNEVEN = re.compile(r"\s\s|[^\S ](?<!\n)|\A\s|\s\Z")
+#: White space other than blanks and line breaks.
+OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 
 
-def blank_words(text: str) -> list[str]:
-    """The text cut before every single blank between words; joined, the pieces give the text.
+def even_lines(text: str) -> list[list[str]] | None:
+    """The words of each line, if single blanks and line breaks are the only white space of the text; else None.
 
-    No pattern of the byte-level vocabularies joins what stands before such a
-    blank with what follows, so the pieces can be encoded apart.
+    No pattern of the byte-level vocabularies joins what stands before a single
+    blank or line break with what follows, and a blank goes with the word after
+    it, so the words can be encoded apart: the first of a line as it is, the
+    others with a blank, and each line break alone.
     """
-    if UNEVEN.search(text) or "\0" in text:
-        return BEFORE_BLANK.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+    if any(c in text for c in OTHER_SPACE):
+        return None
+    lines = [line.split(" ") for line in text.split("\n")]
+    return None if any("" in words for words in lines) else lines
