@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from twinside.functions.calendar import daypart, iso_date, season_start, season_start_or_null, weekday
 from twinside.functions.numbers import sample_class, valid_count
 from twinside.functions.text import is_blank
+from twinside.operators.joins import without_repeated
 from twinside.operators.quality import pair_verdicts
 from twinside.operators.scan import asof
 from twinside.session import settle
@@ -24,12 +25,22 @@ LEAST = 5  # rows a category needs in a season to count as evidence
 EVIDENCE_ORDER = ("strong_candidate", "supported", "mixed", "weak")
 
 
+def accepted(contests: DataFrame, sides: DataFrame) -> DataFrame:
+    """Contests of a unique id whose two side rows mirror each other and name the contest's own sides and season."""
+    home = sides.filter("venue = 'H'").select("event_id", F.col("side").alias("_a"), F.col("opponent").alias("_b"), F.col("season").alias("_s"))
+    good = pair_verdicts(sides).filter("reason IS NULL").select("event_id").join(home, "event_id")
+    unique = without_repeated(contests, ["event_id"])
+    same = (F.col("side_a") == F.col("_a")) & (F.col("side_b") == F.col("_b")) & (F.col("season") == F.col("_s"))
+    return unique.join(good, "event_id").filter(same).select(*contests.columns)
+
+
 def prepare(contests: DataFrame, sides: DataFrame, metrics: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(side frame, official frame) with weekday, daypart and clean counts ``x_<metric>``.
 
-    An official's value is the total of both sides and needs both.
+    Contests that are not ``accepted`` enter neither. An official's value is
+    the total of both sides and needs both.
     """
-    context = contests.select(
+    context = accepted(contests, sides).select(
         "event_id", "season", "event_date", weekday(F.col("event_date")).alias("weekday"), daypart(F.col("kickoff_time")).alias("daypart"), "official"
     )
     counted = [valid_count(F.col(f"{m}_for")).alias(f"x_{m}") for m in metrics]

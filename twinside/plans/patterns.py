@@ -8,7 +8,7 @@ from twinside.functions.calendar import daypart, weekday
 from twinside.operators import patterns as pt
 from twinside.operators.sides import side_rows
 from twinside.plans.base import kept, query, shared
-from twinside.plans.gates import FIXTURE_DAY
+from twinside.plans.gates import BROKEN, FIXTURE_DAY, broken_sides
 from twinside.sources.tables import METRICS, contests
 
 PM = ("qty", "lines", "bulk")
@@ -81,6 +81,15 @@ def prepared(spark, root):
     return pt.prepare(c, side_rows(c, METRICS), PM)[0].drop("event_date")
 
 
+@query(
+    "Q_01_prepared_gate",
+    BROKEN + f"""SELECT b.event_id, b.side AS entity, b.venue, b.season, dayname(b.event_date) AS weekday, {PART} AS daypart, CAST(b.qty_for AS DOUBLE) AS x_qty
+    FROM broken b JOIN contests c USING (event_id) WHERE event_id % 17 <> 0 AND event_id % 19 <> 0""",
+)
+def prepared_gate(spark, root):
+    return pt.prepare(contests(spark, root), broken_sides(spark, root), ["qty"])[0].drop("event_date")
+
+
 @query(
     "Q_01_prepared_officials",
     f"SELECT event_id, official AS entity, season, dayname(event_date) AS weekday, {PART} AS daypart, {', '.join(f'CAST(a_{m} + b_{m} AS DOUBLE) AS x_{m}' for m in PM)} FROM contests WHERE official IS NOT NULL",
