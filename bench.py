@@ -7,7 +7,7 @@ import os
 import time
 
 from twinside.plans import registry
-from twinside.session import local_session
+from twinside.session import drop_work, local_session
 
 HEADLINE = (
     "A_02_season_side_profile",
@@ -29,6 +29,11 @@ HEADLINE = (
     "L_03_settle_selections",
     "Q_02_season_patterns",
     "Q_08_matched_patterns",
+    "Q_10_ranked_patterns",
+    "L_02_archive_points",
+    "M_08_total_over",
+    "W_01_rows_before",
+    "W_18_run_lengths",
 )
 
 
@@ -45,6 +50,7 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
     sf = os.path.basename(root.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
+    drop_work(spark)
     spark.stop()
 
 

@@ -134,6 +134,12 @@ def test_missing_ledger_is_empty_with_its_schema(spark):
     assert store.read_or_empty(spark, work_path(spark, "none"), schema).schema == schema
 
 
+def test_work_of_a_run_lies_in_one_folder(spark):
+    from twinside.session import run_dir
+
+    assert work_path(spark, "x").startswith(f"{run_dir(spark)}/x-") and run_dir(spark).startswith(shared_dir(spark))
+
+
 def test_shared_dir_prefers_the_named_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
