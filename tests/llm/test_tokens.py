@@ -126,8 +126,7 @@ def test_every_turn_survives_its_grammar():
     assert chat.parse("plain text") is None and chat.parse("") == []
 
 
-def test_conversations_read_back(spark, monkeypatch):
-    monkeypatch.setattr(chat, "CHUNK_CHARS", 200)
+def test_conversations_read_back(spark):
     rows = [(-1, k, r, PLANTED_TEXT) for k, r in enumerate(("user", "assistant"))]
     rows += [(1, 0, "system", None), (1, 1, "assistant", ""), (1, 2, None, "who"), (1, 2, "assistant", "tie b"), (1, 2, "assistant", "tie a"), (1, 2, "assistant", "tie a")]
     rows += [(2, k, ("user", "assistant")[k % 2], prose(20, k) + rng) for k, rng in enumerate(HARD * 30)]
@@ -139,7 +138,7 @@ def test_conversations_read_back(spark, monkeypatch):
         loss = "".join(t for r, t in turns if r == "assistant")
         want[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), sum(len(chat.render(*t)[0]) for t in turns))
     df = wide(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4))
-    formatted = chat.write_formatted(df)
+    formatted = chat.write_formatted(df, chunk_chars=200)
     assert formatted.filter("conv_id = 2").count() > 1
     got = {r[0]: tuple(r)[1:] for r in chat.read_digests(formatted).collect()}
     assert got == want

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -72,7 +73,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     raise ValueError("a turn does not survive its own grammar")
 
 
-def chunks(rows: Iterator[tuple], chunk_chars: int = CHUNK_CHARS) -> Iterator[tuple]:
+def chunks(rows: Iterator[tuple], chunk_chars: int) -> Iterator[tuple]:
     """Formatted chunks of a sorted partition: (conv_id, part, whole, text, loss spans).
 
     ``part`` orders the chunks of a conversation. ``whole`` says that the chunk
@@ -105,7 +106,7 @@ def chunks(rows: Iterator[tuple], chunk_chars: int = CHUNK_CHARS) -> Iterator[tu
         yield chunk(False)
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Formatted chunks of ``(conv_id, turn, role, text)`` rows: conv_id, part, whole, text, loss_spans.
 
     Turns come in the order of turn, role and text, nulls first; null roles and
@@ -116,7 +117,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_partition(rows, chunks, "conv_id bigint, part bigint, whole boolean, text string, loss_spans array<bigint>")
+    return map_partition(rows, partial(chunks, chunk_chars=chunk_chars), "conv_id bigint, part bigint, whole boolean, text string, loss_spans array<bigint>")
 
 
 def digests(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -161,6 +162,6 @@ def read_digests(formatted: DataFrame) -> DataFrame:
     return alone.unionByName(map_partition(split, digests, DIGEST))
 
 
-def write_formatted(turns: DataFrame, label: str = "chat") -> DataFrame:
+def write_formatted(turns: DataFrame, label: str = "chat", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """The formatted chunks, written to the shared folder and read back."""
-    return settle(format_conversations(turns), label)
+    return settle(format_conversations(turns, chunk_chars), label)

@@ -178,7 +178,8 @@ def blocks(rows: Iterator[tuple], encoder: WordIds, raw: bytes, part: int, level
     ids, offsets, counts, frames = [], [0], [], []
 
     def block():
-        return part, number, ids[0], ids[-1], digest, encoder.id_bytes, start, sum(counts), ids, offsets, counts, b"".join(frames)
+        named = [k for k in ids if k is not None]
+        return part, number, *(named[:1] or [None]), *(named[-1:] or [None]), digest, encoder.id_bytes, start, sum(counts), ids, offsets, counts, b"".join(frames)
 
     for keys, texts in pieces(rows):
         for key, body in zip(keys, encoder.serialised(texts)):
@@ -284,7 +285,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """Ids of a few documents: only their blocks are read, and only their frames opened."""
     wanted = sorted(set(doc_ids))
-    near = F.exists(F.array(*[F.lit(d).cast("bigint") for d in wanted]), lambda d: F.col("first_doc") <= d) if wanted else F.lit(False)
+    near = F.exists(F.array(*[F.lit(d).cast("bigint") for d in wanted]), lambda d: (F.col("first_doc") <= d) & (F.col("last_doc") >= d)) if wanted else F.lit(False)
     rows = block_table(spark, path).filter(F.col("last_doc") >= min(wanted, default=0)).filter(F.col("first_doc") <= max(wanted, default=0)).filter(near)
     shared, chosen = spark.sparkContext.broadcast(read_dictionary(spark, path)), set(wanted)
 
