@@ -196,6 +196,9 @@ def near_pairs(classes: DataFrame, spec: Spec, plans: list[list[list[int]]]) ->
 
 #: Relative costs of a probe row and of a verified candidate pair.
 ROW_COST, PAIR_COST = 1.0, 0.05
+#: Costs are those of at least so many fingerprints: a small corpus gets the partitions of a large one, so the probes
+#: of a document do not grow with the corpus.
+PLAN_FOR = 100_000_000
 
 
 def thresholds(parts: list[list[int]], radius: int, n: int, pairs: int, near: list[list[int]]) -> tuple[float, list[int]]:
@@ -230,7 +233,7 @@ def plan_partitions(classes: DataFrame, spec: Spec) -> list[tuple[list[int], int
     pairs, near = near_pairs(classes, spec, plans)
     costed = []
     for g, parts in enumerate(plans):
-        cost, taken = thresholds(parts, spec.radius, n, pairs, [near.get((g, i), [0, 0]) for i in range(len(parts))])
+        cost, taken = thresholds(parts, spec.radius, max(n, PLAN_FOR), pairs, [near.get((g, i), [0, 0]) for i in range(len(parts))])
         costed.append((cost, g, taken))
     cost, g, taken = min(costed)
     if math.isinf(cost):
