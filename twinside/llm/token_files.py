@@ -114,8 +114,11 @@ class WordIds:
         self.words.turn()
         split = [even_lines(t) for t in texts]
         even = [ws for lines in split if lines for ws in lines]
-        heads = list(self.heads.missing({ws[0] for ws in even}))
-        self.heads.new.update(zip(heads, self.encoded(heads)))
+        if heads := self.heads.missing({ws[0] for ws in even}):
+            letters = [w for w in heads if w.isalpha()] if self.direct else []
+            rest = list(heads.difference(letters))
+            self.heads.new.update(zip(letters, self.encoded_letters(letters, "")))
+            self.heads.new.update(zip(rest, self.encoded(rest)))
         if lack := self.words.missing(set().union(*even)):
             self.learn(lack)
         head, word = self.heads.new.__getitem__, self.words.new.__getitem__
