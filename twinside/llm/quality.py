@@ -17,7 +17,7 @@ from twinside.llm.common import map_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Phrases of page furniture; a line holding one is boilerplate.
+#: Phrases of page furniture; a line that is theirs to a large part is boilerplate.
 BOILERPLATE = ("all rights reserved", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "terms of use")
 WINDOW = 5
 
@@ -30,7 +30,9 @@ class Rules:
     max_repeat_percent: int = 20  # a text with more of its words in repeated windows fails
     max_symbols_per_word: float = 0.4  # a line with more is decoration
     max_shouted: float = 0.6  # a line of 3 words or more with more of them ending in two marks such as !! is shouting
-    min_separators: int = 3  # a line with so many | or > or bullets between words is navigation
+    min_separators: int = 3  # a line with so many | or > or bullets between words is navigation, if its share of them is large enough
+    min_separator_share: float = 0.2  # of its words, separators included
+    min_boilerplate_share: float = 0.2  # a line with so many of its words in boilerplate phrases is boilerplate
     max_stutter: float = 0.4  # a line of 4 words or more with more of them equal to the word before stutters
     max_lost_percent: int = 50  # a text losing more of its word characters is rejected
 
@@ -45,12 +47,13 @@ def line_fails(line: str, words: list[str], rules: Rules) -> str | None:
         return "symbols"
     if len(words) >= 3 and sum(1 for w in words if SHOUT.search(w)) > rules.max_shouted * len(words):
         return "shouting"
-    if sum(1 for w in words if SEPARATOR.match(w)) >= rules.min_separators:
+    if sum(1 for w in words if SEPARATOR.match(w)) >= max(rules.min_separators, rules.min_separator_share * len(words)):
         return "navigation"
     if len(words) >= 4 and sum(map(str.__eq__, words, words[1:])) > rules.max_stutter * len(words):
         return "stutter"
     low = line.lower()
-    if any(p in low for p in BOILERPLATE):
+    phrases = sum(low.count(p) * len(p.split()) for p in BOILERPLATE)
+    if phrases and phrases >= rules.min_boilerplate_share * len(words):
         return "boilerplate"
     return None
 
