@@ -1,28 +1,23 @@
 """Operator 4: benchmark decontamination, in DataFrame and SQL functions only.
 
-Item-sized windows of the documents get SimHash fingerprints; blocks of the
-fingerprints, probed within the pigeonhole's share of the radius, find all
-items within the radius; a weighted share of common five-word shingles then
-decides exactly.
-
-Windows are laid where a shingle of an item occurs: a window that is to hold
-80 % of an item's shingle weight must hold one of any shingles that weigh more
-than 20 % of it, so the rarest such shingles of each item are looked up and
-other windows cannot match. Equal windows of all documents are judged once.
+Item-sized windows of the documents are laid where a shingle of an item occurs,
+and a weighted share of common five-word shingles decides exactly: a window that
+is to hold 80 % of an item's shingle weight must hold one of any shingles that
+weigh more than 20 % of it, so the rarest such shingles of each item are looked
+up and other windows cannot match. A window is compared with every item whose
+shingle laid it. Equal windows of all documents are judged once.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinside.session import settle
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 64-bit fingerprints of words in five blocks; within 16 bits, some block is within 3: items are indexed within 2, windows probe within 1.
-RADIUS, BLOCKS, ITEM_FLIPS, WINDOW_FLIPS = 16, ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 2, 1
 #: The looked-up shingles of a pass are a constant of its plan; a larger benchmark takes several passes.
 PASS_SHINGLES = 50_000
 
@@ -53,28 +48,6 @@ def with_shingles(df: DataFrame) -> DataFrame:
     return df.withColumn("hashes", held(F.expr(f"IF(size(h1) < {SHINGLE}, cast(array() AS array<bigint>), transform(sequence(0, size(h1) - {SHINGLE}), i -> xxhash64({at})))")))
 
 
-def fingerprint(df: DataFrame, key: str, hashes: str) -> DataFrame:
-    """(key, fp): a bit is set if more than half of the hashes have it."""
-    counts = [F.sum(F.getbit("h", F.lit(b)) * 2 - 1).alias(f"b{b}") for b in range(64)]
-    summed = df.select(key, F.explode(hashes).alias("h")).groupBy(key).agg(*counts)
-    fp = F.lit(0).cast("bigint")
-    for b in range(64):
-        bit = (1 << b) - (1 << 64 if b == 63 else 0)
-        fp = fp.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return summed.select(key, fp.alias("fp"))
-
-
-def block_keys(df: DataFrame, flips: int) -> DataFrame:
-    """Adds block and value: each block of fp with up to ``flips`` bits turned."""
-    rows = []
-    for k, (low, width) in enumerate(BLOCKS):
-        turns = [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(width), n)]
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-        each = F.transform(constant(turns, "bigint"), lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
-        rows.append(each)
-    return df.withColumn("probe", F.explode(F.concat(*rows))).select("*", "probe.block", "probe.value").drop("probe")
-
-
 def item_table(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, n, hashes, h1) of the items with five words or more."""
     named = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), words(F.col(text)).alias("words")).filter("item_id IS NOT NULL")
@@ -99,7 +72,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def aligned_windows(docs: DataFrame, places: DataFrame, hashes: list[int], longest: int) -> DataFrame:
-    """(doc_id, n, h1): the hashes of the words of each window that puts a looked-up shingle where its item has it.
+    """(doc_id, n, h, h1): the hashes of the words of each window of n words that puts a looked-up shingle h where its item has it.
 
     ``places`` has a row (h, offset, n) for each place. The look-up is a
     constant table of buckets; texts never leave their row, and of a hit only
@@ -120,7 +93,7 @@ def aligned_windows(docs: DataFrame, places: DataFrame, hashes: list[int], longe
     found = rows.select("doc_id", F.explode(F.expr(around)).alias("x")).select("doc_id", "x.*").join(places, "h")
     start = F.greatest(F.lit(0), F.col("pos") - F.col("offset"))
     length = F.col("pos") - F.col("offset") + F.col("n") - start
-    return found.select("doc_id", "n", F.slice("near", start - F.col("first") + 1, length).alias("h1"))
+    return found.select("doc_id", "n", "h", F.slice("near", start - F.col("first") + 1, length).alias("h1"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -144,21 +117,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     for at in range(0, len(hashes), PASS_SHINGLES):
         one = aligned_windows(rows, lead, hashes[at : at + PASS_SHINGLES], longest)
         found = one if found is None else found.unionByName(one)
-    found = found.withColumn("window", F.xxhash64("h1")).groupBy("doc_id", "window").agg(F.first("h1").alias("h1"))
+    found = found.withColumn("window", F.xxhash64("h1")).groupBy("doc_id", "window").agg(F.first("h1").alias("h1"), F.collect_set(F.struct("n", "h")).alias("laid"))
     found = settle(found, "windows")
     windows = settle(found.groupBy("window").agg(F.first("h1").alias("h1")), "distinct_windows")
-    matches = settle(matching(windows, items, shingles), "matches")
+    laid = found.select("window", F.explode("laid").alias("x")).select("window", "x.*").distinct()
+    matches = settle(matching(windows, laid, shingles), "matches")
     pairs = found.select("doc_id", "window").join(matches, "window")
     return pairs.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
-def matching(windows: DataFrame, items: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(window, item_id, similarity) of the windows that hold an item."""
-    item_prints = fingerprint(items.withColumn("item", F.struct("item_id", "n")), "item", "h1").select("item.item_id", "item.n", F.col("fp"))
-    index = block_keys(item_prints, ITEM_FLIPS).withColumnRenamed("fp", "item_fp")
-    probes = block_keys(fingerprint(windows, "window", "h1"), WINDOW_FLIPS)
-    near = probes.join(index, ["block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("window", "item_id", "n").distinct()
+def matching(windows: DataFrame, laid: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(window, item_id, similarity) of the windows that hold an item; ``laid`` names the sizes and shingles that laid them."""
+    near = laid.join(shingles.filter("lead").select("item_id", "n", "h"), ["n", "h"]).select("window", "item_id", "n").distinct()
     at = ", ".join(f"h1[i + {k}]" for k in range(SHINGLE))
     own = windows.select("window", F.explode(F.array_distinct(F.expr(f"IF(size(h1) < {SHINGLE}, cast(array() AS array<bigint>), transform(sequence(0, size(h1) - {SHINGLE}), i -> xxhash64({at})))"))).alias("h"))
     share = near.join(own, "window").join(shingles.select("item_id", "n", "h", "weight", "total"), ["item_id", "n", "h"])
