@@ -167,6 +167,8 @@ def content_lines(lengths: list[int], tags: list[int]) -> list[bool]:
 
 #: A section is chosen if it holds this share of the characters in content lines.
 SHARE = 0.6
+#: Lines whose text-to-tag ratio is this share of the mean of content lines belong to the article wherever they stand.
+PART = 0.5
 
 
 def main_text(html: str) -> str:
@@ -193,6 +195,7 @@ def main_text(html: str) -> str:
         held[nodes[k].parent] += held[k]
     chosen = 0
     if total:
+        least = PART * sum(len(t) / n for (_, t, n), good in zip(kept, content) if good) / sum(content)
         enough = [k for k in range(1, len(nodes)) if held[k] >= SHARE * total and not nodes[k].skipped]
         stated = [k for k in enough if nodes[k].article]
         own = {node for node, _, _ in kept}
@@ -201,6 +204,14 @@ def main_text(html: str) -> str:
             chosen = stated[-1] if nodes[stated[-1]].tag in ARTICLES or not any(nodes[k].tag in ARTICLES for k in stated) else [k for k in stated if nodes[k].tag in ARTICLES][-1]
         elif sections:
             chosen = sections[-1]  # the innermost: children have higher numbers
+        text_like = [good or len(text) / tags >= least for (_, text, tags), good in zip(kept, content)]
+        parts = [0] * len(nodes)
+        for (node, _, _), good in zip(kept, text_like):
+            parts[node] += good
+        for k in range(len(nodes) - 1, 0, -1):
+            parts[nodes[k].parent] += parts[k]
+        while chosen and parts[chosen] < parts[0]:
+            chosen = nodes[chosen].parent  # text beside the section is a part of the article too
     inside = [False] * len(nodes)
     inside[chosen] = True
     for k in range(chosen + 1, len(nodes)):
