@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from twinside.llm import bpe, chat, decontaminate, html_text, pii, quality, secrets, simhash, token_files, urls
+from twinside.llm import bpe, chat, collocations, decontaminate, html_text, minhash, pii, quality, secrets, simhash, spelling, token_files, urls
 from twinside.llm.common import SCHEMAS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,69 @@ def op9(spark, root):
 def op10(spark, root):
     found = simhash.near_components(table(spark, root, "documents"))
     return found.select("doc_id", simhash.hex_digits("f0").alias("fingerprint"), "component_id")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPELLING_SQL = rf"""
+WITH RECURSIVE steps AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, xor(c >> 1, (c & 1) * 3988292384) FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS table_of FROM steps WHERE k = 8),
+runs AS (SELECT rid, doc_id, run, count(*) AS n FROM (
+  SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+octets AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+summed AS (SELECT doc_id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda a, b: xor(a >> 8, CAST(table_of[(xor(a, b) & 255) + 1] AS BIGINT)))) AS h FROM octets, crc),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, 200) t(i) WHERE i <= length(word)),
+pairs AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(other := other, other_n := other_n), struct_pack(less := -other_n, other := other)) AS best FROM pairs GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.other_n >= 10 * n THEN best.other END AS form, CASE WHEN best.other_n >= 10 * n THEN best.other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS ahead FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.ahead)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE ahead IS NULL) USING (word)
+"""
+
+
+@query("op11_spelling_groups", SPELLING_SQL)
+def op11(spark, root):
+    return spelling.spelling_groups(table(spark, root, "documents"))
+
+
+NEAR_SQL = rf"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT rid, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+shared AS (SELECT a.rid AS u, b.rid AS v, count(*) AS c FROM shingles a JOIN shingles b USING (s) GROUP BY ALL),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.rid = u JOIN sizes y ON y.rid = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(u, v) AS (SELECT rid, rid FROM words UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+least AS (SELECT r.u AS rid, min(w.doc_id) AS component_id FROM reach r JOIN words w ON w.rid = r.v GROUP BY r.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM words LEFT JOIN sizes USING (rid) JOIN least USING (rid)
+"""
+
+
+@query("op12_minhash_components", NEAR_SQL)
+def op12(spark, root):
+    return minhash.near_components(table(spark, root, "documents"), 4).withColumn("kept", F.expr("doc_id <=> component_id AND doc_id IS NOT NULL"))
+
+
+PHRASE_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) t(k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+scored AS (SELECT c.lang, c.phrase, c.a, c.c, x.a AS l, y.a AS r, 2000000::HUGEINT * c.a // (x.a + y.a) AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:c.c], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[c.c + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+  SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, a, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k >= 3)) GROUP BY ALL),
+ranked AS (SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest w LEFT JOIN inside USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def op13(spark, root):
+    return collocations.collocations(table(spark, root, "documents"))
