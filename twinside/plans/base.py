@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from twinside.session import settle
+from twinside.session import on_drop, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,12 +85,21 @@ class Registry:
         return register
 
 
-_KEPT: dict[tuple[str, str, str], Any] = {}
+_KEPT: dict[tuple, Any] = {}
+on_drop(_KEPT.clear)
+
+
+def version(spark: SparkSession, root: str) -> tuple:
+    """Changes when files below a root do: their number, their size, and when the tables were last changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = files.getContentSummary(path)
+    return whole.getFileCount(), whole.getLength(), *sorted(f.getModificationTime() for f in files.listStatus(path))
 
 
 def kept(spark: SparkSession, root: str, label: str, build: Callable[[], Any]) -> Any:
-    """What several queries of an application use: built once for each root."""
-    key = (spark.sparkContext.applicationId, root, label)
+    """What several queries of an application use: built once for each state of a root's files, and again when the work was dropped."""
+    key = (spark.sparkContext.applicationId, root, version(spark, root), label)
     if key not in _KEPT:
         _KEPT[key] = build()
     return _KEPT[key]
