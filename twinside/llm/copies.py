@@ -1,178 +1,61 @@
-"""Near copies by the similarity of their five-word shingles.
+"""Near copies by the similarity of their five-word shingles: the pipeline's near-duplicate stage.
 
-MinHash values of the shingles of a document, in bands, propose pairs; the
-Jaccard similarity of the two whole sets of shingle hashes then decides. A pair
-of similarity s is proposed with probability 1 - (1 - s ** ROWS) ** BANDS, which
-is 0.999993 at 0.8, whatever the kind of edit; no unrelated pair is linked.
+SimHash fingerprints of the sets of shingles propose first, by the partitions of
+operator 10. A similarity of 0.8 moves about 10 of 64 bits, so pairs near it lie
+beyond any radius whose partitions still tell texts apart; what SimHash leaves
+is proposed by the tensored bands of operator 12. Whole sets decide about every
+link, whoever proposed it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from twinside.llm.common import arrow_schema, map_rows
-from twinside.llm.components import components
-from twinside.llm.simhash import words_of
-from twinside.session import settle
+from twinside.llm import minhash, simhash
+from twinside.llm.bloom import mixed  # noqa: F401 (the estimates are tested with it)
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of a document, and MinHash values that a band joins.
-BANDS, ROWS = 30, 5
-SEED = 42
-#: Shingles whose MinHash values are computed at a time.
-PIECE = 1_024
-ODD = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted different hashes of the shingles; a text of fewer words than a shingle has one, a text without words none."""
-    import xxhash
-
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    size = min(SHINGLE, len(own))
-    n = len(own) - size + 1
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = mixed(h * MIX + own[k : k + n])
-    return np.unique(h)
+SHINGLE = 5
+MIX = minhash.MIX
+#: Bands of both collections together.
+BANDS = 2 * minhash.BANDS
+#: Fingerprints of the sets link at up to so many bits; beyond, buckets of ever more unrelated texts would have to be compared.
+SPEC = simhash.Spec(shingle=SHINGLE, distinct=True, radius=8)
+#: Larger buckets are cut into slices that meet pairwise.
+SMALL = minhash.CROWD
 
 
 def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     """Band values, each different from those of other bands, and the last byte of every MinHash value."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), PIECE):
-        least = np.minimum(least, (hashes[at : at + PIECE, None] * ODD[0] + ODD[1]).min(axis=0))
-    least = mixed(least)
-    value = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        value = mixed(value * MIX + least[k::ROWS])
-    return value.view(np.int64).tolist(), (least & np.uint64(255)).astype(np.uint8).tobytes()
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c0, c1, bands, bytes) of every row; equal sets of shingles have equal n, c0 and c1."""
-
-    def start():
-        import xxhash
-
-        def row(doc_id, text):
-            hashes = shingle_hashes(text)
-            whole = np.frombuffer(xxhash.xxh128_digest(hashes.tobytes(), SEED), "<i8").tolist()
-            return doc_id, len(hashes), *whole, *sketch(hashes)
-
-        return row
-
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), start, "doc_id bigint, n bigint, c0 bigint, c1 bigint, bands array<bigint>, bytes binary")
-
-
-def hash_sets(docs: DataFrame) -> DataFrame:
-    """(node, n, hashes) of every row."""
-
-    def start():
-        def row(doc_id, text):
-            hashes = shingle_hashes(text)
-            return doc_id, len(hashes), hashes.view(np.int64).tolist()
-
-        return row
-
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), start, "node bigint, n bigint, hashes array<bigint>")
-
-
-#: Buckets of up to so many members propose all their pairs.
-SMALL = 48
-#: Of larger ones, estimated similarities of pairs that are proposed, that speak for a link, and that are as good as a link;
-#: so many that speak for a link are one. From 150 MinHash values, 0.8 is estimated with a standard error of 0.033.
-NEAR, LIKELY, SURE, ENOUGH = 0.65, 0.8, 0.92, 16
-
-
-def proposed(nodes: np.ndarray, n: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a large bucket that may be near copies, without most of those that others already connect.
-
-    The search starts at the member closest to the most frequent bytes. A member
-    that is as good as linked is not compared again but looks for neighbours
-    among those that are left; every other near pair is proposed.
-    """
-    centre = np.array([np.bincount(marks[:, k], minlength=256).argmax() for k in range(marks.shape[1])], np.uint8)
-    rest = np.argsort(-(marks == centre).sum(axis=1), kind="stable")
-    likely, us, vs = np.zeros(len(nodes), np.int64), [], []
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            here = front.pop()
-            alike = (marks[rest] == marks[here]).mean(axis=1)
-            fits = np.minimum(n[rest], n[here]) >= SIMILARITY * np.maximum(n[rest], n[here]) - 1e-9
-            near = fits & (alike >= NEAR)
-            us.append(np.full(int(near.sum()), nodes[here]))
-            vs.append(nodes[rest[near]])
-            likely[rest[fits & (alike >= LIKELY)]] += 1
-            done = fits & (alike >= SURE) | (likely[rest] >= ENOUGH)
-            front.extend(rest[done].tolist())
-            rest = rest[~done]
-    return (np.concatenate(us), np.concatenate(vs)) if us else (nodes[:0], nodes[:0])
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of nodes that share a band and are of sizes that allow the similarity."""
-    members = classes.select(F.explode("bands").alias("value"), F.struct("node", "n").alias("m")).groupBy("value").agg(F.collect_list("m").alias("ms"))
-    buckets = settle(members.filter(F.size("ms") > 1), "buckets")
-    fits = f"least(x.n, y.n) >= {SIMILARITY}D * greatest(x.n, y.n) - 1e-9D AND x.node <> y.node"
-    each = f"flatten(transform(ms, (x, i) -> transform(filter(slice(ms, i + 2, size(ms)), y -> {fits}), y -> struct(greatest(x.node, y.node) AS u, least(x.node, y.node) AS v))))"
-    pairs = buckets.filter(F.size("ms") <= SMALL).select(F.explode(F.expr(each)).alias("p")).select("p.u", "p.v")
-    crowded = buckets.filter(F.size("ms") > SMALL)
-    if not crowded.isEmpty():
-        schema = arrow_schema("u bigint, v bigint")
+    first, second, marks = minhash.bands(hashes)
+    return first + second, marks
 
-        def run(table):
-            marks = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
-            u, v = proposed(table["node"].to_numpy(), table["n"].to_numpy(), marks)
-            ends = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-            ends = ends[ends[:, 0] != ends[:, 1]]
-            return pa.Table.from_arrays([pa.array(ends[:, k]) for k in (0, 1)], schema=schema)
 
-        rows = crowded.select("value", F.explode("ms").alias("m")).select("value", "m.node", "m.n")
-        rows = rows.join(classes.select("node", "n", "bytes"), ["node", "n"])
-        pairs = pairs.unionByName(rows.groupBy("value").applyInArrow(run, "u bigint, v bigint"))
-    return settle(pairs.distinct(), "candidates")
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if more than half of the shingles' hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), simhash.HASHES):
+        counts += simhash.bit_columns(hashes[at : at + simhash.HASHES, None]).sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of candidates whose sets of shingles agree to SIMILARITY."""
-    pairs = candidates(classes)
-    named = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = settle(hash_sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi")).distinct(), "sets")
-    end = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}"))
-    both = pairs.join(end("u"), "u").join(end("v"), "v").filter(f"least(nu, nv) >= {SIMILARITY}D * greatest(nu, nv) - 1e-9D")
-    common = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.size(F.array_intersect("hu", "hv")).alias("common"))
-    return common.filter(F.col("common") >= SIMILARITY * (F.col("n") - F.col("common")) - 1e-9).select("u", "v").distinct()
+def fingerprint_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) proposed by fingerprints within the radius and confirmed on whole sets."""
+    named = classes.filter("n > 0").select("node", "f0")
+    prints = named.groupBy("f0").agg(F.min("node").alias("first"))
+    same = named.join(prints, "f0").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    near = simhash.near_links(prints.select(F.col("first").alias("node"), "f0"), SPEC)
+    pairs = same.unionByName(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).filter("u <> v").distinct()
+    return minhash.linked(docs, classes, pairs, SHINGLE)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every different id: the smallest doc_id reachable over links, itself included.
 
     Equal sets of shingles are one node, named by its smallest id; texts without
-    words have the empty set. Rows of one repeated id count as one document,
-    rows without an id are left out. An empty table gives no rows.
+    words have the empty set. Texts of any length are read whole, one at a time.
+    Rows of one repeated id count as one document, rows without an id are left
+    out. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
-    prints = settle(sketches(docs.filter("doc_id IS NOT NULL")), "sketches")
-    key = ["n", "c0", "c1"]
-    classes = settle(prints.groupBy(*key).agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.min("bytes").alias("bytes")), "classes")
-    links = near_links(docs, classes.select("node", "n", "bands", "bytes"))
-    ids = prints.select("doc_id", *key).distinct()
-    own = settle(ids.join(classes.select("node", *key), key).select("doc_id", "node"), "own")
-    repeated = own.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id")
-    same_id = own.join(repeated, "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    named = components(links.unionByName(same_id))
-    found = own.join(named, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    found = minhash.near_components(docs, SHINGLE, empty_alike=True, fingerprint=set_fingerprint, links=fingerprint_links, crowd=SMALL)
+    return found.filter("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()

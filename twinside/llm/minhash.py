@@ -16,7 +16,7 @@ of near copies takes about one comparison for each member, not one for each pair
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from twinside.llm.bloom import mixed
 from twinside.llm.common import arrow_schema, map_rows
 from twinside.llm.components import components
 from twinside.llm.simhash import words_of
-from twinside.session import settle
+from twinside.session import scratch, settle
 
 #: Documents are linked if PARTS * shared >= LEAST * united shingles.
 LEAST, PARTS = 80, 100
@@ -84,8 +84,8 @@ def bands(hashes: np.ndarray) -> tuple[list[int], list[int], bytes]:
     return value[:BANDS], value[BANDS:], (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, c0, c1, a, b, marks) of every row (doc_id, text); equal sets of shingles have equal n, c0 and c1."""
+def sketches(docs: DataFrame, size: int, fingerprint: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(doc_id, n, c0, c1, a, b, marks) of every row (doc_id, text), and f0 by ``fingerprint``; equal sets of shingles have equal n, c0 and c1."""
 
     def start():
         import xxhash
@@ -94,11 +94,13 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
         def row(doc_id, text):
             hashes = shingle_hashes(text, size, known)
-            return doc_id, len(hashes), *np.frombuffer(xxhash.xxh128_digest(hashes.tobytes(), SEED), "<i8").tolist(), *bands(hashes)
+            own = () if fingerprint is None else (fingerprint(hashes),)
+            return doc_id, len(hashes), *np.frombuffer(xxhash.xxh128_digest(hashes.tobytes(), SEED), "<i8").tolist(), *bands(hashes), *own
 
         return row
 
-    return map_rows(docs, start, "doc_id bigint, n bigint, c0 bigint, c1 bigint, a array<bigint>, b array<bigint>, marks binary")
+    more = "" if fingerprint is None else ", f0 bigint"
+    return map_rows(docs, start, "doc_id bigint, n bigint, c0 bigint, c1 bigint, a array<bigint>, b array<bigint>, marks binary" + more)
 
 
 def hash_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -183,8 +185,8 @@ def apart(members: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame
     return now.join(split, "key").join(classes.select("node", "n", "marks"), "node")
 
 
-def pairs_apart(members: DataFrame, most: int) -> DataFrame:
-    """Distinct likely pairs (u, v) across components in each bucket; buckets above CROWD are cut into slices that meet pairwise."""
+def pairs_apart(members: DataFrame, most: int, crowd: int) -> DataFrame:
+    """Distinct likely pairs (u, v) across components in each bucket; buckets above ``crowd`` are cut into slices that meet pairwise."""
     ddl = "u bigint, v bigint"
     schema = arrow_schema(ddl)
 
@@ -216,28 +218,25 @@ def pairs_apart(members: DataFrame, most: int) -> DataFrame:
         if held:
             yield from out(held)
 
-    slices = F.greatest(F.lit(1), F.ceil(2 * F.col("m") / CROWD)).cast("int")
-    rows = members.withColumn("slices", F.when(F.col("m") > CROWD, slices).otherwise(1)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    slices = F.greatest(F.lit(1), F.ceil(2 * F.col("m") / crowd)).cast("int")
+    rows = members.withColumn("slices", F.when(F.col("m") > crowd, slices).otherwise(1)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select("key", "node", "n", "comp", "marks")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, ddl).distinct()
 
 
-def near_links(docs: DataFrame, classes: DataFrame, size: int, links: DataFrame | None = None) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, size: int, links: DataFrame, crowd: int) -> DataFrame:
     """(node, component) over confirmed links; ``classes`` has a row (node, n, a, b, marks) for each different set, ``links`` those already confirmed."""
     members = buckets(classes)
     first = members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("u")).select("u", F.col("node").alias("v"))
-    confirmed = linked(docs, classes, first, size)
-    links = confirmed if links is None else links.unionByName(confirmed)
-    named = settle(components(links), "named")
-    tried = first
+    first = settle(first, "first-pairs")
+    links = links.unionByName(linked(docs, classes, first, size))
+    named, tried = settle(components(links), "named"), first
     for most in PARTNERS:
         rows = apart(members, classes, named)
-        pairs = settle(pairs_apart(rows, most).join(tried, ["u", "v"], "left_anti"), "pairs")
+        pairs = settle(pairs_apart(rows, most, crowd).join(tried, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if most:
-                continue
-            break
+            continue
         tried = tried.unionByName(pairs)
         confirmed = linked(docs, classes, pairs, size)
         if not confirmed.isEmpty():
@@ -246,26 +245,37 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, links: DataFrame
     return named
 
 
-def near_components(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text", links=None) -> DataFrame:
+def near_components(
+    docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text", empty_alike: bool = False,
+    fingerprint: Callable[[np.ndarray], int] | None = None, links: Callable[[DataFrame, DataFrame], DataFrame] | None = None, crowd: int | None = None,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its set of ``size``-word shingles, and the smallest doc_id reachable over links, itself included.
 
     Documents of similarity 0.8 or more are linked. Words are runs of characters other than blanks and 0x09 to 0x0D, A-Z in
     lower case; a text of fewer words than a shingle has its whole sequence as one. Texts without words, nulls too, have the
-    empty set, which is linked with nothing. Texts of any length are read whole, one at a time. Rows of one repeated id are one
-    document, linked where any of its texts is; rows without an id have no component and link nothing. An empty table gives no
-    rows. Columns other than the two named are not read. ``links(docs, classes)`` may confirm links by other candidates first.
+    empty set, which is linked with nothing, or with other empty sets if ``empty_alike``. Texts of any length are read whole,
+    one at a time. Rows of one repeated id are one document, linked where any of its texts is; rows without an id have no
+    component and link nothing. An empty table gives no rows. Columns other than the two named are not read.
+    ``links(docs, classes)`` may confirm links by other candidates first; ``fingerprint`` of the set's hashes is its column f0.
     """
+    with scratch(docs.sparkSession):
+        return _near_components(docs, size, doc_id, text, empty_alike, fingerprint, links, crowd or CROWD)
+
+
+def _near_components(docs, size, doc_id, text, empty_alike, fingerprint, links, crowd) -> DataFrame:
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = settle(sketches(own, size), "sketches")
+    prints = settle(sketches(own, size, fingerprint), "sketches")
     key = ["n", "c0", "c1"]
-    ided = prints.filter("doc_id IS NOT NULL AND n > 0")
-    classes = ided.groupBy(*key).agg(F.min("doc_id").alias("node"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("marks").alias("marks"))
-    classes = settle(classes, "classes")
+    ided = prints.filter("doc_id IS NOT NULL" if empty_alike else "doc_id IS NOT NULL AND n > 0")
+    same = ["a", "b", "marks"] + ["f0"] * (fingerprint is not None)
+    classes = settle(ided.groupBy(*key).agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in same]), "classes")
     named_docs = own.filter("doc_id IS NOT NULL")
     ids = settle(ided.select("doc_id", *key).distinct().join(classes.select("node", *key), key).select("doc_id", "node"), "nodes")
     repeated = ids.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id")
-    same_id = ids.join(repeated, "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    before = same_id if links is None else same_id.unionByName(links(named_docs, classes))
-    named = near_links(named_docs, classes, size, before)
+    before = ids.join(repeated, "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    if links is not None:
+        before = before.unionByName(links(named_docs, classes))
+    named = near_links(named_docs, classes, size, before, crowd)
     found = ids.join(named, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    return prints.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = prints.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return settle(whole, "near-components", lasting=True)
