@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinside.llm import bpe, copies, decontaminate, quality, secrets
 from twinside.llm.common import table
-from twinside.session import settle
+from twinside.session import scratch, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,15 +30,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Near copies agree to 0.8 in their sets of five-word shingles, which
     ``copies`` compares whole. Of several rows of one id the first by text,
-    lang, source and n_chars stays.
+    lang, source and n_chars stays. Only the ids that go outlast the search.
     """
-    found = copies.near_copies(docs).filter("doc_id = component_id").select("doc_id")
-    kept = settle(docs.select("doc_id").join(found, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id").select(*COLUMNS)
-    repeated = settle(kept.filter("n > 1").select("doc_id"), "repeated")
-    several = docs.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
-    unnamed = docs.filter("doc_id IS NULL").select(*COLUMNS)
-    return once.unionByName(several).unionByName(unnamed)
+    with scratch(spark):
+        found = copies.near_copies(docs)
+        gone = settle(found.filter("doc_id <> component_id").select("doc_id"), "gone", lasting=True)
+        repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+        repeated = settle(repeated, "repeated", lasting=True)
+    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    several = rest.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(several)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
