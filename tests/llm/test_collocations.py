@@ -47,11 +47,10 @@ def plain(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least, top, tokens, part", [(30, 2000, 2_000_000, 4_000_000), (4, 25, 500, 100)])
-def test_phrases(spark, monkeypatch, least, top, tokens, part):
+@pytest.mark.parametrize("least, top, part", [(30, 2000, 1_000_000), (4, 25, 100)])
+def test_phrases(spark, monkeypatch, least, top, part):
     """Once in one go, once with many partial counts, texts cut at their pieces, and a short list."""
-    monkeypatch.setattr(collocations, "TOKENS", tokens)
-    monkeypatch.setattr(collocations, "TEXT_PART", part)
+    monkeypatch.setattr(collocations, "PART", part)
     rows = documents()
     want = plain(rows, least, top)
     assert len(want) > 20
@@ -71,7 +70,7 @@ def test_scores_beyond_64_bits(spark):
 def test_local_supports_lose_nothing(spark):
     rows = documents()
     docs = spark.createDataFrame([(k % 7 << collocations.SHARD_BITS | k % 5, t) for k, (_, t, _) in enumerate(rows)], "tag bigint, text string")
-    need = collocations.local_supports(docs, 30)
+    need = collocations.local_supports(collocations.tag_sizes(docs), 30)
     for cell in range(7):
         own = need[cell << collocations.SHARD_BITS : (cell << collocations.SHARD_BITS) + 5]
         assert sum(n - 1 for n in own) < 30 and all(1 <= n <= 30 for n in own)

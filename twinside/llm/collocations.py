@@ -14,7 +14,9 @@ falls at the next exact count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,133 +25,170 @@ from pyspark.sql.window import Window
 
 from twinside.llm import bloom
 from twinside.llm.bloom import mixed
-from twinside.llm.common import arrow_schema, rows_of
+from twinside.llm.common import arrow_schema, batches_of, rows_of
 from twinside.session import settle
 
 #: Shards; languages share CELLS classes while shards are mined. Both lie in the low bits of a phrase's hash.
 SHARDS, CELLS = 6, 64
 TAG_BITS, SHARD_BITS = 9, 3
 LONGEST = 4
-SEED = 42
-#: Words of a task that are counted at a time, bytes of one text that are, and words whose hashes are kept.
-TOKENS, TEXT_PART, KNOWN = 2_000_000, 4_000_000, 500_000
+#: Bytes of texts whose words a task holds at a time, phrases it counts at a time, and the most rows of a batch it hands on.
+PART, KEYS, ROWS = 1_000_000, 2_000_000, 100_000
+#: Characters of the corpus for each bucket of hashes: some two million phrases.
+BUCKET_CHARS = 6_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Characters that end a piece all become one full stop.
-PIECE_END = b"."
-ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", PIECE_END * 10)
-
-
-class Hashes(dict):
-    """Word to 64-bit hash; the end of a piece is 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = value = 0 if word == PIECE_END else xxhash.xxh64_intdigest(word, SEED) or 1
-        return value
-
-
-def words_of(text: str | None) -> Iterator[list[bytes]]:
-    """Lower-cased words, every piece followed by its end, in parts of about TEXT_PART bytes that end with a piece."""
-    body = (text or "").encode().lower().translate(ENDS)
-    at = 0
-    while at < len(body):
-        cut = len(body)
-        if cut - at > TEXT_PART:
-            cut = body.rfind(PIECE_END, at, at + TEXT_PART) + 1 or body.find(PIECE_END, at + TEXT_PART) + 1 or cut
-        found = body[at:cut].replace(PIECE_END, b" . ").split()
-        found.append(PIECE_END)
-        yield found
-        at = cut
-
-
-class Tokens:
-    """Words of several texts in one array of hashes, each with the tag of its text."""
-
-    def __init__(self) -> None:
-        self.hash, self.words, self.parts, self.tags = Hashes(), [], [], []
-
-    def add(self, words: list[bytes], tag: int = 0) -> None:
-        self.words.append(words)
-        self.parts.append(np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words)))
-        self.tags.append(tag)
-
-    def __len__(self) -> int:
-        return sum(map(len, self.parts))
-
-    def take(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        h = np.concatenate(self.parts)
-        tags = np.repeat(np.array(self.tags, np.uint64), [len(p) for p in self.parts])
-        words = [w for part in self.words for w in part]
-        self.words, self.parts, self.tags = [], [], []
-        return words, h, tags
-
-
-def longer(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the phrases one word longer than those of ``h``, which start at the same words; and which of them lie inside a piece."""
-    n = len(first) - size + 1
-    last = first[size - 1 :]
-    return mixed(h[:n] * MIX + last), last != 0
-
-
-def phrase_hashes(first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+#: A word's hash is a polynomial of its bytes' random values; there are two of them, with odd multipliers.
+RANDOM = np.random.default_rng(42)
+VALUES = RANDOM.integers(0, 1 << 63, size=(2, 256), dtype=np.uint64)
+POINTS = RANDOM.integers(0, 1 << 62, size=2, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
+#: Characters that end a piece, and blanks.
+END, BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
+KIND = np.zeros(256, np.uint8)
+KIND[list(END)], KIND[list(BLANK)] = 2, 1
+#: Texts of a part are joined by the end of a piece.
+JOIN, PIECE = b".", re.compile(b"[" + re.escape(END) + b"]")
+
+
+def parts_of(rows: Iterable[tuple]) -> Iterator[tuple[list[tuple], bytes]]:
+    """([(label, bytes), ...], their texts joined) of (label, text) rows, lower-cased, about PART bytes at a time.
+
+    A longer text is cut after a piece; one longer piece is held whole.
+    """
+    held, texts, size = [], [], 0
+    for label, text in rows:
+        body, at = (text or "").encode().lower(), 0
+        while at < len(body) or not at:
+            cut = len(body)
+            if cut - at > PART:
+                last = max(body.rfind(bytes([c]), at, at + PART) for c in END) + 1
+                ahead = None if last else PIECE.search(body, at + PART)
+                cut = last if last else ahead.end() if ahead else cut
+            held.append((label, cut - at + 1))
+            texts.append(body[at:cut])
+            size += cut - at + 1
+            at = cut or 1
+            if size >= PART:
+                yield held, JOIN.join([*texts, b""])
+                held, texts, size = [], [], 0
+    if held:
+        yield held, JOIN.join([*texts, b""])
+
+
+class Words:
+    """The words of a part: where they start and end, their hashes, the piece each lies in, and the text."""
+
+    def __init__(self, body: bytes, sizes: list[int]):
+        self.body = body
+        octets = np.frombuffer(body, np.uint8)
+        kind = KIND[octets]
+        edge = np.diff(np.concatenate([[0], kind == 0, [0]]).astype(np.int8))
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.start] if len(self.start) else self.start
+        self.text = np.searchsorted(np.cumsum(sizes), self.start, side="right")
+        length = self.end - self.start
+        self.hash = np.zeros(len(self.start), np.uint64)
+        if len(length):
+            letters = octets[kind == 0]
+            first = np.concatenate([[0], np.cumsum(length)[:-1]])
+            place = np.arange(len(letters), dtype=np.int32) - np.repeat(first, length).astype(np.int32)
+            for value, point in zip(VALUES, POINTS):
+                power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(length.max()) - 1, point)]).astype(np.uint64))
+                self.hash = self.hash * MIX + mixed(np.add.reduceat(value[letters] * power[place], first) + length.astype(np.uint64))
+
+    def phrase(self, at: int, size: int) -> str:
+        return b" ".join(self.body[self.start[at] : self.end[at + size - 1]].split()).decode()
+
+
+def phrase_hashes(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(size, hash of the phrase at each word, whether it lies inside a piece)."""
-    h, inside = mixed(first), first != 0
-    yield 1, h, inside
+    h = mixed(words.hash)
+    yield 1, h, np.ones(len(h), bool)
     for size in range(2, LONGEST + 1):
-        if len(first) < size:
+        n = len(words.hash) - size + 1
+        if n < 1:
             return
-        h, more = longer(h, first, size)
-        inside = inside[: len(h)] & more
-        yield size, h, inside
+        h = mixed(h[:n] * MIX + words.hash[size - 1 :])
+        yield size, h, words.piece[:n] == words.piece[size - 1 :]
 
 
 def tagged(h: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS)) | tags[: len(h)]
 
 
-def counted_batches(keys: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def blocks_of(keys: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """(bucket, keys, counts) as bytes, for the buckets of the first ``bits`` bits."""
     key, count = np.unique(np.concatenate(keys), return_counts=True)
-    for at in range(0, len(key), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000].view(np.int64)), pa.array(count[at : at + 100_000])], schema=schema)
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]])
+    count = count.astype(np.uint32)
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        yield int(bucket[a]), key[a:b].tobytes(), count[a:b].tobytes()
 
 
-def shard_counts(rows: DataFrame, found) -> DataFrame:
-    """(key, n): occurrences of the tagged phrases that ``found`` picks from a task's words, added up over tasks."""
-    ddl = "key bigint, n bigint"
-    schema = arrow_schema(ddl)
+def shard_counts(rows: DataFrame, found, need: list[int], bits: int) -> DataFrame:
+    """(key, n) of the tagged phrases that ``found`` picks from a task's words and that occur as often as ``need`` has it for their tag.
+
+    Counts travel in blocks, one for each bucket of hashes; a task adds up one bucket at a time.
+    """
+    ddl, out = "bucket bigint, keys binary, counts binary", "key bigint, n bigint"
+    schema, limits = arrow_schema(out), np.array(need, np.int64)
 
     def run(batches):
-        held, size = Tokens(), 0
+        def blocks():
+            keys, size = [], 0
+            for held, body in parts_of(row for batch in batches for row in rows_of(batch)):
+                words = Words(body, [size for _, size in held])
+                if len(words.hash):
+                    keys += found(words, np.array([t for t, _ in held], np.uint64)[words.text])
+                    size = sum(map(len, keys))
+                    if size >= KEYS:
+                        yield from blocks_of(keys, bits)
+                        keys, size = [], 0
+            if size:
+                yield from blocks_of(keys, bits)
+
+        yield from batches_of(blocks(), arrow_schema(ddl))
+
+    def summed(held):
+        key = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in held])
+        count = np.concatenate([np.frombuffer(c, np.uint32) for _, c in held]).astype(np.int64)
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        key, count = key[first], np.add.reduceat(count, first)
+        good = count >= limits[(key & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64)]
+        key, count = key[good].view(np.int64), count[good]
+        for at in range(0, len(key), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + ROWS]), pa.array(count[at : at + ROWS])], schema=schema)
+
+    def add(batches):
+        now, held = None, []
         for batch in batches:
-            for tag, text in rows_of(batch):
-                for words in words_of(text):
-                    held.add(words, tag)
-                    size += len(words)
-                    if size >= TOKENS:
-                        yield from counted_batches(found(*held.take()[1:]), schema)
-                        size = 0
-        if size:
-            yield from counted_batches(found(*held.take()[1:]), schema)
+            for bucket, keys, counts in rows_of(batch):
+                if bucket != now and held:
+                    yield from summed(held)
+                    held = []
+                now = bucket
+                held.append((keys, counts))
+        if held:
+            yield from summed(held)
 
-    return rows.mapInArrow(run, ddl).groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, ddl).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, out)
 
 
-def words_and_pairs(first: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
-    return [tagged(h, tags)[inside] for size, h, inside in phrase_hashes(first) if size <= 2]
+def words_and_pairs(words: Words, tags: np.ndarray) -> list[np.ndarray]:
+    return [tagged(h, tags)[inside] for size, h, inside in phrase_hashes(words) if size <= 2]
 
 
-def of_frequent_pairs(shipped, first: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+def of_frequent_pairs(shipped, words: Words, tags: np.ndarray) -> list[np.ndarray]:
     """Phrases of three words or more whose pairs of neighbouring words may all be frequent in the shard."""
     out, pair, chain = [np.zeros(0, np.uint64)], None, None
-    for size, h, inside in phrase_hashes(first):
+    for size, h, inside in phrase_hashes(words):
         if size == 2:
             pair = chain = inside.copy()
             pair[inside] = bloom.holds(shipped.value, tagged(h, tags)[inside])
         elif size > 2:
-            chain = chain[: len(h)] & pair[size - 2 :]
+            chain = chain[: len(h)] & pair[size - 2 :] & inside
             out.append(tagged(h, tags)[chain])
     return out
 
@@ -159,43 +198,59 @@ def phrase_counts(docs: DataFrame, shipped) -> DataFrame:
     ddl = "lang string, size int, phrase string, n bigint"
     schema = arrow_schema(ddl)
 
-    def batch_of(lang, held):
-        words, first, tags = held.take()
-        rows = [(lang, 0, "", int((first != 0).sum()))]
-        for size, h, inside in phrase_hashes(first):
-            at = np.flatnonzero(inside)
-            at = at[bloom.holds(shipped.value, tagged(h, tags)[at])]
-            _, where, n = np.unique(h[at], return_index=True, return_counts=True)
-            rows.extend((lang, size, b" ".join(words[i : i + size]).decode(), c) for i, c in zip(at[where].tolist(), n.tolist()))
-            for k in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 50_000]), schema)], schema=schema)
-            rows = []
+    def counted(parts):
+        import xxhash
+
+        names, keys, size, total = {}, [], 0, {}
+
+        def out():
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield from ((*names[k], c) for k, c in zip(key.tolist(), n.tolist()))
+
+        for held, body in parts:
+            words = Words(body, [size for _, size in held])
+            langs = sorted({lang for (lang, _), _ in held})
+            salt = np.array([xxhash.xxh64_intdigest(lang) for lang in langs], np.uint64)
+            lang = np.array([langs.index(lang) for (lang, _), _ in held], np.int64)[words.text]
+            cells = np.array([cell << SHARD_BITS for (_, cell), _ in held], np.uint64)[words.text]
+            for k, n in enumerate(np.bincount(lang, minlength=len(langs)).tolist()):
+                total[langs[k]] = total.get(langs[k], 0) + n
+            for length, h, inside in phrase_hashes(words):
+                at = np.flatnonzero(inside)
+                at = at[bloom.holds(shipped.value, tagged(h, cells)[at])]
+                key = mixed(h[at] + salt[lang[at]])
+                new, where = np.unique(key, return_index=True)
+                for k, i in zip(new.tolist(), at[where].tolist()):
+                    if k not in names:
+                        names[k] = langs[lang[i]], length, words.phrase(i, length)
+                keys.append(key)
+                size += len(key)
+            if size >= KEYS:
+                yield from out()
+                names, keys, size = {}, [], 0
+        if size:
+            yield from out()
+        yield from ((lang, 0, "", n) for lang, n in total.items())
 
     def run(batches):
-        held, size = {}, 0
-        for batch in batches:
-            for lang, cell, text in rows_of(batch):
-                for words in words_of(text):
-                    held.setdefault(lang, Tokens()).add(words, cell << SHARD_BITS)
-                    size += len(words)
-                    if size >= TOKENS:
-                        for key, own in held.items():
-                            yield from batch_of(key, own)
-                        held, size = {}, 0
-        for key, own in held.items():
-            yield from batch_of(key, own)
+        texts = (((lang, cell), text) for batch in batches for lang, cell, text in rows_of(batch))
+        yield from batches_of(counted(parts_of(texts)), schema)
 
     return docs.select("lang", "cell", "text").mapInArrow(run, ddl).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
-def local_supports(docs: DataFrame, least: int) -> list[int]:
+def tag_sizes(docs: DataFrame) -> dict[int, int]:
+    """Characters of each tag; the driver gets one number for each, 384 at most."""
+    return {r["tag"]: r["size"] or 0 for r in docs.groupBy("tag").agg(F.sum(F.length("text")).alias("size")).collect()}
+
+
+def local_supports(sizes: dict[int, int], least: int) -> list[int]:
     """For each tag, the support in that shard: its share of the characters of its class of languages, times ``least``.
 
-    Any shares that add up to one lose no phrase. The driver gets one number for each tag, 512 at most.
+    Any shares that add up to one lose no phrase.
     """
-    sizes = {r["tag"]: r["size"] for r in docs.groupBy("tag").agg(F.sum(F.length("text")).alias("size")).collect()}
-    whole = [sum(sizes.get(c << SHARD_BITS | s, 0) or 0 for s in range(SHARDS)) for c in range(CELLS)]
-    return [-(-least * (sizes.get(t, 0) or 0) // max(1, whole[t >> SHARD_BITS])) or 1 for t in range(CELLS << SHARD_BITS)]
+    whole = [sum(sizes.get(c << SHARD_BITS | s, 0) for s in range(SHARDS)) for c in range(CELLS)]
+    return [max(1, -(-least * sizes.get(t, 0) // max(1, whole[t >> SHARD_BITS]))) for t in range(CELLS << SHARD_BITS)]
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,12 +259,13 @@ def frequent_phrases(docs: DataFrame, least: int = 30, lang: str = "lang", doc_i
     cell = F.pmod(F.xxhash64("lang"), F.lit(CELLS)).cast("int")
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SHARDS)).cast("int").alias("shard"), F.col(text).cast("string").alias("text"))
     own = own.select("lang", cell.alias("cell"), F.shiftleft(cell, SHARD_BITS).bitwiseOR(F.col("shard")).cast("bigint").alias("tag"), "text")
-    tag = F.col("key").bitwiseAND((1 << TAG_BITS) - 1).cast("int")
-    need = F.get(F.array(*[F.lit(n) for n in local_supports(own, least)]), tag)
+    sizes = tag_sizes(own)
+    need = local_supports(sizes, least)
+    bits = max(6, math.ceil(math.log2(1 + sum(sizes.values()) / BUCKET_CHARS)))
     rows = own.select("tag", "text")
-    small = settle(shard_counts(rows, words_and_pairs).filter(F.col("n") >= need), "frequent-pairs")
+    small = settle(shard_counts(rows, words_and_pairs, need, bits), "frequent-pairs")
     shipped = spark.sparkContext.broadcast(bloom.built(small, "key"))
-    large = settle(shard_counts(rows, lambda first, tags: of_frequent_pairs(shipped, first, tags)).filter(F.col("n") >= need), "frequent-phrases")
+    large = settle(shard_counts(rows, lambda words, tags: of_frequent_pairs(shipped, words, tags), need, bits), "frequent-phrases")
     every = small.unionByName(large).select(F.col("key").bitwiseAND(~((1 << SHARD_BITS) - 1)).alias("key"))
     candidates = spark.sparkContext.broadcast(bloom.built(every, "key"))
     return settle(phrase_counts(own, candidates).filter((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
