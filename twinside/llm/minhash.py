@@ -7,15 +7,17 @@ MinHash values serve 256 tables of 8 values: 128 values are computed instead of
 (1 - (1 - s ** 4) ** 16) ** 2, which is 0.9996 at 0.8 and 0.004 at 0.25.
 
 Tables propose; whole sets of shingles decide. Documents are first compared with
-the smallest one of their buckets. What that leaves apart in a bucket is compared
-by estimates from all 128 values: the likeliest partners first, in the last round
-every pair across components that may reach the similarity. So the links found
-connect what all links between documents of a shared bucket connect, and a group
-of near copies takes about one comparison for each member, not one for each pair.
+the smallest one of their buckets, so a group of near copies takes about one
+comparison for each member, not one for each pair. Of what that leaves apart in a
+bucket, documents that share too few shingles with all the others go, and pairs
+across components are compared unless an estimate from 512 values rules them out.
+So the links found connect what all links between documents of a shared bucket
+connect.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,13 +38,14 @@ VALUES = 2 * BANDS * ROWS
 SEED = 42
 #: Pairs estimated below this are not compared: at a similarity of 0.8 the estimate's standard error is 0.035, so one true pair in 10,000 is.
 LIKELY = 0.665
-#: Rounds compare so many of the likeliest partners of a document in a bucket; the last compares all.
-PARTNERS = (4, 0)
+#: The same for what the first comparisons leave apart, from so many values: the standard error is 0.018 then.
+FINE_LIKELY, FINE_VALUES = 0.735, 512
 #: Members of a bucket that one task compares.
 CROWD = 8_192
 PIECE = 1_024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, VALUES), dtype=np.uint64) | np.uint64(1)
+FINE_ODD = np.random.default_rng(SEED + 1).integers(0, 1 << 64, size=(2, FINE_VALUES), dtype=np.uint64) | np.uint64(1)
 
 
 class Hashes(dict):
@@ -71,12 +74,17 @@ def shingle_hashes(text: str | None, size: int, known: Hashes) -> np.ndarray:
     return np.unique(h)
 
 
+def least_values(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """MinHash values of a set."""
+    least = np.full(odd.shape[1], ~np.uint64(0))
+    for at in range(0, len(hashes), PIECE):
+        least = np.minimum(least, (hashes[at : at + PIECE, None] * odd[0] + odd[1]).min(axis=0))
+    return mixed(least)
+
+
 def bands(hashes: np.ndarray) -> tuple[list[int], list[int], bytes]:
     """Bands of the first and of the second collection, and the last byte of every MinHash value."""
-    least = np.full(VALUES, ~np.uint64(0))
-    for at in range(0, len(hashes), PIECE):
-        least = np.minimum(least, (hashes[at : at + PIECE, None] * ODD[0] + ODD[1]).min(axis=0))
-    least = mixed(least)
+    least = least_values(hashes, ODD)
     value = np.arange(2 * BANDS, dtype=np.uint64)
     for k in range(ROWS):
         value = mixed(value * MIX + least[k::ROWS])
@@ -162,38 +170,109 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) ->
     return settle(both.mapInArrow(compare, ddl).distinct(), "links")
 
 
-def likely_pairs(nodes: np.ndarray, sizes: np.ndarray, groups: np.ndarray, marks: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket across groups whose estimated similarity may do: the ``most`` likeliest of each member, or all (0)."""
-    for i in range(len(nodes) if most else len(nodes) - 1):
-        rest = np.arange(0 if most else i + 1, len(nodes))
+def shared_sizes(sets: DataFrame, nodes: int) -> DataFrame:
+    """(node, shared): how many of a set's hashes (node, hashes) occur in another node's set too.
+
+    Hashes travel in blocks, one for each bucket of them; a task looks at one bucket at a time.
+    """
+    bits = max(4, math.ceil(math.log2(1 + nodes / 4_000)))
+    ddl, out = "bucket bigint, hashes binary, nodes binary", "node bigint, shared bigint"
+    schema, out_schema = arrow_schema(ddl), arrow_schema(out)
+
+    def send(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                own = [np.frombuffer(v.as_buffer(), np.uint64) for v in part.column(1)]
+                h = np.concatenate(own)
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(v) for v in own])
+                order = np.argsort(h)
+                h, node = h[order], node[order]
+                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]]).tolist()
+                rows = [(int(bucket[x]), h[x:y].tobytes(), node[x:y].tobytes()) for x, y in zip(cuts, cuts[1:]) if y > x]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def counted(held):
+        pairs = np.stack([np.concatenate([np.frombuffer(v, np.int64) for v in c]) for c in zip(*held)])
+        pairs = pairs[:, np.lexsort(pairs[::-1])]
+        pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]  # rows of one id may repeat
+        again = pairs[0, 1:] == pairs[0, :-1]
+        shared = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        node, n = np.unique(pairs[1, shared], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n)], schema=out_schema)
+
+    def count(batches):
+        now, held = None, []
+        for batch in batches:
+            for bucket, hashes, nodes in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and held:
+                    yield from counted(held)
+                    held = []
+                now = bucket
+                held.append((hashes, nodes))
+        if held:
+            yield from counted(held)
+
+    return sets.mapInArrow(send, ddl).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, out).groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+#: How often documents that share too little with all others are taken out, which leaves others with less.
+PEELS = 2
+
+
+def linkable(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, shared, marks) of the nodes (node, n) that may be linked, with the last bytes of many MinHash values: a linked set shares at least LEAST / PARTS of its shingles with one other, so with all others."""
+    sets = settle(hash_sets(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size).distinct(), "apart-sets")
+    for _ in range(PEELS):
+        count = nodes.count()
+        found = shared_sizes(sets.join(nodes.select("node"), "node", "left_semi").select("node", "hashes"), count)
+        nodes = settle(nodes.select("node", "n").join(found, "node").filter(f"{PARTS} * shared >= {LEAST} * n"), "linkable")
+
+    def start():
+        return lambda node, hashes: (node, (least_values(np.frombuffer(hashes, np.uint64), FINE_ODD) & np.uint64(255)).astype(np.uint8).tobytes())
+
+    marks = map_rows(sets.join(nodes.select("node"), "node", "left_semi").select("node", "hashes"), start, "node bigint, marks binary")
+    return settle(nodes.groupBy("node").agg(F.max("shared").alias("shared")).join(marks, "node"), "fine-marks")
+
+
+def likely_pairs(nodes: np.ndarray, sizes: np.ndarray, groups: np.ndarray, shared: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket across groups whose estimated similarity may do.
+
+    Two sets that are linked have LEAST / (LEAST + PARTS) of their sizes' sum in common, which neither's shared shingles may fall below.
+    """
+    for i in range(len(nodes) - 1):
+        rest = np.arange(i + 1, len(nodes))
         rest = rest[(groups[rest] != groups[i]) & (PARTS * np.minimum(sizes[rest], sizes[i]) >= LEAST * np.maximum(sizes[rest], sizes[i]))]
-        if not len(rest):
-            continue
-        alike = (marks[rest] == marks[i]).mean(axis=1)
-        good = np.flatnonzero(alike >= LIKELY)
-        if most and len(good) > most:
-            good = good[np.argsort(-alike[good], kind="stable")[:most]]
-        if len(good):
-            yield np.full(len(good), nodes[i]), nodes[rest[good]]
-
-
-def apart(members: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
-    """(key, node, n, comp, marks): members of the buckets whose members are not all in one component."""
+        rest = rest[(LEAST + PARTS) * np.minimum(shared[rest], shared[i]) >= LEAST * (sizes[rest] + sizes[i])]
+        rest = rest[(marks[rest] == marks[i]).mean(axis=1) >= FINE_LIKELY]
+        if len(rest):
+            yield np.full(len(rest), nodes[i]), nodes[rest]
+
+
+def apart(docs: DataFrame, members: DataFrame, classes: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """(key, node, n, comp, shared, marks, m): members, that may be linked, of the buckets whose members are not all in one component."""
     comp = F.coalesce("component", "node").alias("comp")
     now = members.join(named, "node", "left").select("key", "node", comp)
-    split = settle(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m"), "split-buckets")
-    return now.join(split, "key").join(classes.select("node", "n", "marks"), "node")
+    split = lambda rows, label: settle(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m"), label)
+    left = settle(now.join(split(now, "split-buckets"), "key").drop("m"), "members-apart")
+    sizes = classes.select("node", "n")
+    may = linkable(docs, left.select("node").distinct().join(sizes, "node"), size)
+    left = left.join(may, "node")
+    left = left.join(split(left, "split-again"), "key")
+    return left.join(sizes, "node")
 
 
-def pairs_apart(members: DataFrame, most: int, crowd: int) -> DataFrame:
+def pairs_apart(members: DataFrame, crowd: int) -> DataFrame:
     """Distinct likely pairs (u, v) across components in each bucket; buckets above ``crowd`` are cut into slices that meet pairwise."""
     ddl = "u bigint, v bigint"
     schema = arrow_schema(ddl)
 
     def out(held):
-        key, node, n, comp, marks = (np.concatenate(x) for x in zip(*held))
+        key, node, n, comp, shared, marks = (np.concatenate(x) for x in zip(*held))
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        found = [(u, v) for s, e in zip(starts, starts[1:]) for u, v in likely_pairs(node[s:e], n[s:e], comp[s:e], marks[s:e], most)]
+        found = [(u, v) for s, e in zip(starts, starts[1:]) for u, v in likely_pairs(node[s:e], n[s:e], comp[s:e], shared[s:e], marks[s:e])]
         if found:
             u, v = (np.concatenate(x) for x in zip(*found))
             ends = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
@@ -206,22 +285,22 @@ def pairs_apart(members: DataFrame, most: int, crowd: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, n, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, VALUES)
+            key, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            rest.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, FINE_VALUES))
             cut = int(np.argmax(key == key[-1]))  # the last bucket may go on in the next batch
             if cut:
-                held.append((key[:cut], node[:cut], n[:cut], comp[:cut], marks[:cut]))
+                held.append((key[:cut], *(c[:cut] for c in rest)))
             if held and (cut or held[-1][0][-1] != key[0]):
                 yield from out(held)
                 held = []
-            held.append((key[cut:], node[cut:], n[cut:], comp[cut:], marks[cut:]))
+            held.append((key[cut:], *(c[cut:] for c in rest)))
         if held:
             yield from out(held)
 
     slices = F.greatest(F.lit(1), F.ceil(2 * F.col("m") / crowd)).cast("int")
     rows = members.withColumn("slices", F.when(F.col("m") > crowd, slices).otherwise(1)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select("key", "node", "n", "comp", "marks")
+    rows = rows.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select("key", "node", "n", "comp", "shared", "marks")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, ddl).distinct()
 
 
@@ -231,18 +310,12 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, links: DataFrame,
     first = members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("u")).select("u", F.col("node").alias("v"))
     first = settle(first, "first-pairs")
     links = links.unionByName(linked(docs, classes, first, size))
-    named, tried = settle(components(links), "named"), first
-    for most in PARTNERS:
-        rows = apart(members, classes, named)
-        pairs = settle(pairs_apart(rows, most, crowd).join(tried, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        confirmed = linked(docs, classes, pairs, size)
-        if not confirmed.isEmpty():
-            links = links.unionByName(confirmed)
-            named = settle(components(links), "named")
-    return named
+    named = settle(components(links), "named")
+    pairs = settle(pairs_apart(apart(docs, members, classes, named, size), crowd).join(first, ["u", "v"], "left_anti"), "pairs")
+    confirmed = linked(docs, classes, pairs, size)
+    if confirmed.isEmpty():
+        return named
+    return settle(components(links.unionByName(confirmed)), "named")
 
 
 def near_components(
