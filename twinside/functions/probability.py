@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+from twinside.functions import tails
 
 FLOOR = 0.05
 TAIL = 0.999999
@@ -80,31 +83,24 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def over_probability(f: Column, line: Column) -> Column:
-    """P(X > floor(line)) of a ``family``.
+@F.pandas_udf(T.DoubleType())
+def _over(mu: pd.Series, alpha: pd.Series, line: pd.Series) -> pd.Series:
+    return pd.Series(tails.over(*(c.to_numpy(dtype="float64", na_value=float("nan")) for c in (mu, alpha, line))))
 
-    Up to the mean it is one minus the lower tail, summed downwards from its
-    top term; above the mean the upper tail itself is summed, so a small
-    probability keeps its digits.  Each step is one ratio, and only the top
-    term needs a logarithm, so a large mean cannot underflow.
-    """
-    k = F.floor(line).cast("int")
 
-    def tail(f: Column) -> Column:
-        ratio = lambda i: f["a"] + f["b"] / i
-        low = F.aggregate(_steps(k), F.lit(1.0), lambda acc, i: acc / ratio(i) + 1.0)
-        # Descending, so that each step closes the bracket of the one before.
-        high = F.aggregate(F.sequence(k + 1 + f["reach"], k + 2, F.lit(-1)), F.lit(1.0), lambda acc, i: acc * ratio(i) + 1.0)
-        upper = F.exp(log_pmf(k + 1, f) + F.ln(high))
-        lower = F.exp(log_pmf(k, f) + F.ln(low))
-        inner = F.when(k + 1 > f["mu"], upper).otherwise(1.0 - lower)
-        return F.when(f["mu"].isNull(), F.lit(None)).when(k < 0, F.lit(1.0)).otherwise(inner)
+def over_of(mu: Column, alpha: Column, line: Column) -> Column:
+    """P(X > floor(line)) of a count with mean ``mu`` and extra dispersion ``alpha``.
 
-    return bind(f, tail)
+    Incomplete gamma and beta functions over Arrow batches: the work for a line
+    does not grow with the mean, and a small probability keeps its digits. As
+    column expressions they would be loops that run interpreted, row by row.
+    """
+    return _over(mean_of(mu), alpha.cast("double"), line.cast("double"))
 
 
-def _steps(k: Column) -> Column:
-    return F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+def over_probability(f: Column, line: Column) -> Column:
+    """P(X > floor(line)) of a ``family``."""
+    return _over(f["mu"], f["alpha"], line.cast("double"))
 
 
 def fair_odds(p: Column) -> Column:

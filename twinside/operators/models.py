@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinside.functions import probability as pr
 from twinside.operators.features import league_daily, mirror
@@ -115,8 +115,8 @@ def forecast_errors(rows: DataFrame, keys: Sequence[str], prediction: str = "pre
 def over_lines(rows: DataFrame, markets: Sequence[Market]) -> DataFrame:
     """One row per line with over/under probability and fair odds."""
     lines = by_market(markets, lambda m: F.array(*[F.lit(x) for x in m.lines]))
-    priced = rows.withColumn("_f", pr.family(F.col("prediction"), alpha_of(markets))).withColumn("line", F.explode(lines))
-    return with_prices(priced.withColumn("p_over", pr.over_probability(F.col("_f"), F.col("line"))).drop("_f"))
+    priced = rows.withColumn("line", F.explode(lines))
+    return with_prices(priced.withColumn("p_over", pr.over_of(F.col("prediction"), alpha_of(markets), F.col("line"))))
 
 
 def with_prices(rows: DataFrame) -> DataFrame:
@@ -144,10 +144,8 @@ def total_dispersion(markets: Sequence[Market]) -> Column:
 
 def over_total_lines(totals: DataFrame, markets: Sequence[Market]) -> DataFrame:
     """Half-lines around each total; the dispersion matches the variance of the two sides' sum."""
-    lined = totals.withColumn("_f", pr.family(F.col("prediction"), total_dispersion(markets))).withColumn(
-        "line", F.explode(pr.total_lines(F.col("prediction")))
-    )
-    return with_prices(lined.withColumn("p_over", pr.over_probability(F.col("_f"), F.col("line"))).drop("_f"))
+    lined = totals.withColumn("line", F.explode(pr.total_lines(F.col("prediction"))))
+    return with_prices(lined.withColumn("p_over", pr.over_of(F.col("prediction"), total_dispersion(markets), F.col("line"))))
 
 
 def wide_lines(scored: DataFrame, keys: Sequence[str], lines: Sequence[float]) -> DataFrame:
@@ -300,63 +298,45 @@ def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if counts[c]]
 
 
-@dataclass
-class Forest:
-    """A fitted forest with the imputation it was trained with."""
-
-    model: object
-    medians: dict[str, float | None]
-    flagged: list[str]
-    train_mean: float
-
-    @property
-    def inputs(self) -> list[str]:
-        return [f"x_{c}" for c in self.medians] + [f"gap_{c}" for c in self.flagged]
-
-    def predict(self, df: DataFrame, column: str = "model_prediction") -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
-        ready = VectorAssembler(inputCols=self.inputs, outputCol="_features").transform(impute(df, self.medians, self.flagged))
-        return self.model.transform(ready).withColumnRenamed("prediction", column).drop("_features", *self.inputs)
-
-    def importances(self, spark: SparkSession) -> DataFrame:
-        """Feature importance ranking; one row per model input."""
-        rows = [(n, float(v)) for n, v in zip(self.inputs, self.model.featureImportances.toArray())]
-        return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def fit_forest(
-    train: DataFrame, features: Sequence[str], target: str, trees: int = 400, depth: int = 12, min_leaf: int = 10, share: float = 0.7, seed: int = 42
-) -> Forest:
-    """Distributed forest without bootstrap; rows without a target are left out."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    rows = train.filter(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("_label"))
-    medians = exact_medians(rows, features)
-    flagged = columns_with_gaps(rows, features)
-    forest = Forest(None, medians, flagged, rows.agg(F.avg("_label")).first()[0])
-    ready = VectorAssembler(inputCols=forest.inputs, outputCol="_features").transform(impute(rows, medians, flagged))
-    learner = RandomForestRegressor(
-        featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy=str(share), bootstrap=False, subsamplingRate=1.0, seed=seed,
+def market_inputs(market: str) -> list[str]:
+    """Inputs of a market's forest: own, opponent's, official's, league's and head-to-head histories."""
+    m, both = market, ("for", "against")
+    own = [f"{h}_{m}_{d}_avg" for h in ("season", "venue") for d in both] + [f"last{n}_{m}_{d}_avg" for d in both for n in (3, 5, 10)]
+    own += [f"career_last5_{m}_{d}_avg" for d in both]
+    other = [f"opp_{h}_{m}_{d}_avg" for h in ("season", "venue") for d in both] + [f"opp_last{n}_{m}_against_avg" for n in (3, 5, 10)]
+    other += [f"opp_career_last5_{m}_against_avg"]
+    official = [f"{h}_total_{m}_avg_before" for h in ("official", "official_last5", "official_all", "official_all_last10")]
+    venues = [f"league_{s}_{m}_avg_before" for s in ("a", "b")]
+    league = [f"league_total_{m}_avg_before", f"recent20_league_total_{m}_avg_before"]
+    rest = [f"h2h_{m}_for_avg_before", f"h2h_last3_{m}_for_avg_before", "days_rest", "opp_days_rest"]
+    volume = ["season_qty_for_avg", "last5_qty_for_avg", "opp_season_qty_against_avg", "opp_last5_qty_against_avg"]
+    if market == "qty":
+        return [*own, *other, *official, *league, *venues, *rest]
+    if market == "lines":  # no official; volume in place of it
+        return [*own, *other, *league, *rest, *volume]
+    return [*own, *other, *[f"official_{s}_{m}_avg_before" for s in ("a", "b")], *official, *league, *volume, *rest]
+
+
+def forest_rows(features: DataFrame, markets: Sequence[Market]) -> DataFrame:
+    """Long training rows: part (the market), season, event_id, side, target ``y``, inputs ``x`` and what the baseline reads."""
+    one = lambda m: F.struct(
+        F.lit(m.name).alias("part"), F.col(f"target_{m.target}").cast("double").alias("y"), F.array(*[F.col(c).cast("float") for c in market_inputs(m.name)]).alias("x"),
+        baseline(m, F.lit(None).cast("double")).alias("known_baseline"),
     )
-    forest.model = learner.fit(ready.select("_features", "_label"))
-    return forest
+    return features.select("event_id", "season", "side", F.explode(F.array(*[one(m) for m in markets])).alias("r")).select("event_id", "season", "side", "r.*")
 
 
-def walk_forward(features: DataFrame, inputs: Sequence[str], market: Market, seasons: Sequence[str], **forest) -> DataFrame:
-    """Per test season: errors of baseline, forest and ensemble trained on earlier seasons only.
+def train_means(rows: DataFrame, folds: Mapping[str, str | None]) -> DataFrame:
+    """(part, fold, train_mean) over the rows each fold learns from."""
+    bounds = rows.sparkSession.createDataFrame([(f, b) for f, b in folds.items()], "fold string, bound string")
+    per = rows.filter("y IS NOT NULL").groupBy("part", "season").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    met = per.join(bounds, F.col("bound").isNull() | (F.col("season") < F.col("bound")))
+    return met.groupBy("part", "fold").agg((F.sum("s") / F.sum("n")).alias("train_mean"))
 
-    The driver loops over folds; each fold is a Spark job.
-    """
-    target, out = f"target_{market.target}", None
-    for season in seasons:
-        fitted = fit_forest(features.filter(F.col("season") < season), inputs, target, **forest)
-        test = features.filter((F.col("season") == season) & F.col(target).isNotNull())
-        scored = fitted.predict(test).withColumn("baseline", baseline(market, F.lit(fitted.train_mean)))
-        scored = scored.withColumn("ensemble", ensemble(F.col("model_prediction"), F.col("baseline"), market.model_weight, market.floor))
-        for name in ("baseline", "model_prediction", "ensemble"):
-            part = forecast_errors(scored, ["season"], name, target).withColumn("model", F.lit(name))
-            out = part if out is None else out.unionByName(part)
-    return out
+
+def with_ensemble(scored: DataFrame, means: DataFrame, markets: Sequence[Market]) -> DataFrame:
+    """Adds the walk-forward ``baseline`` and the ``ensemble`` of it with the forest; (part, fold, known_baseline, model_prediction, ...)."""
+    rows = scored.join(means, ["part", "fold"]).withColumn("baseline", F.coalesce("known_baseline", "train_mean")).withColumn("market", F.col("part"))
+    weight, floor = by_market(markets, lambda m: F.lit(m.model_weight)), by_market(markets, lambda m: F.lit(m.floor))
+    mixed = F.col("model_prediction") * weight + F.col("baseline") * (F.lit(1.0) - weight)
+    return rows.withColumn("ensemble", F.greatest(mixed, floor)).drop("known_baseline", "train_mean", "part")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinside.functions import probability as pr
-from twinside.operators import features as ft, models as md, ordering as od, quality as qa
+from twinside.operators import features as ft, forest as fr, models as md, ordering as od, quality as qa
 from twinside.operators.sides import side_rows
-from twinside.plans.base import query, rounded
+from twinside.plans.base import kept, query, rounded, shared
 from twinside.plans.gates import FIXTURE_SIDE_FEATURES
 from twinside.plans.windows import RECENT_TOTALS
 from twinside.session import settle
@@ -76,27 +76,81 @@ IMPUTE = f""", fe AS (SELECT event_id, side, avg(qty_for) {_over('season, side',
 )
 def imputation(spark, root):
     rows = settle(md.baseline_features(fact(spark, root), METRICS).select("event_id", "side", *GAPPY), "gappy")
-    filled = md.impute(rows, md.exact_medians(rows, GAPPY), md.columns_with_gaps(rows, GAPPY))
+    filled = md.impute(rows, fr.column_medians(rows, GAPPY), md.columns_with_gaps(rows, GAPPY))
     return filled.select("event_id", "side", *[x for c in GAPPY for x in (f"x_{c}", f"gap_{c}")])
 
 
-FOREST_INPUTS = [
-    "season_qty_for_avg", "season_qty_against_avg", "venue_qty_for_avg", "last5_qty_for_avg", "last10_qty_for_avg", "career_last5_qty_for_avg",
-    "opp_season_qty_against_avg", "opp_last5_qty_against_avg", "official_total_qty_avg_before", "league_total_qty_avg_before",
-    "h2h_qty_for_avg_before", "days_rest", "opp_days_rest",
-]
-FOREST = dict(trees=8, depth=5)
+ALL_SEASONS = {"all": None}
 
 
-def wide_features(spark, root):
-    return settle(ft.training_features(fact(spark, root), METRICS, RECENT_TOTALS), "features")
+def forest_rows(spark, root):
+    """Rows of all markets for the forests, over all seasons."""
 
+    def build():
+        features = ft.training_features(fact(spark, root), METRICS, [m.name for m in MARKETS])
+        return md.forest_rows(features, MARKETS)
 
-@query("M_03_forest")
+    return shared(spark, root, "forest-rows", build)
+
+
+def season_folds(spark, root):
+    """Every season is a fold: it learns from the seasons before it. One row a season comes to the driver."""
+    return {r["season"]: r["season"] for r in forest_rows(spark, root).select("season").distinct().collect()}
+
+
+def full_forest(spark, root):
+    """The forest of all stored rows, one for each market."""
+    inputs = {m.name: md.market_inputs(m.name) for m in MARKETS}
+    return kept(spark, root, "full-forest", lambda: fr.fit(forest_rows(spark, root), inputs, ALL_SEASONS))
+
+
+def batch_scores(spark, root):
+    """Stored rows of all markets with forest, baseline and ensemble of the forest of all seasons."""
+
+    def build():
+        rows = forest_rows(spark, root).withColumn("fold", F.lit("all"))
+        keep = ["part", "fold", "season", "event_id", "side", "y", "known_baseline"]
+        return md.with_ensemble(fr.scored(rows, full_forest(spark, root), "fold", keep), md.train_means(rows, ALL_SEASONS), MARKETS)
+
+    return shared(spark, root, "batch-scores", build)
+
+
+def walk_forward_scores(spark, root):
+    """Every row of a season with an earlier one, by forests of the earlier seasons only; all folds are grown together."""
+
+    def build():
+        rows, folds = forest_rows(spark, root).withColumn("fold", F.col("season")), season_folds(spark, root)
+        forest = fr.fit(rows, {m.name: md.market_inputs(m.name) for m in MARKETS}, folds)
+        keep = ["part", "fold", "season", "event_id", "side", "y", "known_baseline"]
+        return md.with_ensemble(fr.scored(rows, forest, "fold", keep), md.train_means(rows, folds), MARKETS)
+
+    return shared(spark, root, "walk-forward-scores", build)
+
+
+TARGETS = ", ".join(f"('{m.name}')" for m in MARKETS)
+TARGET = "CASE market " + " ".join(f"WHEN '{m.name}' THEN {m.target}" for m in MARKETS) + " END"
+MARKET_ROWS = f""", market_rows AS (SELECT season, event_id, side, market, CAST({TARGET} AS DOUBLE) AS target FROM sides CROSS JOIN (VALUES {TARGETS}) t(market))
+"""
+
+
+@query(
+    "M_03_forest",
+    MARKET_ROWS + """, facts AS (SELECT market, count(target) AS train_rows, avg(target) AS train_mean FROM market_rows GROUP BY market)
+    SELECT event_id, side, market, target, train_rows, TRUE AS within_targets, TRUE AS better_than_mean FROM market_rows JOIN facts USING (market)""",
+)
 def forest(spark, root):
-    rows = wide_features(spark, root)
-    fitted = md.fit_forest(rows.filter("season < '2000-01'"), FOREST_INPUTS, "target_qty_for", **FOREST)
-    return fitted.predict(rows.filter("season >= '2000-01'")).select("event_id", "side", "model_prediction", "target_qty_for")
+    """Rows and what holds for any forest of leaf means: predictions lie within the targets, and beat the mean over the training rows."""
+    rows = batch_scores(spark, root)
+    error = lambda c: F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y")))
+    means = rows.groupBy("market").agg(F.avg("y").alias("mean"), F.count("y").alias("train_rows"), F.min("y").alias("least"), F.max("y").alias("most"))
+    errors = rows.join(means.select("market", "mean"), "market").groupBy("market").agg((error("model_prediction") < error("mean")).alias("better_than_mean"))
+    within = F.col("model_prediction").between(F.col("least"), F.col("most")).alias("within_targets")
+    return rows.join(means, "market").join(errors, "market").select("event_id", "side", "market", F.col("y").alias("target"), "train_rows", within, "better_than_mean")
+
+
+@query("M_03_forest_predictions")
+def forest_predictions(spark, root):
+    return batch_scores(spark, root).select("event_id", "side", "market", F.col("y").alias("target"), "model_prediction")
 
 
 @query(
@@ -242,13 +296,30 @@ def wide_scores(spark, root):
     return md.wide_lines(rows, ["fixture_id", "side"], WIDE_LINES)
 
 
-@query("M_12_batch_scoring")
+def batch_prices(spark, root):
+    rows = batch_scores(spark, root).withColumn("prediction", F.col("ensemble"))
+    return md.over_lines(rows, MARKETS)
+
+
+@query(
+    "M_12_batch_scoring",
+    MARKET_ROWS + f"""SELECT event_id, side, market, count(*) AS n_lines, TRUE AS floored, TRUE AS falling, TRUE AS summing
+    FROM market_rows JOIN (VALUES {LINES}) l(market, line) USING (market) GROUP BY event_id, side, market""",
+)
 def batch(spark, root):
-    rows = wide_features(spark, root)
-    fitted = md.fit_forest(rows.filter("season < '2000-01'"), FOREST_INPUTS, "target_qty_for", **FOREST)
-    scored = fitted.predict(rows.filter("season >= '2000-01'")).withColumn("prediction", md.ensemble(F.col("model_prediction"), md.baseline(MARKETS[0], F.lit(fitted.train_mean)), MARKETS[0].model_weight))
-    scored = scored.withColumn("f", pr.family(F.col("prediction"), F.lit(MARKETS[0].alpha).cast("double")))
-    return scored.select("event_id", "side", "prediction", *[pr.over_probability(F.col("f"), F.lit(x)).alias(f"p_over_{_key(x)}") for x in MARKETS[0].lines])
+    """All stored rows: lines priced, predictions at or above the floor, probabilities that fall with the line and sum to one."""
+    priced = batch_prices(spark, root)
+    ordered = F.array_sort(F.collect_list(F.struct("line", "p_over")))
+    falling = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.element_at("p", i + 1)["p_over"] <= F.element_at("p", i)["p_over"] + 1e-12)
+    rows = priced.groupBy("event_id", "side", "market").agg(
+        F.count("*").alias("n_lines"), F.min(F.col("prediction") >= pr.FLOOR).alias("floored"), ordered.alias("p"), F.min(F.abs(F.col("p_over") + F.col("p_under") - 1) < 1e-12).alias("summing")
+    )
+    return rows.select("event_id", "side", "market", "n_lines", "floored", falling.alias("falling"), "summing")
+
+
+@query("M_12_batch_prices")
+def batch_values(spark, root):
+    return batch_prices(spark, root).select("event_id", "side", "market", "line", "prediction", "p_over", "p_under")
 
 
 @query(
@@ -260,9 +331,30 @@ def walk_forward_baseline(spark, root):
     return md.forecast_errors(forecasts(spark, root), ["season", "market"])
 
 
-@query("M_13_walk_forward_forest")
+#: Largest error of the ensemble on unseen seasons, as a multiple of the baseline's.
+ERROR_BOUND = 1.05
+
+
+@query(
+    "M_13_walk_forward_forest",
+    MARKET_ROWS + """SELECT season, market, count(target) AS n, round(avg(target), 6) AS target_mean, TRUE AS bounded
+    FROM market_rows WHERE season > (SELECT min(season) FROM market_rows) AND target IS NOT NULL GROUP BY season, market""",
+)
 def walk_forward_forest(spark, root):
-    return md.walk_forward(wide_features(spark, root), FOREST_INPUTS, MARKETS[0], ["1999-00", "2000-01"], **FOREST)
+    """Every season with an earlier one and every market: rows judged, and whether the ensemble's error stays near the baseline's or below."""
+    rows = walk_forward_scores(spark, root).filter("y IS NOT NULL")
+    error = lambda c: F.avg(F.abs(F.col(c) - F.col("y")))
+    judged = rows.groupBy("season", "market").agg(F.count("*").alias("n"), F.avg("y").alias("target_mean"), (error("ensemble") <= ERROR_BOUND * error("baseline")).alias("bounded"))
+    return judged
+
+
+@query("M_13_forest_errors")
+def forest_errors(spark, root):
+    """Errors of baseline, forest and ensemble by season and market."""
+    rows = walk_forward_scores(spark, root).withColumn("target", F.col("y"))
+    names = ("baseline", "model_prediction", "ensemble")
+    each = rows.select("season", "market", "target", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("prediction")) for n in names])).alias("m"))
+    return md.forecast_errors(each.select("season", "market", "target", "m.*"), ["season", "market", "model"])
 
 
 @query("M_14_brier", SCORED + "SELECT market, line, count(*) AS n, round(avg(pow(p_over - CASE WHEN target > line THEN 1 ELSE 0 END, 2)), 6) AS brier FROM scored WHERE prediction IS NOT NULL AND target IS NOT NULL GROUP BY market, line")
@@ -284,10 +376,26 @@ def full_seasons(spark, root):
     return md.full_seasons(side_rows(contests(spark, root), METRICS))
 
 
+INPUT_COUNTS = ", ".join(f"('{m.name}', {len(md.market_inputs(m.name))})" for m in MARKETS)
+
+
+@query(
+    "M_17_importance_totals",
+    f"SELECT market, 2 * CAST(n AS BIGINT) AS inputs, 1.0::DOUBLE AS total, 0::BIGINT AS negative, TRUE AS led_by_history FROM (SELECT count(*) AS c FROM sides) CROSS JOIN (VALUES {INPUT_COUNTS}) t(market, n) WHERE c > 0",
+)
+def importance_totals(spark, root):
+    """Importances of a market cover its inputs and their gap marks, add up to one, and lie with the inputs rather than with their gaps."""
+    rows = full_forest(spark, root).importances(spark)
+    gaps = F.sum(F.when(F.col("input").startswith("gap_"), F.col("importance")).otherwise(0.0))
+    return rows.groupBy(F.col("part").alias("market")).agg(
+        F.count("*").alias("inputs"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"), (gaps < 0.5).alias("led_by_history")
+    )
+
+
 @query("M_17_feature_importance")
 def importance(spark, root):
-    fitted = md.fit_forest(wide_features(spark, root), FOREST_INPUTS, "target_qty_for", **FOREST)
-    return fitted.importances(spark)
+    rows = full_forest(spark, root).importances(spark)
+    return rows.select(F.col("part").alias("market"), F.col("input").alias("feature"), "importance").orderBy("market", F.desc("importance"), "feature")
 
 
 @query("M_18_training_metadata", "SELECT round(avg(qty_for), 6) AS train_mean, count(*) AS train_rows, string_agg(DISTINCT season, ',' ORDER BY season) AS seasons FROM sides WHERE qty_for IS NOT NULL")
@@ -372,3 +480,18 @@ def best_window(spark, root):
 )
 def score_checks(spark, root):
     return qa.score_violations(fixture_scores(spark, root))
+
+
+@query(
+    "U_12_planted_faults",
+    FIXTURE_SCORED + """SELECT count(*) AS row_count, count(*) FILTER (fixture_id % 11 = 0) AS bad_prediction, count(*) FILTER (fixture_id % 13 = 0 OR fixture_id % 17 = 0) AS bad_probability,
+    count(*) FILTER (fixture_id % 13 = 0 AND fixture_id % 17 <> 0) AS bad_sum FROM fscored""",
+)
+def planted_scores(spark, root):
+    """The checks on scores with negative predictions, a probability above one and a missing one in them."""
+    hit, rows = (lambda n: F.col("fixture_id") % n == 0), fixture_scores(spark, root)
+    changes = {
+        "prediction": F.when(hit(11), -F.col("prediction") - 1).otherwise(F.col("prediction")),
+        "p_over": F.when(hit(13), 1.5).otherwise(F.col("p_over")), "p_under": F.when(~hit(17), F.col("p_under")),
+    }
+    return qa.score_violations(rows.withColumns(changes))
