@@ -1,6 +1,7 @@
 """Gates, stores, medians, streaks and the registered queries."""
 
 import datetime as dt
+import itertools
 import random
 import statistics
 
@@ -46,6 +47,25 @@ def test_runs_across_days(spark):
     assert got["mean_over"] == pytest.approx(4 / 3) and got["mean_under"] == pytest.approx(2.5)
 
 
+@pytest.mark.parametrize("slices", [None, 1, 7])
+def test_runs_of_one_crowded_day(spark, slices):
+    """One key and one day spread over slices, another key beside it, against a plain walk."""
+    r, rows = random.Random(5), []
+    for k, n in (("k", 400), ("other", 9)):
+        kind = "Over"
+        for i in range(n):
+            kind = kind if r.random() < 0.8 else r.choice(("Over", "Under", "Equal"))
+            rows.append((k, dt.date(2001, 1, 1), i, kind))
+    df = spark.createDataFrame(rows, "k string, event_date date, event_id int, category string").repartition(5)
+    got = {x["k"]: x for x in vw.run_lengths(df, ["k"], ["event_date", "event_id"], slices).collect()}
+    for k in ("k", "other"):
+        runs = [(c, len(list(g))) for c, g in itertools.groupby(x[3] for x in rows if x[0] == k)]
+        over, under = ([n for c, n in runs if c == kind] for kind in ("Over", "Under"))
+        assert (got[k]["longest_over"], got[k]["longest_under"]) == (max(over, default=None), max(under, default=None))
+        assert (got[k]["current_category"], got[k]["current_length"]) == runs[-1]
+        assert got[k]["mean_over"] == (pytest.approx(statistics.mean(over)) if over else None)
+
+
 def test_ranking_without_one_window_per_key(spark):
     r = random.Random(2)
     rows = [(i, "k", r.choice([None, 1, 2, 3])) for i in range(50)]

@@ -153,13 +153,22 @@ def stability(seasonal: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     counted = seasonal.groupBy(*keys, *KEY).agg(
         F.count_if(eligible()).alias("eligible_seasons"), sign(e > 0).alias("positive_seasons"), sign(e < 0).alias("negative_seasons"), sign(e == 0).alias("neutral_seasons")
     )
-    n = F.col("eligible_seasons")
-    direction = (
-        F.when(n == 0, "insufficient").when(F.col("positive_seasons") == n, "up").when(F.col("negative_seasons") == n, "down")
-        .when(F.col("neutral_seasons") == n, "neutral").otherwise("mixed")
+    n, up, down, neutral = (F.col(f"{c}_seasons") for c in ("eligible", "positive", "negative", "neutral"))
+    return counted.withColumns({"direction": _direction(n, up, down, neutral), "direction_consistency": F.try_divide(F.greatest(up, down, neutral), n)})
+
+
+def _direction(n: Column, up: Column, down: Column, neutral: Column) -> Column:
+    return F.when(n == 0, "insufficient").when(up == n, "up").when(down == n, "down").when(neutral == n, "neutral").otherwise("mixed")
+
+
+def _verdict(n: Column, up: Column, down: Column, ok: Column, effect: Column) -> tuple[Column, Column]:
+    """Expected direction from ``n`` earlier eligible seasons, and whether the season's effect met it."""
+    expected = F.when(n >= 2, F.when(up == n, "up").when(down == n, "down").otherwise("mixed"))
+    result = (
+        F.when(n < 2, "not_testable").when(~ok, "pending").when(expected == "mixed", "mixed").when(effect == 0, "neutral")
+        .when((effect > 0) == (expected == "up"), "hit").otherwise("miss")
     )
-    most = F.greatest("positive_seasons", "negative_seasons", "neutral_seasons")
-    return counted.withColumns({"direction": direction, "direction_consistency": F.try_divide(most, n)})
+    return expected, result
 
 
 def walk_forward(seasonal: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -173,12 +182,7 @@ def walk_forward(seasonal: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             "_used": F.collect_list(F.when(eligible(), F.col("season"))).over(w),
         }
     )
-    expected = F.when(F.col("_n") >= 2, F.when(F.col("_up") == F.col("_n"), "up").when(F.col("_down") == F.col("_n"), "down").otherwise("mixed"))
-    agrees = (e > 0) == (expected == "up")
-    result = (
-        F.when(F.col("_n") < 2, "not_testable").when(~eligible(), "pending").when(expected == "mixed", "mixed").when(e == 0, "neutral")
-        .when(agrees, "hit").otherwise("miss")
-    )
+    expected, result = _verdict(F.col("_n"), F.col("_up"), F.col("_down"), eligible(), e)
     return rows.select(
         *keys, *KEY, F.col("season").alias("target_season"), F.col("_used").alias("historical_seasons_used"), F.col("_n").alias("historical_eligible_count"),
         expected.alias("expected_direction"), F.col("n_group").alias("target_n_group"), F.col("n_baseline").alias("target_n_baseline"),
@@ -265,135 +269,144 @@ def match_patterns(contests: DataFrame, sides: DataFrame, fixtures: DataFrame, m
     ``fixtures``: fixture_id, season, event_date, side_a, side_b, official,
     weekday, daypart.  Only earlier calendar days of seasons up to the
     fixture's count, without other rows of the fixture's own identity.
-    History enters as cumulative daily moments looked up as of the fixture
-    day, so the facts are read once however many fixtures there are.
+
+    Seasons that ended before the fixture's day are the same for all fixtures:
+    their effects are computed once for each pattern and kept as one short
+    array.  Only open seasons depend on the day and the pairing: running sums
+    are looked up by (subject, day) and by (subject, pairing, day), and the
+    difference is the history without the fixture's own pairing.  Fixtures join
+    last.
     """
-    entity, official = prepare(contests, sides, metrics)
-    subjects = _subjects(fixtures)
-    parts = []
-    for frame, kind in ((entity, "side"), (official, "official")):
-        wanted = subjects.filter(F.col("kind") == kind)
-        parts.append(_history_moments(frame, contests, wanted, kind, metrics))
-    # Moments and season patterns feed several summaries: written once, read many times.
-    mom = settle(parts[0].unionByName(parts[1]), "fixture-moments")
-    fid = ["fixture_id"]
-    context = fixtures.select("fixture_id", F.col("season").alias("_season"), F.col("weekday").alias("_weekday"), F.col("daypart").alias("_daypart"))
-    relevant = settle(_relevant_patterns(mom.join(context, "fixture_id"), metrics), "fixture-patterns")
-    seasonal = relevant.drop("_season")
-    validation = walk_forward(seasonal, fid)
-    keys = [*fid, *KEY]
-    year, target = season_start(F.col("season")), season_start(F.col("_season"))
-    ok = eligible()
-    current = F.col("season") == F.col("_season")
-    effect_row = F.struct("season", "n_group", "n_baseline", "effect", "shrunk_effect", "sample_class")
-    per_key = relevant.groupBy(*keys, "_season").agg(
-        F.count_if(ok & (year < target)).alias("historical_eligible_seasons"),
-        F.max(F.when(current, F.struct("n_group", "n_baseline", "sample_class", ok.alias("ok")))).alias("_cur"),
-        F.abs(F.max_by("shrunk_effect", F.when(ok & F.col("shrunk_effect").isNotNull(), year))).alias("ranking_effect"),
-        F.max(F.when(ok & F.col("shrunk_effect").isNotNull(), year)).alias("_latest"),
-        F.sort_array(F.collect_list(effect_row)).alias("season_effects"),  # one entry per season
-    )
-    history = validation.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("target_season", "expected_direction", "validation_result"))).alias("oos_history")  # one entry per season
-    )
-    known = _current_baseline(mom, context, metrics)
-    joined = (
-        per_key.join(stability(seasonal, fid), keys).join(oos_summary(validation, fid), keys).join(history, keys)
-        .withColumn("_factor", F.when(F.col("weekday") != "", "weekday").otherwise("daypart"))
-        .join(known, ["fixture_id", "pattern_type", "entity", "venue", "metric"], "left")
-    )
-    level, reason = evidence(
-        F.col("direction"), F.col("historical_eligible_seasons"), F.col("oos_tests"), F.col("oos_hits"), F.col("oos_misses"), F.col("oos_neutral")
-    )
-    out = joined.select(
-        *keys, F.when(F.col("pattern_type").startswith("official"), "official").when(F.col("venue") == "H", "home").otherwise("away").alias("role"),
-        "direction", "direction_consistency", "eligible_seasons", "historical_eligible_seasons", "season_effects",
-        F.col("_season").alias("current_season"),
-        F.when(F.col("_cur.ok"), "eligible").otherwise("pending").alias("current_status"),
-        F.coalesce(F.col("_cur.sample_class"), F.lit("insufficient")).alias("current_sample_class"),
-        F.coalesce(F.col("_cur.n_group"), F.lit(0)).alias("current_n_group"),
-        F.coalesce(F.col("_cur.n_baseline"), F.col("_known_n"), F.lit(0)).alias("current_n_baseline"),
-        "oos_tests", "oos_hits", "oos_misses", "oos_neutral", "oos_hit_rate", "oos_history",
-        level.alias("evidence_level"), reason.alias("evidence_reason"),
-        F.when(F.col("_latest").isNotNull(), F.col("ranking_effect")).alias("ranking_effect"),
-    )
-    return ranked(out, fid)
+    daily = settle(_pairing_days(contests, sides, metrics), "pairing-days")
+    # One row for each season: its label, first year and last day.
+    ends = [(r["season"], r["last"]) for r in daily.groupBy("season").agg(F.max("event_date").alias("last")).collect()]
+    now = _open_effects(daily, fixtures, ends, metrics)
+    past = _past_effects(daily, metrics)
+    earlier = F.filter("past", lambda e: (e["year"] < season_start(F.col("f_season"))) & (e["last"] < F.col("f_date")))
+    own = F.transform(F.coalesce(earlier, F.array()), lambda e: F.struct(*[e[c] for c in SEASON_EFFECT]))
+    joined = now.join(past, KEY, "left").withColumn("seasons", F.sort_array(F.concat(own, F.col("open"))))
+    joined = settle(joined.filter(F.size("seasons") > 0).drop("past", "open"), "fixture-patterns")
+    return ranked(_summarised(joined), ["fixture_id"])
 
 
-def _relevant_patterns(mom: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Season patterns of each fixture's own weekday and daypart only.
+#: What is kept of a season's effect; arrays of it sort by year.
+SEASON_EFFECT = ("year", "season", "n_group", "n_baseline", "effect", "shrunk_effect", "sample_class")
 
-    Group and complement are conditional sums over the fixture's cells, so the
-    cells are reduced before factors and metrics multiply them.
-    """
-    factors = ("weekday", "daypart")
-    sums = [F.expr(f"sum(IF({f} = _{f}, rows, 0)) AS _seen_{f}") for f in factors]
-    for f in factors:
-        for m in metrics:
-            for c in "nsq":
-                sums.append(F.expr(f"sum(IF({f} = _{f}, {c}_{m}, 0)) AS g_{f}_{c}_{m}"))
-                sums.append(F.expr(f"sum(IF({f} <> _{f}, {c}_{m}, 0)) AS b_{f}_{c}_{m}"))
-    wide = mom.groupBy("fixture_id", "_season", "_weekday", "_daypart", "kind", "season", "entity", "venue").agg(F.sum("rows").alias("_rows"), *sums)
-    cell = lambda f, m: "struct({})".format(
-        ", ".join([f"'{f}' AS factor", f"_{f} AS category", f"'{m}' AS metric", f"_seen_{f} AS seen"] + [f"{p}_{f}_{c}_{m} AS {c}{p}" for p in "gb" for c in "nsq"])
-    )
-    cells = wide.selectExpr(
-        "fixture_id", "_season", "kind", "season", "entity", "venue", "_rows", f"explode(array({', '.join(cell(f, m) for f in factors for m in metrics)})) AS c"
-    ).select("fixture_id", "_season", "kind", "season", "entity", "venue", "_rows", "c.*")
-    return _effects(cells.filter("seen > 0"), ["fixture_id", "_season"])
+
+def _pairing_days(contests: DataFrame, sides: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Moments by kind, season, entity, venue, pairing, day and daypart."""
+    pairs = contests.select("event_id", F.col("side_a").alias("_a"), F.col("side_b").alias("_b"))
+    parts = [moments(f.join(pairs, "event_id"), k, metrics, ["event_date", "_a", "_b"]) for f, k in zip(prepare(contests, sides, metrics), ("side", "official"))]
+    return parts[0].unionByName(parts[1])
 
 
-def _subjects(fixtures: DataFrame) -> DataFrame:
-    """(fixture, entity, venue, kind): the A side at home, the B side away, the official anywhere."""
+def _measures(metrics: Sequence[str]) -> list[str]:
+    return ["rows", *[f"{p}_{m}" for m in metrics for p in "nsq"]]
+
+
+def _past_effects(daily: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """(KEY, past): the effects of a pattern in every season, with the season's last day; one entry a season."""
+    mom = daily.groupBy("kind", "season", "entity", "venue", "weekday", "daypart").agg(*[F.sum(c).alias(c) for c in _measures(metrics)])
+    last = daily.groupBy("season").agg(F.max("event_date").alias("last"))
+    rows = season_patterns(mom, metrics).withColumn("year", season_start(F.col("season"))).join(last, "season")
+    return rows.groupBy(*KEY).agg(F.collect_list(F.struct(*SEASON_EFFECT, "last")).alias("past"))
+
+
+def _wanted(fixtures: DataFrame) -> DataFrame:
+    """(fixture, kind, entity, venue, factor, category): the A side at home, the B side away, the official anywhere, on the fixture's weekday and daypart."""
     subject = lambda e, v, k: F.struct(F.col(e).alias("entity"), F.lit(v).alias("venue"), F.lit(k).alias("kind"))
-    return fixtures.select(
-        "fixture_id", F.col("season").alias("f_season"), F.col("event_date").alias("f_date"), "side_a", "side_b",
-        F.explode(F.array(subject("side_a", "H", "side"), subject("side_b", "A", "side"), subject("official", "", "official"))).alias("s"),
-    ).select("fixture_id", "f_season", "f_date", "side_a", "side_b", "s.*").filter("entity IS NOT NULL")
-
-
-def _history_moments(frame: DataFrame, contests: DataFrame, subjects: DataFrame, kind: str, metrics: Sequence[str]) -> DataFrame:
-    """Moments per fixture, season and category from strictly earlier days."""
-    measures = ["rows", *[f"{p}_{m}" for m in metrics for p in "nsq"]]
-    cell = ["entity", "venue", "season", "weekday", "daypart"]
-    # Unknown weekdays or clocks are a category of their own until the factors split.
-    named = frame.withColumns({"weekday": F.coalesce("weekday", F.lit("?")), "daypart": F.coalesce("daypart", F.lit("?"))})
-    daily = moments(named, kind, metrics, ["event_date"]).drop("kind")
+    factor = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("category")) for f in ("weekday", "daypart")])
+    rows = fixtures.select(
+        "fixture_id", F.col("season").alias("f_season"), F.col("event_date").alias("f_date"), F.col("side_a").alias("_a"), F.col("side_b").alias("_b"),
+        F.explode(F.array(subject("side_a", "H", "side"), subject("side_b", "A", "side"), subject("official", "", "official"))).alias("s"), factor.alias("f"),
+    ).select("fixture_id", "f_season", "f_date", "_a", "_b", "s.*", F.explode("f").alias("f"))
+    return rows.select("*", "f.*").drop("f").filter("entity IS NOT NULL AND category IS NOT NULL")
+
+
+#: Stands for any category of a factor, and for any pairing.
+ANY = "*"
+
+
+def _open_effects(daily: DataFrame, fixtures: DataFrame, ends: Sequence[tuple], metrics: Sequence[str]) -> DataFrame:
+    """(fixture_id, KEY, f_season, f_date, open, known): effects in the seasons that had not ended, and known rows of the fixture's season outside the category."""
+    measures = _measures(metrics)
+    seasons = F.array(*[F.struct(F.lit(s).alias("season"), season_start(F.lit(s)).alias("year"), F.lit(d).alias("last")) for s, d in ends])
+    year = season_start(F.col("f_season"))
+    is_open = lambda s: (s["year"] <= year) & ((s["year"] == year) | (s["last"] >= F.col("f_date")))
+    wanted = _wanted(fixtures)
+    asked = wanted.withColumn("season", F.explode_outer(F.transform(F.filter(seasons, is_open), lambda s: s["season"]) if ends else F.array().cast("array<string>")))
+    asked = settle(asked, "asked-seasons")
+    # Running sums by category and over all known ones, of the subject and of each of its pairings.
+    factors = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("category")) for f in ("weekday", "daypart")])
+    tall = daily.join(asked.select("season").distinct(), "season", "left_semi").withColumn("f", F.explode(factors)).filter("f.category IS NOT NULL")
+    tall = tall.withColumn("category", F.explode(F.array(F.col("f.category"), F.lit(ANY))))
+    tall = tall.withColumn("p", F.explode(F.array(F.struct("_a", "_b"), F.struct(F.lit(ANY).alias("_a"), F.lit(ANY).alias("_b")))))
+    cell = ["kind", "entity", "venue", "season", "factor", "category", "_a", "_b"]
+    days = tall.select("kind", "entity", "venue", "season", "f.factor", "category", "p._a", "p._b", "event_date", *measures).groupBy(*cell, "event_date").agg(*[F.sum(c).alias(c) for c in measures])
     run = Window.partitionBy(*cell).orderBy("event_date").rowsBetween(Window.unboundedPreceding, 0)
-    states = daily.select(*cell, "event_date", *[F.sum(c).over(run).alias(c) for c in measures])
-    cells = daily.select(*cell).distinct()
-    # Every subject asks for each of its entity's categories: a fixed number of cells per season.
-    asked = subjects.select("entity", "venue", "f_date").distinct().join(cells, ["entity", "venue"])
-    known = asof(asked, states, cell, "f_date").filter("rows IS NOT NULL")
-    found = subjects.join(known, ["entity", "venue", "f_date"]).filter(season_start(F.col("season")) <= season_start(F.col("f_season")))
-    own = _own_identity(named, contests, subjects, kind, metrics, measures, cell)
-    left = found.join(own, ["fixture_id", "kind", *cell], "left")
-    reduced = left.select(
-        "fixture_id", "kind", *cell, *[(F.col(c) - F.coalesce(F.col(f"_own_{c}"), F.lit(0))).alias(c) for c in measures]
-    ).filter("rows > 0")
-    real = lambda c: F.when(F.col(c) != "?", F.col(c))
-    return reduced.withColumns({"weekday": real("weekday"), "daypart": real("daypart")})
-
-
-def _own_identity(named: DataFrame, contests: DataFrame, subjects: DataFrame, kind: str, metrics, measures, cell) -> DataFrame:
-    """Moments of earlier rows that carry the fixture's own identity; they must not count."""
-    pairs = contests.select("event_id", F.col("side_a").alias("_a"), F.col("side_b").alias("_b"))
-    rows = named.join(pairs, "event_id")
-    daily = moments(rows, kind, metrics, ["event_date", "_a", "_b"]).drop("kind")
-    match = subjects.withColumnsRenamed({"side_a": "_a", "side_b": "_b", "f_season": "season"})
-    hit = match.join(daily, ["entity", "venue", "season", "_a", "_b"]).filter("event_date < f_date")
-    return hit.groupBy("fixture_id", "kind", *cell).agg(*[F.sum(c).alias(f"_own_{c}") for c in measures])
-
-
-def _current_baseline(mom: DataFrame, context: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Known observations of the fixture's season per factor and metric, for categories not seen in it yet."""
-    now = mom.join(context.select("fixture_id", F.col("_season").alias("season")), ["fixture_id", "season"])
-    factor = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).isNotNull().alias("known")) for f in ("weekday", "daypart")])).alias("z")
-    metric = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("n")) for m in metrics])).alias("y")
-    rows = now.select("fixture_id", "kind", "entity", "venue", *[f"n_{m}" for m in metrics], factor).filter("z.known")
-    return rows.select("fixture_id", F.concat_ws("_", "kind", "z.f").alias("pattern_type"), "entity", "venue", metric).groupBy(
-        "fixture_id", "pattern_type", "entity", "venue", "y.metric"
-    ).agg(F.sum("y.n").alias("_known_n"))
+    states = days.select(*cell, "event_date", *[F.sum(c).over(run).alias(c) for c in measures])
+    current = F.col("season") == F.col("f_season")
+    look = lambda category, a, b, group, sign: F.struct(category.alias("category"), a.alias("_a"), b.alias("_b"), F.lit(group).alias("group"), F.lit(sign).alias("sign"))
+    own, every = F.col("category"), F.lit(ANY)
+    all_rows = [look(own, every, every, True, 1), look(every, every, every, False, 1)]
+    own_rows = [look(own, F.col("_a"), F.col("_b"), True, -1), look(every, F.col("_a"), F.col("_b"), False, -1)]
+    probes = asked.withColumn("l", F.explode(F.when(current, F.array(*all_rows, *own_rows)).otherwise(F.array(*all_rows))))
+    ident = ["fixture_id", "f_season", "kind", "entity", "venue", "factor"]
+    probes = probes.select(*ident, "season", "f_date", F.col("category").alias("own_category"), "l.*")
+    found = asof(probes, states, cell, "f_date")
+    total = lambda c, g: F.coalesce(F.sum(F.when(F.col("group") == g, F.col(c) * F.col("sign"))), F.lit(0)).alias(f"{'g' if g else 'a'}_{c}")
+    wide = found.groupBy(*ident, "f_date", "season", F.col("own_category").alias("category")).agg(*[total(c, g) for c in measures for g in (True, False)])
+    packed = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"g_{c}_{m}").alias(f"{c}g") for c in "nsq"], *[(F.col(f"a_{c}_{m}") - F.col(f"g_{c}_{m}")).alias(f"{c}b") for c in "nsq"]) for m in metrics])
+    cells = wide.select(*ident, "f_date", "season", "category", F.col("a_rows").alias("_rows"), F.col("g_rows").alias("seen"), F.explode(packed).alias("m")).select("*", "m.*").drop("m")
+    rows = _effects(cells, ["fixture_id", "f_season", "f_date", "seen"]).withColumn("year", F.when(F.col("season").isNotNull(), season_start(F.col("season"))))
+    return rows.groupBy("fixture_id", "f_season", "f_date", *KEY).agg(
+        F.collect_list(F.when(F.col("seen") > 0, F.struct(*SEASON_EFFECT))).alias("open"), F.max(F.when(current, F.col("n_baseline"))).alias("known")
+    )
+
+
+def _summarised(rows: DataFrame) -> DataFrame:
+    """Stability, walk-forward tests and the current season of every pattern of a fixture, from its array of seasons."""
+    ok = lambda e: (e["n_group"] >= LEAST) & (e["n_baseline"] > 0) & e["effect"].isNotNull()
+    year = season_start(F.col("f_season"))
+    count = lambda a, cond: F.size(F.filter(a, cond))
+    up, down, even = lambda e: e["effect"] > 0, lambda e: e["effect"] < 0, lambda e: e["effect"] == 0
+
+    def tested(e: Column, i: Column) -> Column:
+        before = F.filter(F.slice("seasons", F.lit(1), i), ok)
+        expected, result = _verdict(F.size(before), count(before, up), count(before, down), ok(e), e["effect"])
+        return F.struct(e["season"].alias("target_season"), expected.alias("expected_direction"), result.alias("validation_result"))
+
+    rows = rows.withColumns(
+        {
+            "good": F.filter("seasons", ok), "tests": F.transform("seasons", tested),
+            "cur": F.get(F.filter("seasons", lambda e: e["season"] == F.col("f_season")), F.lit(0)),
+        }
+    )
+    n, ups, downs, evens = F.size("good"), count("good", up), count("good", down), count("good", even)
+    in_test = lambda r: count("tests", lambda t: t["expected_direction"].isin("up", "down") & (t["validation_result"] == r))
+    rows = rows.withColumns(
+        {
+            "eligible_seasons": n, "direction": _direction(n, ups, downs, evens), "direction_consistency": F.try_divide(F.greatest(ups, downs, evens), n),
+            "historical_eligible_seasons": count("good", lambda e: e["year"] < year),
+            "oos_hits": in_test("hit"), "oos_misses": in_test("miss"), "oos_neutral": in_test("neutral"),
+            "latest": F.try_element_at(F.filter("good", lambda e: e["shrunk_effect"].isNotNull()), F.lit(-1)),
+        }
+    ).withColumn("oos_tests", F.col("oos_hits") + F.col("oos_misses") + F.col("oos_neutral"))
+    level, reason = evidence(
+        F.col("direction"), F.col("historical_eligible_seasons"), F.col("oos_tests"), F.col("oos_hits"), F.col("oos_misses"), F.col("oos_neutral")
+    )
+    effect_row = lambda e: F.struct(*[e[c] for c in SEASON_EFFECT[1:]])
+    return rows.select(
+        "fixture_id", *KEY, F.when(F.col("pattern_type").startswith("official"), "official").when(F.col("venue") == "H", "home").otherwise("away").alias("role"),
+        "direction", "direction_consistency", "eligible_seasons", "historical_eligible_seasons", F.sort_array(F.transform("seasons", effect_row)).alias("season_effects"),
+        F.col("f_season").alias("current_season"),
+        F.when(ok(F.col("cur")), "eligible").otherwise("pending").alias("current_status"),
+        F.coalesce(F.col("cur.sample_class"), F.lit("insufficient")).alias("current_sample_class"),
+        F.coalesce(F.col("cur.n_group"), F.lit(0)).alias("current_n_group"),
+        F.coalesce(F.col("cur.n_baseline"), F.col("known"), F.lit(0)).alias("current_n_baseline"),
+        "oos_tests", "oos_hits", "oos_misses", "oos_neutral", F.try_divide("oos_hits", "oos_tests").alias("oos_hit_rate"), F.sort_array("tests").alias("oos_history"),
+        level.alias("evidence_level"), reason.alias("evidence_reason"), F.abs("latest.shrunk_effect").alias("ranking_effect"),
+    )
 
 
 def sections(patterns: DataFrame) -> DataFrame:

@@ -124,14 +124,17 @@ def classed_history(rows: DataFrame, keys: Sequence[str], value: str) -> DataFra
     return x.join(mean, list(keys)).withColumns({"difference": F.col("value") - F.col("mean"), "category": kind})
 
 
-def run_lengths(classed: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def run_lengths(classed: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
     """Longest and mean run of Over and Under, and the current run, per key.
 
-    Runs are first built inside each (key, day); only their ends meet in the
-    window over a key's days, which the calendar bounds.
+    Rows are dealt into ranges of (key, order), so a key or a day of any size
+    is spread over slices. Runs are built inside each (key, slice); runs that
+    touch a slice's edge, two at most, meet in the window over a key's slices.
     """
-    day, *within = order
-    # Runs inside one day.
+    day, within = "_slice", list(order)
+    ranges = [slices] if slices else []
+    classed = classed.select(*keys, *order, "category").repartitionByRange(*ranges, *keys, *order).withColumn(day, F.spark_partition_id())
+    # Runs inside one slice.
     inside = Window.partitionBy(*keys, day).orderBy(*within)
     by_class = Window.partitionBy(*keys, day, "category").orderBy(*within)
     island = F.row_number().over(inside) - F.row_number().over(by_class)
@@ -143,7 +146,7 @@ def run_lengths(classed: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     ends = Window.partitionBy(*keys, day)
     edged = parts.withColumns({"_head": F.col("_first") == F.min("_first").over(ends), "_tail": F.col("_last") == F.max("_last").over(ends)})
     closed = edged.filter("NOT _head AND NOT _tail")
-    # Runs touching a day's edge may go on across days: at most two per day.
+    # Runs touching a slice's edge may go on across slices.
     edge = edged.filter("_head OR _tail")
     w = Window.partitionBy(*keys).orderBy(day, "_first")
     previous = F.lag(F.struct("category", day, "_tail")).over(w)

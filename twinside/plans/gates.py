@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from twinside.operators import features as ft, joins as jn, quality as qa
@@ -424,6 +426,36 @@ def rollback(spark, root):
     return qa.rollback_guard(c, c.filter("side_a = side_b"))
 
 
+@query(
+    "U_13_planted_blanks",
+    """SELECT 'side_a' AS column_name, count(*) FILTER (event_id % 9 = 0 OR event_id % 10 = 0) AS blanks FROM contests UNION ALL SELECT 'official', count(*) FILTER (official IS NULL OR event_id % 7 = 0) FROM contests
+    UNION ALL SELECT 'event_id', count(*) FILTER (event_id % 23 = 0) FROM contests""",
+)
+def planted_blanks(spark, root):
+    """Blank identities with empty names, names of blanks and missing ids in the table."""
+    hit, c = (lambda n: F.col("event_id") % n == 0), contests(spark, root)
+    changes = {
+        "side_a": F.when(hit(9), "").when(hit(10), "  ").otherwise(F.col("side_a")), "official": F.when(~hit(7), F.col("official")),
+        "event_id": F.when(~hit(23), F.col("event_id")),
+    }
+    return qa.blank_identities(c.withColumns(changes), ["side_a", "official", "event_id"])
+
+
+@query(
+    "U_15_guarded_copies",
+    """, n AS (SELECT count(*) AS whole, count(*) FILTER (event_id % 2 = 0) AS half FROM contests)
+    SELECT 'same' AS remote, whole AS local_rows, whole AS remote_rows, FALSE AS rollback FROM n UNION ALL SELECT 'half', whole, half, FALSE FROM n
+    UNION ALL SELECT 'empty', whole, 0, whole > 0 FROM n UNION ALL SELECT 'both empty', 0, 0, FALSE FROM n""",
+)
+def guarded_copies(spark, root):
+    """The guard on a copy that is whole, a part, empty, and on two empty ones."""
+    c = contests(spark, root)
+    none = c.filter("side_a = side_b")
+    cases = {"same": (c, c), "half": (c, c.filter("event_id % 2 = 0")), "empty": (c, none), "both empty": (none, none)}
+    parts = [qa.rollback_guard(a, b).select(F.lit(n).alias("remote"), "*") for n, (a, b) in cases.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
 @query("U_16_pair_keys", "SELECT DISTINCT season, side_a, side_b FROM contests")
 def pair_keys(spark, root):
     return contests(spark, root).select("season", "side_a", "side_b").distinct()

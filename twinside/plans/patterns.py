@@ -286,13 +286,21 @@ def agreement(spark, root):
 
 @query(
     "T_05_evidence_ranking",
-    SEASONAL + summaries() + f""", x AS (SELECT {KEY}, eligible_seasons, oos_tests FROM stability JOIN oos USING ({KEY}))
-    SELECT *, row_number() OVER (PARTITION BY pattern_type, entity ORDER BY oos_tests DESC, eligible_seasons DESC, venue, weekday, daypart, metric) AS place FROM x""",
+    SEASONAL + summaries() + f""", latest AS (SELECT {KEY}, abs(arg_max(shrunk_effect, y)) AS ranking_effect FROM pats WHERE ok GROUP BY {KEY}),
+    x AS (SELECT {KEY}, eligible_seasons, oos_tests, direction_consistency, round(ranking_effect, 9) AS ranking_effect,
+      CASE WHEN direction = 'mixed' THEN 'mixed' WHEN direction IN ('up', 'down') AND oos_tests > 0 AND oos_hits = oos_tests AND eligible_seasons >= 3 AND oos_tests >= 2 THEN 'strong_candidate'
+        WHEN direction IN ('up', 'down') AND oos_tests > 0 AND oos_hits = oos_tests AND eligible_seasons >= 2 THEN 'supported' ELSE 'weak' END AS evidence_level
+      FROM stability JOIN oos USING ({KEY}) LEFT JOIN latest USING ({KEY}))
+    SELECT {KEY}, evidence_level, oos_tests, eligible_seasons, round(direction_consistency, 6) AS direction_consistency, round(ranking_effect, 6) AS ranking_effect,
+      row_number() OVER (PARTITION BY pattern_type, entity ORDER BY CASE evidence_level WHEN 'strong_candidate' THEN 1 WHEN 'supported' THEN 2 WHEN 'mixed' THEN 3 ELSE 4 END,
+        oos_tests DESC, eligible_seasons DESC, direction_consistency DESC NULLS LAST, ranking_effect DESC NULLS LAST, {KEY}) AS place FROM x""",
 )
 def evidence_ranking(spark, root):
-    from pyspark.sql import Window
-
+    """Patterns of each entity by evidence level, then the five measures, then their key."""
     got = tables(spark, root)
-    rows = got["stability"].join(got["oos"], pt.KEY).select(*pt.KEY, "eligible_seasons", "oos_tests")
-    w = Window.partitionBy("pattern_type", "entity").orderBy(F.desc("oos_tests"), F.desc("eligible_seasons"), "venue", "weekday", "daypart", "metric")
-    return rows.withColumn("place", F.row_number().over(w))
+    effects = got["seasonal"].filter(pt.eligible()).groupBy(*pt.KEY).agg(F.abs(F.max_by("shrunk_effect", "season")).alias("ranking_effect"))
+    rows = got["stability"].join(got["oos"], pt.KEY).join(effects, pt.KEY, "left")
+    level, _ = pt.evidence(*[F.col(c) for c in ("direction", "eligible_seasons", "oos_tests", "oos_hits", "oos_misses", "oos_neutral")])
+    rows = rows.withColumns({"evidence_level": level, "ranking_effect": F.round("ranking_effect", 9)})
+    found = pt.ranked(rows, ["pattern_type", "entity"])
+    return found.select(*pt.KEY, "evidence_level", "oos_tests", "eligible_seasons", "direction_consistency", "ranking_effect", "place")

@@ -218,6 +218,17 @@ def latest_checks(spark, root):
     return vw.standings_violations(places(spark, root))
 
 
+@query(
+    "A_28_planted_faults",
+    PLACES + """SELECT season, count(*) FILTER (position <= 2) AS repeated_sides, count(*) FILTER (position <= 2) + greatest(count(*) FILTER (position IN (3, 5)) - 1, 0) AS repeated_positions,
+    count(*) FILTER (position IN (3, 5)) AS bad_positions FROM tab GROUP BY season""",
+)
+def planted_standings(spark, root):
+    """The checks on standings that hold the first two sides twice, and the third and fifth at position zero."""
+    rows = places(spark, root).select("season", "side", F.col("position").cast("bigint").alias("position"))
+    return vw.standings_violations(rows.unionByName(rows.filter("position <= 2")).withColumn("position", F.when(F.col("position").isin(3, 5), 0).otherwise(F.col("position"))))
+
+
 CLASSED = """, m AS (SELECT season, side, avg(qty_for) AS mean FROM sides GROUP BY season, side),
     cl AS (SELECT s.season, s.side, s.event_id, s.event_date, s.qty_for AS value, mean, s.qty_for - mean AS difference,
       CASE WHEN s.qty_for > mean THEN 'Over' WHEN s.qty_for < mean THEN 'Under' ELSE 'Equal' END AS category FROM sides s JOIN m USING (season, side) WHERE s.qty_for IS NOT NULL)
