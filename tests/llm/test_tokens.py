@@ -22,9 +22,7 @@ JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +64,13 @@ def test_token_files_of_an_empty_table_and_of_trained_samples(spark, library):
         list(token_files.frames_of([(0, "another", 2, 0, [1], [0, 1], b"x")], raw))
 
 
+def test_added_tokens_are_the_library_s(library):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "<|endoftext |> no", prose(30) + " <|endoftext|>\n" + prose(30, 1)]
+    got = token_files.WordIds(JSON).serialised(texts)
+    assert [np.frombuffer(b, "<u2").tolist() for b in got] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_words_are_forgotten_without_harm(library):
     texts = [prose(40, k) for k in range(60)]
     small = token_files.WordIds(JSON, held=50)

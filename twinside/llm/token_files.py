@@ -15,7 +15,7 @@ import hashlib
 import os
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark import SparkFiles, TaskContext
@@ -41,22 +41,20 @@ SHOWN = {b: 256 + k for k, b in enumerate(HIDDEN)}
 BLANK = chr(SHOWN[32])
 
 
-class Kept:
-    """A map of two generations: when the new one is full it becomes the old one, and what is asked for moves over."""
+class Kept(dict):
+    """Words and their ids, in two generations: when the new one is full it becomes the old one, and what is asked for moves over."""
 
-    def __init__(self, held: int):
-        self.held, self.new, self.old = held, {}, {}
+    def __init__(self, held: int, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.held, self.learn, self.old = held, learn, {}
 
-    def turn(self) -> None:
-        if len(self.new) > self.held:
-            self.old, self.new = self.new, {}
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """The keys that neither generation has; the others are in ``new`` afterwards."""
-        lack = keys.difference(self.new)
-        again = {k for k in lack if k in self.old}
-        self.new.update(zip(again, map(self.old.__getitem__, again)))
-        return lack - again
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.held:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(word)
+        self[word] = ids = self.learn(word) if ids is None else ids
+        return ids
 
 
 class WordIds:
@@ -67,68 +65,54 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Added tokens match anywhere in a text, so texts that hold one are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.id_bytes}"
-        self.heads, self.words = Kept(held // 8), Kept(held)
+        self.kind, self.code = f"<u{self.id_bytes}", "H" if self.id_bytes == 2 else "I"
+        self.heads, self.words = Kept(max(1, held // 8), self.head), Kept(held, self.word)
         self.end = np.array([END_ID], self.kind).tobytes()
-        self.line_break, *self.marks = self.encoded(["\n", *MARKS])
-        self.marks = dict(zip(MARKS, self.marks))
-        self.model = self.tokenizer.model
+        self.line_break, *marks = self.encoded(["\n", *MARKS])
+        self.marks = dict(zip(MARKS, marks))
+        self.merge = self.tokenizer.model.tokenize
         self.direct = self.merges_alone()
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encoded_letters(self, words: list[str], before: str = BLANK) -> list[bytes]:
-        """Words of letters only, each with a blank before it or none: one match of the pattern, so the merges alone are asked for."""
-        merge, kind = self.model.tokenize, "H" if self.id_bytes == 2 else "I"
-        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(SHOWN) for w in words)
-        return [array(kind, [t.id for t in merge(before + w)]).tobytes() for w in shown]
+    def letters(self, word: str, before: str) -> bytes:
+        """A word of letters only, with a blank before it or none: one match of the pattern, so the merges alone are asked for."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+        return array(self.code, [t.id for t in self.merge(before + shown)]).tobytes()
 
     def merges_alone(self) -> bool:
         """Whether the vocabulary treats a blank and letters as the byte-level ones do."""
         probe = ["the", "na\u00efve", "\u00df", "\u043c\u0438\u0440", "\u6f22"]
-        return self.encoded_letters(probe) == self.encoded([" " + w for w in probe]) and self.encoded_letters(probe, "") == self.encoded(probe)
-
-    def learn(self, words: set[str]) -> None:
-        """Have the ids of words that follow a blank; a mark after a letter is a token of its own pattern match."""
-        new, cut, stems = self.words.new, [], set()
-        for w in words:
-            if w[-1] in MARKS and w[-2:-1].isalpha():
-                cut.append(w)
-                stems.add(w[:-1])
-            else:
-                stems.add(w)
-        lack = self.words.missing(stems)
-        letters = [w for w in lack if w.isalpha()] if self.direct else []
-        new.update(zip(letters, self.encoded_letters(letters)))
-        rest = list(lack.difference(letters))
-        new.update(zip(rest, self.encoded([" " + w for w in rest])))
-        for w in cut:
-            new[w] = new[w[:-1]] + self.marks[w[-1]]
+        return all(
+            [self.letters(w, before) for w in probe] == self.encoded([blank + w for w in probe]) for before, blank in ((BLANK, " "), ("", ""))
+        )
+
+    def head(self, word: str) -> bytes:
+        """Ids of the first word of a line."""
+        return self.letters(word, "") if self.direct and word.isalpha() else self.encoded([word])[0]
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word that follows a blank; a mark after a letter is a token of its own pattern match."""
+        if word[-1] in MARKS and word[-2:-1].isalpha():
+            return self.words[word[:-1]] + self.marks[word[-1]]
+        return self.letters(word, BLANK) if self.direct and word.isalpha() else self.encoded([" " + word])[0]
+
+    def text(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self.encoded([text])[0]
+        lines = even_lines(text)
+        if lines:
+            head, word = self.heads.__getitem__, self.words.__getitem__
+            return self.line_break.join([head(ws[0]) + b"".join(map(word, ws[1:])) for ws in lines])
+        return b"".join(self.encoded(BEFORE_BLANK.split(text))) if text else b""
 
     def serialised(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text with the end id."""
-        self.heads.turn()
-        self.words.turn()
-        split = [even_lines(t) for t in texts]
-        even = [ws for lines in split if lines for ws in lines]
-        if heads := self.heads.missing({ws[0] for ws in even}):
-            letters = [w for w in heads if w.isalpha()] if self.direct else []
-            rest = list(heads.difference(letters))
-            self.heads.new.update(zip(letters, self.encoded_letters(letters, "")))
-            self.heads.new.update(zip(rest, self.encoded(rest)))
-        if lack := self.words.missing(set().union(*even)):
-            self.learn(lack)
-        head, word = self.heads.new.__getitem__, self.words.new.__getitem__
-        out = []
-        for text, lines in zip(texts, split):
-            if lines:
-                out.append(self.line_break.join([head(ws[0]) + b"".join(map(word, ws[1:])) for ws in lines]) + self.end)
-            else:
-                out.append(b"".join(self.encoded(BEFORE_BLANK.split(text))) + self.end if text else self.end)
-        return out
+        return [self.text(t) + self.end for t in texts]
 
 
 _WORKERS: dict[str, WordIds] = {}
