@@ -78,3 +78,27 @@ def test_season_completeness_by_counts(spark):
     assert season_completeness(frame(full)).first()["complete"]
     assert not season_completeness(frame(full[1:])).first()["complete"]
     assert not season_completeness(frame(full + full[:1])).first()["complete"]
+
+
+def test_equal_copies_are_not_joined(spark, monkeypatch):
+    """Copies in another order are compared by digests alone; of a changed copy only the changed buckets meet."""
+    columns = ["result", "p_over", "stake"]
+    rows = [(f"id{k}", None if k % 3 else "WIN", k / 7, k) for k in range(500)]
+    frame = lambda data: spark.createDataFrame(data, "prediction_id string, result string, p_over double, stake int")
+    left, met, real = frame(rows), [], lg._fields_equal
+
+    def spy(a, b, key, names):
+        met.append((a.count(), b.count()))
+        return real(a, b, key, names)
+
+    monkeypatch.setattr(lg, "_fields_equal", spy)
+    same = frame([(i, r or "", p, s) for i, r, p, s in reversed(rows)]).repartition(7)
+    got = lg.rows_equal(left, same, "prediction_id", columns).collect()
+    assert len(got) == 500 and all(r["same"] for r in got) and not met
+    assert lg.unchanged(left, same, ["prediction_id", *columns]).first()["unchanged"]
+    changed = [*rows[:10], ("id10", "LOSS", 10 / 7, 10), ("id11", None, 11 / 7 * (1 + 2**-52), 11), *rows[13:], ("new", None, 0.5, 1)]
+    got = {r["prediction_id"]: r["same"] for r in lg.rows_equal(left, frame(changed), "prediction_id", columns).collect()}
+    assert {k for k, v in got.items() if not v} == {"id10", "id12", "new"} and len(got) == 501
+    assert len(met) == 1 and max(met[0]) < 30
+    assert lg.unchanged(left, frame(changed), ["prediction_id", *columns]).first()["changed_rows"] == 3
+    assert lg.rows_equal(left.limit(0), left.limit(0), "prediction_id", columns).collect() == []
