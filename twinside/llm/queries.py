@@ -91,9 +91,12 @@ full_lines AS (SELECT *, len(w) AS n, CAST(list_sum(list_transform(w, lambda x:
   row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 AS again FROM lines WHERE len(w) > 0),
 judged AS (SELECT *, again OR len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.4::DOUBLE * n
   OR (n >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '[!?]{2,}$'))) > 0.6::DOUBLE * n)
-  OR len(list_filter(w, lambda x: regexp_full_match(x, '[|>»•·]+'))) >= 3
+  OR len(list_filter(w, lambda x: regexp_full_match(x, '[|>»•·]+'))) >= greatest(3, 0.2::DOUBLE * n)
   OR (n >= 4 AND len(list_filter(range(1, n), lambda i: w[i] = w[i + 1])) > 0.4::DOUBLE * n)
-  OR regexp_matches(lower(line), 'all rights reserved|cookie policy|enable javascript|lorem ipsum|privacy policy|terms of use') AS fails FROM full_lines),
+  OR (phrase_words > 0 AND phrase_words >= 0.2::DOUBLE * n) AS fails FROM (
+  SELECT *, list_sum(list_transform([struct_pack(p := 'all rights reserved', k := 3), struct_pack(p := 'cookie policy', k := 2), struct_pack(p := 'enable javascript', k := 2),
+    struct_pack(p := 'lorem ipsum', k := 2), struct_pack(p := 'privacy policy', k := 2), struct_pack(p := 'terms of use', k := 3)],
+    lambda x: x.k * (len(string_split(lower(line), x.p)) - 1))) AS phrase_words FROM full_lines)),
 by_doc AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars, count(*) FILTER (again) AS n_dup_lines,
   CAST(coalesce(sum(chars) FILTER (fails), 0) AS BIGINT) AS lost_chars FROM judged GROUP BY rid),
 facts AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
