@@ -39,3 +39,27 @@ def components(edges: DataFrame) -> DataFrame:
         now = settle(star.filter("u <> v").distinct(), "edges")
     named = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def rooted(parents: DataFrame) -> DataFrame:
+    """(node, component) of a forest (u, v) in which every v stands once, below a smaller u; roots have no row.
+
+    Every round doubles the steps a node has jumped, so the rounds are the logarithm of the longest chain.
+    """
+    now = settle(parents.select(F.col("v").alias("node"), F.col("u").alias("component")), "rooted")
+    while True:
+        ahead = now.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
+        step = settle(now.join(ahead, "component", "left").select("node", F.coalesce("beyond", "component").alias("component"), F.col("beyond").isNotNull().alias("moved")), "rooted")
+        now = step.select("node", "component")
+        if step.filter("moved").isEmpty():
+            return now
+
+
+def merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (u, v) between components (node, component) are added; only components that links touch are searched."""
+    at = lambda df, c: df.join(named.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    edges = at(at(links.select("u", "v"), "u"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).filter("u <> v")
+    joined = settle(components(edges), "joined")
+    alone = joined.join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
+    beyond = joined.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
+    return settle(named.unionByName(alone).join(beyond, "component", "left").select("node", F.coalesce("beyond", "component").alias("component")), "named")

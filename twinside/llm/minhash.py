@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from twinside.llm.bloom import mixed
 from twinside.llm.common import arrow_schema, map_rows
-from twinside.llm.components import components
+from twinside.llm.components import merged, rooted
 from twinside.llm.simhash import words_of
 from twinside.session import scratch, settle
 
@@ -309,13 +309,15 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, links: DataFrame,
     members = buckets(classes)
     first = members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("u")).select("u", F.col("node").alias("v"))
     first = settle(first, "first-pairs")
-    links = links.unionByName(linked(docs, classes, first, size))
-    named = settle(components(links), "named")
+    # Every node hangs below one smaller pivot at most.
+    named = rooted(linked(docs, classes, first, size))
+    if not links.isEmpty():
+        named = merged(named, links)
     pairs = settle(pairs_apart(apart(docs, members, classes, named, size), crowd).join(first, ["u", "v"], "left_anti"), "pairs")
-    confirmed = linked(docs, classes, pairs, size)
-    if confirmed.isEmpty():
+    if pairs.isEmpty():
         return named
-    return settle(components(links.unionByName(confirmed)), "named")
+    confirmed = linked(docs, classes, pairs, size)
+    return named if confirmed.isEmpty() else merged(named, confirmed)
 
 
 def near_components(
