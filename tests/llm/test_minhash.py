@@ -50,10 +50,9 @@ def found(df):
 def test_components_and_odd_rows(spark):
     rng = random.Random(4)
     rows = odd_documents() + copies(rng, 120, 90, 8) + [(k, prose(60, k)) for k in range(2000, 2030)]
-    for size in (4, 5):
-        want = plain(rows, size)
-        assert len({c for _, _, c in want}) < len(rows) - 30
-        assert found(minhash.near_components(rows_of(spark, rows), size)) == want
+    want = plain(rows, 4)
+    assert len({c for _, _, c in want}) < len(rows) - 30
+    assert found(minhash.near_components(rows_of(spark, rows), 4)) == want
     assert minhash.near_components(rows_of(spark, rows).limit(0)).collect() == []
 
 

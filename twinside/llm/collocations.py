@@ -3,8 +3,8 @@
 Documents are dealt into shards. Each shard is mined completely, level by level,
 at a support lowered in proportion to its share of the text: a phrase of
 ``least`` occurrences has, in one shard at least, its proportional part of them.
-The phrases frequent in some shard are the candidates; a last pass counts all of
-them over all documents, as strings.
+The phrases frequent in some shard are the candidates; they are counted over all
+documents by 64-bit hashes, and those that are frequent get their words.
 
 A shard may be of any size and is mined by many tasks, whose counts Spark adds
 up. What a task has to know of the level before, or of the candidates, comes as
@@ -125,8 +125,8 @@ def blocks_of(keys: list[np.ndarray], bits: int) -> Iterator[tuple]:
         yield int(bucket[a]), key[a:b].tobytes(), count[a:b].tobytes()
 
 
-def shard_counts(rows: DataFrame, found, need: list[int], bits: int) -> DataFrame:
-    """(key, n) of the tagged phrases that ``found`` picks from a task's words and that occur as often as ``need`` has it for their tag.
+def phrase_sums(rows: DataFrame, found, need: list[int], bits: int) -> DataFrame:
+    """(key, n) of the phrases that ``found`` picks from a task's words and their labels, and that occur as often as ``need`` has it for the tag in their key.
 
     Counts travel in blocks, one for each bucket of hashes; a task adds up one bucket at a time.
     """
@@ -136,10 +136,10 @@ def shard_counts(rows: DataFrame, found, need: list[int], bits: int) -> DataFram
     def run(batches):
         def blocks():
             keys, size = [], 0
-            for held, body in parts_of(row for batch in batches for row in rows_of(batch)):
+            for held, body in parts_of((row[:-1], row[-1]) for batch in batches for row in rows_of(batch)):
                 words = Words(body, [size for _, size in held])
                 if len(words.hash):
-                    keys += found(words, np.array([t for t, _ in held], np.uint64)[words.text])
+                    keys += found(words, [label for label, _ in held])
                     size = sum(map(len, keys))
                     if size >= KEYS:
                         yield from blocks_of(keys, bits)
@@ -176,12 +176,18 @@ def shard_counts(rows: DataFrame, found, need: list[int], bits: int) -> DataFram
     return rows.mapInArrow(run, ddl).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, out)
 
 
-def words_and_pairs(words: Words, tags: np.ndarray) -> list[np.ndarray]:
+def tags_of(words: Words, labels: list[tuple]) -> np.ndarray:
+    return np.array([tag for (tag,) in labels], np.uint64)[words.text]
+
+
+def words_and_pairs(words: Words, labels: list[tuple]) -> list[np.ndarray]:
+    tags = tags_of(words, labels)
     return [tagged(h, tags)[inside] for size, h, inside in phrase_hashes(words) if size <= 2]
 
 
-def of_frequent_pairs(shipped, words: Words, tags: np.ndarray) -> list[np.ndarray]:
+def of_frequent_pairs(shipped, words: Words, labels: list[tuple]) -> list[np.ndarray]:
     """Phrases of three words or more whose pairs of neighbouring words may all be frequent in the shard."""
+    tags = tags_of(words, labels)
     out, pair, chain = [np.zeros(0, np.uint64)], None, None
     for size, h, inside in phrase_hashes(words):
         if size == 2:
@@ -193,50 +199,52 @@ def of_frequent_pairs(shipped, words: Words, tags: np.ndarray) -> list[np.ndarra
     return out
 
 
-def phrase_counts(docs: DataFrame, shipped) -> DataFrame:
-    """(lang, size, phrase, n) of every phrase the filter lets through, and a row of size 0 with the words of each language."""
-    ddl = "lang string, size int, phrase string, n bigint"
-    schema = arrow_schema(ddl)
+def candidate_places(shipped, words: Words, labels: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places, keys) of the candidates among a part's phrases (lang, cell); a key is 64 bits of the language and the phrase."""
+    import xxhash
+
+    salts = {lang: xxhash.xxh64_intdigest(lang) for lang, _ in labels}
+    salt = np.array([salts[lang] for lang, _ in labels], np.uint64)[words.text]
+    cells = np.array([cell << SHARD_BITS for _, cell in labels], np.uint64)[words.text]
+    for size, h, inside in phrase_hashes(words):
+        at = np.flatnonzero(inside)
+        at = at[bloom.holds(shipped.value, tagged(h, cells)[at])]
+        yield size, at, mixed(h[at] + salt[at])
+
 
-    def counted(parts):
-        import xxhash
+def candidate_keys(shipped, words: Words, labels: list[tuple]) -> list[np.ndarray]:
+    return [key for _, _, key in candidate_places(shipped, words, labels)]
 
-        names, keys, size, total = {}, [], 0, {}
 
-        def out():
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield from ((*names[k], c) for k, c in zip(key.tolist(), n.tolist()))
+def phrase_names(docs: DataFrame, candidates, frequent) -> DataFrame:
+    """(key, lang, size, phrase, n): what the keys of the frequent phrases stand for, and a row of size 0 with the words of each language as n."""
+    ddl = "key bigint, lang string, size int, phrase string, n bigint"
 
+    def named(parts):
+        known, total = set(), {}
         for held, body in parts:
-            words = Words(body, [size for _, size in held])
-            langs = sorted({lang for (lang, _), _ in held})
-            salt = np.array([xxhash.xxh64_intdigest(lang) for lang in langs], np.uint64)
-            lang = np.array([langs.index(lang) for (lang, _), _ in held], np.int64)[words.text]
-            cells = np.array([cell << SHARD_BITS for (_, cell), _ in held], np.uint64)[words.text]
-            for k, n in enumerate(np.bincount(lang, minlength=len(langs)).tolist()):
-                total[langs[k]] = total.get(langs[k], 0) + n
-            for length, h, inside in phrase_hashes(words):
-                at = np.flatnonzero(inside)
-                at = at[bloom.holds(shipped.value, tagged(h, cells)[at])]
-                key = mixed(h[at] + salt[lang[at]])
-                new, where = np.unique(key, return_index=True)
-                for k, i in zip(new.tolist(), at[where].tolist()):
-                    if k not in names:
-                        names[k] = langs[lang[i]], length, words.phrase(i, length)
-                keys.append(key)
-                size += len(key)
-            if size >= KEYS:
-                yield from out()
-                names, keys, size = {}, [], 0
-        if size:
-            yield from out()
-        yield from ((lang, 0, "", n) for lang, n in total.items())
+            words, labels = Words(body, [size for _, size in held]), [label for label, _ in held]
+            texts = np.bincount(words.text, minlength=len(held)).tolist()
+            for (lang, _), n in zip(labels, texts):
+                total[lang] = total.get(lang, 0) + n
+            if not len(words.hash):
+                continue
+            for size, at, key in candidate_places(candidates, words, labels):
+                good = bloom.holds(frequent.value, key)
+                key, where = np.unique(key[good], return_index=True)
+                for k, i in zip(key.view(np.int64).tolist(), at[good][where].tolist()):
+                    if k not in known:
+                        known.add(k)
+                        yield k, labels[words.text[i]][0], size, words.phrase(i, size), 0
+            if len(known) > KEYS:
+                known = set()
+        yield from ((None, lang, 0, "", n) for lang, n in total.items())
 
     def run(batches):
         texts = (((lang, cell), text) for batch in batches for lang, cell, text in rows_of(batch))
-        yield from batches_of(counted(parts_of(texts)), schema)
+        yield from batches_of(named(parts_of(texts)), arrow_schema(ddl))
 
-    return docs.select("lang", "cell", "text").mapInArrow(run, ddl).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "cell", "text").mapInArrow(run, ddl).groupBy("key", "lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
 def tag_sizes(docs: DataFrame) -> dict[int, int]:
@@ -263,12 +271,17 @@ def frequent_phrases(docs: DataFrame, least: int = 30, lang: str = "lang", doc_i
     need = local_supports(sizes, least)
     bits = max(6, math.ceil(math.log2(1 + sum(sizes.values()) / BUCKET_CHARS)))
     rows = own.select("tag", "text")
-    small = settle(shard_counts(rows, words_and_pairs, need, bits), "frequent-pairs")
+    small = settle(phrase_sums(rows, words_and_pairs, need, bits), "frequent-pairs")
     shipped = spark.sparkContext.broadcast(bloom.built(small, "key"))
-    large = settle(shard_counts(rows, lambda words, tags: of_frequent_pairs(shipped, words, tags), need, bits), "frequent-phrases")
+    large = settle(phrase_sums(rows, lambda words, labels: of_frequent_pairs(shipped, words, labels), need, bits), "frequent-phrases")
     every = small.unionByName(large).select(F.col("key").bitwiseAND(~((1 << SHARD_BITS) - 1)).alias("key"))
     candidates = spark.sparkContext.broadcast(bloom.built(every, "key"))
-    return settle(phrase_counts(own, candidates).filter((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
+    whole = phrase_sums(own.select("lang", "cell", "text"), lambda words, labels: candidate_keys(candidates, words, labels), [least] * len(need), bits)
+    whole = settle(whole, "phrase-counts")
+    frequent = spark.sparkContext.broadcast(bloom.built(whole, "key"))
+    names = settle(phrase_names(own, candidates, frequent), "phrase-names")
+    counted = names.filter("size > 0").drop("n").join(whole, "key").select("lang", "size", "phrase", "n")
+    return settle(counted.unionByName(names.filter("size = 0").select("lang", "size", "phrase", "n")), "phrases")
 
 
 def part(size: int, start: int) -> Column:
