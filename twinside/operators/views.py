@@ -10,7 +10,7 @@ from twinside.functions.calendar import clock_minutes, last_seasons, season_key
 from twinside.functions.numbers import finite_from_zero, valid_count
 from twinside.functions.text import is_blank, person_name, reversed_score
 from twinside.operators.aggregates import tail_rows
-from twinside.operators.joins import without_repeated
+from twinside.operators.joins import many, without_repeated
 from twinside.operators.quality import pair_verdicts
 
 PERSPECTIVES = ("for", "against", "total")
@@ -35,8 +35,8 @@ def match_statistics(contests: DataFrame, sides: DataFrame, metrics: Sequence[st
     clock = F.trim("kickoff_time")
     return (
         unique.filter(F.col("event_date").isNotNull() & F.col("season").isNotNull() & scores[0].isNotNull() & scores[1].isNotNull())
-        .join(good, "event_id", "left_semi")
-        .join(pairs, "event_id")
+        .join(many(good), "event_id", "left_semi")
+        .join(many(pairs), "event_id")
         .filter("_h.side = side_a AND _h.opponent = side_b AND _h.season = season")
         .select(
             "event_id", "season", "event_date",
@@ -59,7 +59,7 @@ def side_observations(matches: DataFrame, sides: DataFrame, metrics: Sequence[st
     score = F.when(F.col("venue") == "H", F.col("score")).otherwise(reversed_score(F.col("score")))
     totals = {f"{m}_total": F.col(f"{m}_for") + F.col(f"{m}_against") for m in metrics}
     return (
-        own.join(matches.select("event_id", "season", "event_date", "kickoff_minutes", "score"), "event_id")
+        own.join(many(matches.select("event_id", "season", "event_date", "kickoff_minutes", "score")), "event_id")
         .withColumns({"score": score, **totals})
     )
 
