@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinside.functions import probability as pr
 from twinside.operators.features import league_daily, mirror
+from twinside.operators.ordering import ordered_by
 from twinside.operators.scan import hot_keys, means, prior_features
 from twinside.operators.sides import for_against, side_rows
 
@@ -135,7 +136,7 @@ def total_forecasts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def forecast_overview(scored: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One prediction per fixture, side and market of priced rows: the first by ``order``."""
-    return scored.groupBy(*keys, "side", "market").agg(F.min_by("prediction", F.struct(*order)).alias("prediction"))
+    return scored.groupBy(*keys, "side", "market").agg(F.min_by("prediction", ordered_by(scored, [F.col(c) for c in order])).alias("prediction"))
 
 
 def total_dispersion(markets: Sequence[Market]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[str], place: str = "place") -> DataFrame:
@@ -28,10 +28,26 @@ def rank_rows(df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[str
     return df.withColumn("_in", inside).join(starts, on).withColumn(place, F.col("_start") + F.col("_in")).select(*df.columns, place)
 
 
+def _plain(df: DataFrame, value: Column | str) -> bool:
+    """Whether an aggregate buffer can hold the value in place: Spark sorts all rows to aggregate texts and structs."""
+    kind = df.select(value).schema.fields[0].dataType
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def ordered_by(df: DataFrame, by: Sequence[Column]) -> Column:
+    """One value that orders rows as ``by`` does, null first; a single double stays plain, so that hashing can aggregate it."""
+    if len(by) == 1 and isinstance(df.select(by[0]).schema.fields[0].dataType, T.DoubleType):
+        return F.coalesce(by[0], F.lit(float("-inf")))
+    return F.struct(*by)
+
+
 def best_per_group(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFrame:
     """The row with the greatest ``by`` of each group, as a maximum that combines on the map side."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_r"))
+    rest, order = [c for c in df.columns if c not in keys], ordered_by(df, by)
+    if _plain(df, order) and all(_plain(df, c) for c in rest):
+        # Each maximum sees the same rows in the same order, so all of them take one row.
+        return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*df.columns)
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
     return best.select(*keys, "_r.*").select(*df.columns)
 
 

@@ -456,7 +456,8 @@ def best_line(spark, root):
 @query("T_03_lowest_line", SCORED + "SELECT event_id, side, market, min(line) AS line, round(arg_min(p_over, line), 6) AS p_over FROM scored WHERE prediction IS NOT NULL GROUP BY event_id, side, market")
 def lowest_line(spark, root):
     rows = md.over_lines(forecasts(spark, root).filter("prediction IS NOT NULL"), MARKETS)
-    return od.lowest_line(rows, ["event_id", "side", "market"]).select("event_id", "side", "market", "line", "p_over")
+    keys = ["event_id", "side", "market"]
+    return od.lowest_line(rows.select(*keys, "line", "p_over"), keys)
 
 
 @query(
