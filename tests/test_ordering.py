@@ -36,3 +36,11 @@ def test_overview_is_hashed_not_sorted(spark):
     got = md.forecast_overview(rows, ["event_id"], ["line"])
     assert "SortAggregate" not in planned(got)
     assert {r["event_id"]: r["prediction"] for r in got.collect()} == {1: 3.0, 2: 4.0}
+
+
+def test_likeliest_lines_are_chosen_before_they_become_rows(spark):
+    rows, keys = priced(spark), ["event_id", "side", "market"]
+    few = md.over_lines(rows, MARKETS, min_fair=2.0)
+    assert "Generate" not in planned(few)
+    got, want = (od.best_line(x, keys).orderBy(*keys).collect() for x in (few, md.over_lines(rows, MARKETS)))
+    assert [r.asDict() for r in got] == [r.asDict() for r in want] and got
