@@ -87,3 +87,37 @@ def test_tails_and_ranges_against_closed_forms(spark, alpha):
         sums = [sum(pmf(k + j, r["mu"]) for j in range(3)) for k in range(1200)]
         assert r["r"]["low"] == sums.index(max(sums)) and r["r"]["probability"] == pytest.approx(max(sums), rel=1e-9)
         assert sum(r["p"]) == pytest.approx(1.0, abs=2e-6) and len(r["p"]) >= 26
+
+
+def test_likeliest_ranges_of_whole_columns_match_a_plain_search():
+    """Batches in place of interpreted loops: every window up to far above the mean, in plain Python."""
+    import math
+
+    import numpy as np
+
+    from twinside.functions import tails
+
+    def mass(k, mu, alpha):
+        if not alpha:
+            return math.exp(k * math.log(mu) - mu - math.lgamma(k + 1))
+        r = 1 / alpha
+        return math.exp(math.lgamma(k + r) - math.lgamma(r) - math.lgamma(k + 1) + r * math.log(r / (r + mu)) + k * math.log(mu / (r + mu)))
+
+    cases = [(mu, alpha, w) for mu in (0.05, 0.4, 1.7, 2.0, 5.3, 49.9) for alpha in (0.0, 0.11, 1.5) for w in (1, 2, 3, 4) if not (w == 1 and mu == 2.0)]
+    got = tails.likeliest_range(*(np.array(x) for x in zip(*[(mu, alpha or math.nan, float(w)) for mu, alpha, w in cases])))
+    for (mu, alpha, w), low, high, p in zip(cases, *got):
+        sums = [sum(mass(k, mu, alpha) for k in range(s, s + w)) for s in range(120)]
+        assert (low, high) == (sums.index(max(sums)), sums.index(max(sums)) + w - 1), (mu, alpha, w)
+        assert abs(p - max(sums)) < 1e-12
+    missing = tails.likeliest_range(np.array([math.nan, 1.0]), np.array([math.nan, math.nan]), np.array([2.0, math.nan]))
+    assert all(np.isnan(x).all() for x in missing)
+
+
+def test_likeliest_ranges_run_as_batches(spark):
+    """As a column expression each row ran loops of its own, 90 microseconds a row."""
+    from twinside.functions import probability as pr
+
+    f = pr.family(F.col("mu"), F.lit(None).cast("double"))
+    df = spark.createDataFrame([(2.2,), (None,)], "mu double").select(pr.best_range(f, F.lit(2)).alias("r"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["r"]["low"], r["r"]["high"]) for r in df.collect()] == [(1, 2), (None, None)]
