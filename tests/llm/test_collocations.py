@@ -60,6 +60,21 @@ def test_phrases(spark, monkeypatch, least, top, part):
     assert collocations.collocations(docs.limit(0)).collect() == []
 
 
+def test_phrases_are_named_once(spark, monkeypatch):
+    """However many tasks hold a frequent phrase, one text names it."""
+    rows = [(d, " ".join(f"w{d % 3}x{k}" for k in range(40)), "en") for d in range(240)]
+    docs, named, whole = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8), [], collocations.spelled
+
+    def spelled(*args):
+        named.append(whole(*args).filter("size > 0").count())
+        return whole(*args)
+
+    monkeypatch.setattr(collocations, "spelled", spelled)
+    found = collocations.frequent_phrases(docs).filter("size > 0").collect()
+    assert len(found) == 3 * (40 + 39 + 38 + 37) and {r["n"] for r in found} == {80}
+    assert named == [len(found)]
+
+
 def test_scores_beyond_64_bits(spark):
     """2,000,000 a passes 64 bits for counts above 4.6 * 10 ** 12."""
     a, l, r = 9 * 10**18, 9 * 10**18, 9 * 10**18 - 1

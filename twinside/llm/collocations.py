@@ -4,7 +4,8 @@ Documents are dealt into shards. Each shard is mined completely, level by level,
 at a support lowered in proportion to its share of the text: a phrase of
 ``least`` occurrences has, in one shard at least, its proportional part of them.
 The phrases frequent in some shard are the candidates; they are counted over all
-documents by 64-bit hashes, and those that are frequent get their words.
+documents by 64-bit hashes, together with one text that holds each of them. From that
+text, those that are frequent get their words.
 
 A shard may be of any size and is mined by many tasks, whose counts Spark adds
 up. What a task has to know of the level before, or of the candidates, comes as
@@ -115,61 +116,72 @@ def tagged(h: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS)) | tags[: len(h)]
 
 
-def blocks_of(keys: list[np.ndarray], bits: int) -> Iterator[tuple]:
-    """(bucket, keys, counts) as bytes, for the buckets of the first ``bits`` bits."""
-    key, count = np.unique(np.concatenate(keys), return_counts=True)
+def blocks_of(keys: list[np.ndarray], marks: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """(bucket, keys, counts) as bytes, for the buckets of the first ``bits`` bits, and one mark of each key if there are any."""
+    if marks:
+        key, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        mark = np.concatenate(marks)[first]
+    else:
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
     at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]])
     count = count.astype(np.uint32)
     for a, b in zip(at.tolist(), at[1:].tolist()):
-        yield int(bucket[a]), key[a:b].tobytes(), count[a:b].tobytes()
+        yield int(bucket[a]), key[a:b].tobytes(), count[a:b].tobytes(), *([mark[a:b].tobytes()] if marks else [])
 
 
-def phrase_sums(rows: DataFrame, found, need: list[int], bits: int) -> DataFrame:
+def phrase_sums(rows: DataFrame, found, need: list[int], bits: int, marked: bool = False) -> DataFrame:
     """(key, n) of the phrases that ``found`` picks from a task's words and their labels, and that occur as often as ``need`` has it for the tag in their key.
 
-    Counts travel in blocks, one for each bucket of hashes; a task adds up one bucket at a time.
+    If ``marked``, ``found`` picks (keys, marks), and a phrase has the mark of one of its places. Counts travel in blocks, one
+    for each bucket of hashes; a task adds up one bucket at a time.
     """
     ddl, out = "bucket bigint, keys binary, counts binary", "key bigint, n bigint"
+    if marked:
+        ddl, out = ddl + ", marks binary", out + ", mark bigint"
     schema, limits = arrow_schema(out), np.array(need, np.int64)
 
     def run(batches):
         def blocks():
-            keys, size = [], 0
+            keys, marks, size = [], [], 0
             for held, body in parts_of((row[:-1], row[-1]) for batch in batches for row in rows_of(batch)):
                 words = Words(body, [size for _, size in held])
                 if len(words.hash):
-                    keys += found(words, [label for label, _ in held])
+                    picked = found(words, [label for label, _ in held])
+                    keys += picked[0] if marked else picked
+                    marks += picked[1] if marked else []
                     size = sum(map(len, keys))
                     if size >= KEYS:
-                        yield from blocks_of(keys, bits)
-                        keys, size = [], 0
+                        yield from blocks_of(keys, marks, bits)
+                        keys, marks, size = [], [], 0
             if size:
-                yield from blocks_of(keys, bits)
+                yield from blocks_of(keys, marks, bits)
 
         yield from batches_of(blocks(), arrow_schema(ddl))
 
     def summed(held):
-        key = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in held])
-        count = np.concatenate([np.frombuffer(c, np.uint32) for _, c in held]).astype(np.int64)
+        key = np.concatenate([np.frombuffer(row[0], np.uint64) for row in held])
+        count = np.concatenate([np.frombuffer(row[1], np.uint32) for row in held]).astype(np.int64)
         order = np.argsort(key)
         key, count = key[order], count[order]
         first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         key, count = key[first], np.add.reduceat(count, first)
         good = count >= limits[(key & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64)]
-        key, count = key[good].view(np.int64), count[good]
-        for at in range(0, len(key), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + ROWS]), pa.array(count[at : at + ROWS])], schema=schema)
+        columns = [key[good].view(np.int64), count[good]]
+        if marked:
+            columns.append(np.concatenate([np.frombuffer(row[2], np.int64) for row in held])[order][first][good])
+        for at in range(0, len(columns[0]), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS]) for c in columns], schema=schema)
 
     def add(batches):
         now, held = None, []
         for batch in batches:
-            for bucket, keys, counts in rows_of(batch):
+            for bucket, *row in rows_of(batch):
                 if bucket != now and held:
                     yield from summed(held)
                     held = []
                 now = bucket
-                held.append((keys, counts))
+                held.append(row)
         if held:
             yield from summed(held)
 
@@ -199,25 +211,31 @@ def of_frequent_pairs(shipped, words: Words, labels: list[tuple]) -> list[np.nda
     return out
 
 
-def candidate_places(shipped, words: Words, labels: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, places, keys) of the candidates among a part's phrases (lang, cell); a key is 64 bits of the language and the phrase."""
+def candidate_places(shipped, words: Words, labels: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, places, keys, marks of their texts) of the candidates among a part's phrases (lang, cell, mark); a key is 64 bits of the language and the phrase."""
     import xxhash
 
-    salts = {lang: xxhash.xxh64_intdigest(lang) for lang, _ in labels}
-    salt = np.array([salts[lang] for lang, _ in labels], np.uint64)[words.text]
-    cells = np.array([cell << SHARD_BITS for _, cell in labels], np.uint64)[words.text]
+    salts = {lang: xxhash.xxh64_intdigest(lang) for lang, _, _ in labels}
+    salt = np.array([salts[lang] for lang, _, _ in labels], np.uint64)[words.text]
+    cells = np.array([cell << SHARD_BITS for _, cell, _ in labels], np.uint64)[words.text]
+    marks = np.array([mark for _, _, mark in labels], np.int64).view(np.uint64)[words.text]
     for size, h, inside in phrase_hashes(words):
         at = np.flatnonzero(inside)
         at = at[bloom.holds(shipped.value, tagged(h, cells)[at])]
-        yield size, at, mixed(h[at] + salt[at])
+        yield size, at, mixed(h[at] + salt[at]), marks[at]
 
 
-def candidate_keys(shipped, words: Words, labels: list[tuple]) -> list[np.ndarray]:
-    return [key for _, _, key in candidate_places(shipped, words, labels)]
+def candidate_keys(shipped, words: Words, labels: list[tuple]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    _, _, keys, marks = zip(*candidate_places(shipped, words, labels))
+    return list(keys), list(marks)
 
 
-def phrase_names(docs: DataFrame, candidates, frequent) -> DataFrame:
-    """(key, lang, size, phrase, n): what the keys of the frequent phrases stand for, and a row of size 0 with the words of each language as n."""
+def spelled(docs: DataFrame, candidates, frequent) -> DataFrame:
+    """(key, lang, size, phrase, n): frequent phrases as they stand in the text whose mark ``frequent`` holds with their key, and a task's words of each language as n of size 0.
+
+    A phrase is named from one text, so rows follow the phrases, not the phrases of each task. What the filter lets through
+    wrongly is named again, or named in vain.
+    """
     ddl = "key bigint, lang string, size int, phrase string, n bigint"
 
     def named(parts):
@@ -225,12 +243,12 @@ def phrase_names(docs: DataFrame, candidates, frequent) -> DataFrame:
         for held, body in parts:
             words, labels = Words(body, [size for _, size in held]), [label for label, _ in held]
             texts = np.bincount(words.text, minlength=len(held)).tolist()
-            for (lang, _), n in zip(labels, texts):
+            for (lang, _, _), n in zip(labels, texts):
                 total[lang] = total.get(lang, 0) + n
             if not len(words.hash):
                 continue
-            for size, at, key in candidate_places(candidates, words, labels):
-                good = bloom.holds(frequent.value, key)
+            for size, at, key, mark in candidate_places(candidates, words, labels):
+                good = bloom.holds(frequent.value, key ^ mark)
                 key, where = np.unique(key[good], return_index=True)
                 for k, i in zip(key.view(np.int64).tolist(), at[good][where].tolist()):
                     if k not in known:
@@ -241,10 +259,15 @@ def phrase_names(docs: DataFrame, candidates, frequent) -> DataFrame:
         yield from ((None, lang, 0, "", n) for lang, n in total.items())
 
     def run(batches):
-        texts = (((lang, cell), text) for batch in batches for lang, cell, text in rows_of(batch))
+        texts = ((row[:-1], row[-1]) for batch in batches for row in rows_of(batch))
         yield from batches_of(named(parts_of(texts)), arrow_schema(ddl))
 
-    return docs.select("lang", "cell", "text").mapInArrow(run, ddl).groupBy("key", "lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "cell", "mark", "text").mapInArrow(run, ddl)
+
+
+def phrase_names(docs: DataFrame, candidates, frequent) -> DataFrame:
+    """(key, lang, size, phrase, n): what the keys of the frequent phrases stand for, and a row of size 0 with the words of each language as n."""
+    return spelled(docs, candidates, frequent).groupBy("key", "lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
 def tag_sizes(docs: DataFrame) -> dict[int, int]:
@@ -265,8 +288,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30, lang: str = "lang", doc_i
     """(lang, size, phrase, n): every phrase of 1 to 4 words with ``least`` occurrences or more in its language, and a row of size 0 with all its words."""
     spark = docs.sparkSession
     cell = F.pmod(F.xxhash64("lang"), F.lit(CELLS)).cast("int")
-    own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SHARDS)).cast("int").alias("shard"), F.col(text).cast("string").alias("text"))
-    own = own.select("lang", cell.alias("cell"), F.shiftleft(cell, SHARD_BITS).bitwiseOR(F.col("shard")).cast("bigint").alias("tag"), "text")
+    own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.xxhash64(F.col(doc_id)).alias("id"), F.col(text).cast("string").alias("text"))
+    shard = F.pmod("id", F.lit(SHARDS)).cast("int")
+    own = own.select("lang", cell.alias("cell"), F.shiftleft(cell, SHARD_BITS).bitwiseOR(shard).cast("bigint").alias("tag"), F.xxhash64("id", "lang", "text").alias("mark"), "text")
     sizes = tag_sizes(own)
     need = local_supports(sizes, least)
     bits = max(6, math.ceil(math.log2(1 + sum(sizes.values()) / BUCKET_CHARS)))
@@ -276,11 +300,11 @@ def frequent_phrases(docs: DataFrame, least: int = 30, lang: str = "lang", doc_i
     large = settle(phrase_sums(rows, lambda words, labels: of_frequent_pairs(shipped, words, labels), need, bits), "frequent-phrases")
     every = small.unionByName(large).select(F.col("key").bitwiseAND(~((1 << SHARD_BITS) - 1)).alias("key"))
     candidates = spark.sparkContext.broadcast(bloom.built(every, "key"))
-    whole = phrase_sums(own.select("lang", "cell", "text"), lambda words, labels: candidate_keys(candidates, words, labels), [least] * len(need), bits)
-    whole = settle(whole, "phrase-counts")
-    frequent = spark.sparkContext.broadcast(bloom.built(whole, "key"))
+    texts = own.select("lang", "cell", "mark", "text")
+    whole = settle(phrase_sums(texts, lambda words, labels: candidate_keys(candidates, words, labels), [least] * len(need), bits, marked=True), "phrase-counts")
+    frequent = spark.sparkContext.broadcast(bloom.built(whole.select(F.col("key").bitwiseXOR(F.col("mark")).alias("place")), "place"))
     names = settle(phrase_names(own, candidates, frequent), "phrase-names")
-    counted = names.filter("size > 0").drop("n").join(whole, "key").select("lang", "size", "phrase", "n")
+    counted = names.filter("size > 0").drop("n").join(whole.drop("mark"), "key").select("lang", "size", "phrase", "n")
     return settle(counted.unionByName(names.filter("size = 0").select("lang", "size", "phrase", "n")), "phrases")
 
 
