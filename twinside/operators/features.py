@@ -154,12 +154,11 @@ def mirror(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``opp_<c>`` from the other row of the same contest.
 
     Both rows are neighbours in one window over the contest: one shuffle, where
-    a self join would move the wide frame twice.
+    a self join would move the wide frame twice. Every column is a function of
+    its own, so columns that are not read later are not computed or moved.
     """
-    other = f"struct({', '.join(columns)})"
     w = "OVER (PARTITION BY event_id ORDER BY venue)"
-    paired = df.selectExpr("*", f"coalesce(lead({other}) {w}, lag({other}) {w}) AS _opp")
-    return paired.selectExpr("*", *[f"_opp.{c} AS opp_{c}" for c in columns]).drop("_opp")
+    return df.selectExpr("*", *[f"CASE WHEN lead(true) {w} THEN lead({c}) {w} ELSE lag({c}) {w} END AS opp_{c}" for c in columns])
 
 
 def training_features(contests: DataFrame, metrics: Sequence[str], recent: Sequence[str], hot_rows: int | None = None) -> DataFrame:
