@@ -1,6 +1,7 @@
 """The other side's columns of a contest."""
 
-from twinside.operators.features import mirror
+from twinside.operators.features import PAIRED, contest_context, mirror, training_features
+from twinside.plans.windows import METRICS, RECENT_TOTALS
 
 
 def rows(spark):
@@ -14,8 +15,11 @@ def test_other_row(spark):
     assert got == {(1, "H"): (None, "y"), (1, "A"): (1.0, "x"), (2, "H"): (None, None), (3, "A"): (4.0, None), (3, "H"): (3.0, "z")}
 
 
-def test_unread_columns_are_not_moved(spark):
-    """Only what is read of the other side is computed, so nothing else is sorted or shuffled."""
-    read = mirror(rows(spark), ["a", "b"]).select("event_id", "opp_a")
-    windows = [line for line in read._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
-    assert windows and any("lead(a#" in line for line in windows) and not any("b#" in line for line in windows)
+def test_context_moves_only_what_it_reads(spark):
+    """No other history is computed, sorted or shuffled for a contest's context."""
+    counts = [f"{p}_{m}" for m in METRICS for p in "ab"]
+    fields = "event_id bigint, season string, event_date date, kickoff_time string, side_a string, side_b string, official string, a_score bigint, b_score bigint, "
+    contests = spark.createDataFrame([], fields + ", ".join(f"{c} bigint" for c in counts if not c.endswith("_score")))
+    context = contest_context(training_features(contests, METRICS, RECENT_TOTALS, opposite=PAIRED), METRICS)
+    plan = context._jdf.queryExecution().optimizedPlan().toString()
+    assert "position_before" in plan and "h2h" not in plan and "career" not in plan
