@@ -121,3 +121,25 @@ def test_likeliest_ranges_run_as_batches(spark):
     df = spark.createDataFrame([(2.2,), (None,)], "mu double").select(pr.best_range(f, F.lit(2)).alias("r"))
     assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
     assert [(r["r"]["low"], r["r"]["high"]) for r in df.collect()] == [(1, 2), (None, None)]
+
+
+def test_probabilities_run_as_batches(spark):
+    """As column expressions each row ran a loop that copied its array at every step; values, sums and missing rows stay."""
+    cases = [(0.05, None), (3.0, 1.7), (26.4, None), (26.4, 0.11), (None, 0.11), (900.0, None)]
+    f = pr.family(F.col("mu"), F.col("alpha"))
+    df = spark.createDataFrame(cases, "mu double, alpha double").withColumn("f", f)
+    got = df.select("mu", "alpha", pr.pmf_values(F.col("f")).alias("p"), pr.moments(pr.pmf_values(F.col("f"))).alias("m"))
+    assert "ArrowEvalPython" in df.select(pr.pmf_values(F.col("f")))._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        if r["mu"] is None:
+            assert r["p"] is None and r["m"]["support"] is None and r["m"]["mass"] is None and r["m"]["mean"] is None
+            continue
+        mass = lambda k: negbin(k, r["mu"], r["alpha"]) if r["alpha"] else poisson(k, r["mu"])
+        want, total = [], 0.0
+        while len(want) < 26 or total < pr.TAIL:
+            want.append(mass(len(want)))
+            total = sum(want)
+        short = sum(want[:-1]) < pr.TAIL and len(want) > 26  # the last value may be the first past the tail
+        assert len(r["p"]) == len(want) and (short or len(want) == 26)
+        assert r["p"] == pytest.approx(want, rel=1e-9, abs=1e-300)
+        assert (r["m"]["support"], r["m"]["mass"], r["m"]["mean"]) == (len(want), pytest.approx(sum(want)), pytest.approx(sum(k * p for k, p in enumerate(want))))

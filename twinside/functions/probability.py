@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, functions as F, types as T
 
 from twinside.functions import tails
@@ -114,32 +117,39 @@ def total_lines(mu: Column, reach: int = 8) -> Column:
     return F.transform(F.sequence(low, center + reach), lambda x: x.cast("double") + 0.5)
 
 
-def pmf_values(f: Column) -> Column:
-    """Probabilities of 0..hi with ``hi`` the larger of 25 and the 0.999999 quantile."""
-    return bind(bind(f, _all_terms), _to_quantile)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _terms(first: pa.Array, a: pa.Array, b: pa.Array, last: pa.Array) -> pa.Array:
+    constants = [c.to_numpy(zero_copy_only=False).astype("float64") for c in (first, a, b, last)]
+    values, ends = tails.terms(*constants, least=25, tail=TAIL)
+    mask = pa.array(np.isnan(constants[0]) | np.isnan(constants[3]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=mask)
+
 
+def pmf_values(f: Column) -> Column:
+    """Probabilities of 0..hi with ``hi`` the larger of 25 and the 0.999999 quantile.
 
-def _all_terms(f: Column) -> Column:
-    last = F.ceil(f["mu"]).cast("int") + f["reach"]
-    first = log_pmf(F.lit(0), f)
+    For Arrow batches at a time: as a column expression every row would run an
+    interpreted loop that copies what it has at each step.
+    """
+    return _terms(log_pmf(F.lit(0), f), f["a"], f["b"], F.ceil(f["mu"]).cast("int") + f["reach"])
 
-    def extend(acc: Column, k: Column) -> Column:
-        t = acc["t"] + F.ln(f["a"] + f["b"] / k)
-        return F.struct(t.alias("t"), F.concat(acc["p"], F.array(F.exp(t))).alias("p"))
 
-    start = F.struct(first.alias("t"), F.array(F.exp(first)).alias("p"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, extend, lambda acc: acc["p"])
+_MOMENTS = T.StructType([T.StructField("support", T.IntegerType()), T.StructField("mass", T.DoubleType()), T.StructField("mean", T.DoubleType())])
 
 
-def _to_quantile(terms: Column) -> Column:
-    # Count the support points whose cumulative probability is still below the tail.
-    below = F.aggregate(
-        terms,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-        lambda a, p: F.struct((a["s"] + p).alias("s"), (a["n"] + F.when(a["s"] + p < TAIL, 1).otherwise(0)).alias("n")),
-        lambda a: a["n"],
+@F.arrow_udf(_MOMENTS)
+def moments(p: pa.Array) -> pa.Array:
+    """Struct(support, mass, mean) of the probabilities of 0, 1 and so on; nulls where there are none."""
+    size = pa.compute.fill_null(pa.compute.list_value_length(p), 0).to_numpy(zero_copy_only=False).astype("int64")
+    x, ends = p.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+    k = np.arange(len(x)) - np.repeat(ends[:-1], size)
+    none, rows = p.is_null().to_numpy(zero_copy_only=False), np.flatnonzero(size)
+    sums = np.zeros((2, len(size)))
+    if len(rows):
+        sums[:, rows] = np.add.reduceat(np.stack([x, x * k]), ends[rows], axis=1)
+    return pa.StructArray.from_arrays(
+        [pa.array(size, pa.int32(), mask=none), *[pa.array(s, mask=none) for s in sums]], fields=[pa.field("support", pa.int32()), pa.field("mass", pa.float64()), pa.field("mean", pa.float64())]
     )
-    return F.slice(terms, F.lit(1), F.greatest(F.lit(25), below) + 1)
 
 
 _RANGE = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("probability", T.DoubleType())])

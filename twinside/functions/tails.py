@@ -151,3 +151,38 @@ def _mass(k: np.ndarray, mu: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     size, mean = 1.0 / a, a * mu
     log_nb = k * np.log(mean / (1.0 + mean)) - size * np.log1p(mean) + log_gamma(k + size) - log_gamma(size)
     return np.exp(np.where(poisson, k * np.log(mu) - mu, log_nb) - log_gamma(k + 1.0))
+
+
+#: Values that are worked on together.
+CELLS = 1 << 20
+
+
+def terms(first: np.ndarray, a: np.ndarray, b: np.ndarray, last: np.ndarray, least: int, tail: float) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of 0..hi of each row, one row after the other, and where the rows begin and end.
+
+    ``first`` is the logarithm of the probability of 0, and ``a + b / k`` what leads from k - 1 to k. ``hi`` is the larger of ``least``
+    and the numbers whose cumulative probability lies below ``tail``, ``last`` at most. Rows of NaN have no values.
+    """
+    known = np.flatnonzero(~(np.isnan(first) | np.isnan(last)))
+    order = known[np.argsort(last[known], kind="stable")]
+    length, found, at = np.zeros(len(first), np.int64), [], 0
+    while at < len(order):
+        # The rows of a block end close together; one row may pass the limit.
+        size = np.arange(1, len(order) - at + 1) * (last[order[at:]] + 1.0)
+        rows = order[at : at + max(1, int(np.searchsorted(size, CELLS, side="right")))]
+        at += len(rows)
+        k = np.arange(1.0, last[rows[-1]] + 1.0)
+        logs = np.empty((len(rows), len(k) + 1))
+        logs[:, 0] = first[rows]
+        np.log(a[rows, None] + b[rows, None] / k, out=logs[:, 1:])
+        p = np.exp(np.cumsum(logs, axis=1, out=logs), out=logs)
+        inside = np.arange(p.shape[1]) <= last[rows, None]
+        below = ((np.cumsum(p, axis=1) < tail) & inside).sum(axis=1)
+        length[rows] = np.minimum(np.maximum(least, below), last[rows].astype(np.int64)) + 1
+        found.append((rows, p[np.arange(p.shape[1]) < length[rows, None]]))
+    ends = np.concatenate([[0], np.cumsum(length)])
+    out = np.empty(ends[-1])
+    for rows, values in found:
+        own = length[rows]
+        out[np.arange(len(values)) + np.repeat(ends[rows] - (np.cumsum(own) - own), own)] = values
+    return out, ends

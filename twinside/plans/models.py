@@ -419,11 +419,8 @@ PMF_SQL = FORECASTS + f""", p AS (SELECT event_id, side, market, greatest(predic
 def pmf(spark, root):
     rows = forecasts(spark, root).filter("prediction IS NOT NULL")
     shaped = rows.withColumn("f", pr.family(F.col("prediction"), md.alpha_of(MARKETS)))
-    values = shaped.withColumn("p", pr.pmf_values(F.col("f")))
-    total = lambda f: F.aggregate(F.transform("p", f), F.lit(0.0), lambda a, x: a + x)
-    return values.select(
-        "event_id", "side", "market", F.size("p").alias("support"), total(lambda x, i: x).alias("mass"), F.ln(total(lambda x, i: x * i)).alias("log_mean")
-    )
+    values = shaped.select("event_id", "side", "market", pr.moments(pr.pmf_values(F.col("f"))).alias("m"))
+    return values.select("event_id", "side", "market", "m.support", "m.mass", F.ln("m.mean").alias("log_mean"))
 
 
 RANGE_SQL = """, w AS (SELECT event_id, side, market, k, sum(p) OVER (PARTITION BY event_id, side, market ORDER BY k ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS s2,
