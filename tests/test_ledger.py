@@ -102,3 +102,19 @@ def test_equal_copies_are_not_joined(spark, monkeypatch):
     assert len(met) == 1 and max(met[0]) < 30
     assert lg.unchanged(left, frame(changed), ["prediction_id", *columns]).first()["changed_rows"] == 3
     assert lg.rows_equal(left.limit(0), left.limit(0), "prediction_id", columns).collect() == []
+
+
+def test_merge_moves_digests_in_place_of_fields_that_are_not_returned(spark):
+    """Whole rows of both copies met to be compared, however few columns were read."""
+    ids = [(i, "X", "Y", "X", "qty", 0.5, 2.0, 1.0) for i in ("a", "b", "c")]
+    remote = selections(spark, ids).withColumn("status", F.when(F.col("prediction_id") == "b", "settled").otherwise("pending"))
+    remote = remote.withColumn("official", F.when(F.col("prediction_id") == "b", ""))
+    local = selections(spark, ids[:2]).withColumns({"status": F.lit("settled"), "official": F.lit(None).cast("string")})
+    merged = lg.merge_settlements(remote, local)
+    assert {r["prediction_id"]: (r["status"], r["conflict"]) for r in merged.collect()} == {"a": ("settled", None), "b": ("settled", None), "c": ("pending", None)}
+    assert merged.columns == [*remote.columns, "conflict"]
+    other = lg.merge_settlements(remote, local.withColumn("official", F.lit("x")))
+    assert {r["prediction_id"]: r["conflict"] for r in other.collect()} == {"a": None, "b": "settled differently", "c": None}
+    moved = merged.select("prediction_id", "status", "conflict")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, line in enumerate(moved) if "Join FullOuter" in line)
+    assert "model_version" not in moved[join] and not any("r_model_version" in line for line in moved)

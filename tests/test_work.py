@@ -56,3 +56,9 @@ def test_corpus_queries_that_cannot_be_imported_are_left_out(monkeypatch):
     monkeypatch.setitem(sys.modules, "twinside.llm.queries", None)
     assert __spark_entry__.corpus() == ({}, {})
     assert "A_06_form_last_n" in __spark_entry__.queries() and "op1_token_files" not in __spark_entry__.oracle_sql()
+
+
+def test_settled_work_is_written_small(spark):
+    """Spark's default leaves ids, which are hexadecimal texts, nearly as large as they are."""
+    df = settle(spark.range(2_000).selectExpr("sha1(CAST(id AS STRING)) AS key"), "small")
+    assert all(".zstd." in f for f in df.inputFiles()) and df.distinct().count() == 2_000
